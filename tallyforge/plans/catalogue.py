@@ -1,0 +1,4 @@
+"""Queries by name, and SQL of each."""
+
+QUERIES: dict = {}
+SQL: dict = {}
