@@ -1,0 +1,83 @@
+"""When two answers count as equal: five rules, each null-free (a null answer equals nothing)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+from tallyforge.functions import boxed
+from tallyforge.functions.numbers import TOLERANCE, any_fraction, integer_fraction, let, loose_number, near, plain_fraction, to_number
+from tallyforge.functions.text import numbers_in, strip, strip_quotes, without_space
+
+
+def _same(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """The comparison of the numbers x and y where both are, else that of the texts a and b."""
+    return F.coalesce(near(x, y), a == b, F.lit(False))
+
+
+def _values(**named: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in named.items()])
+
+
+def plain(a: Column, b: Column) -> Column:
+    """Numbers within the tolerance, else stripped text."""
+    return let(_values(a=a, b=b), lambda v: let(_values(x=to_number(v["a"]), y=to_number(v["b"]), a=strip(v["a"]), b=strip(v["b"])), lambda w: _same(w["x"], w["y"], w["a"], w["b"])))
+
+
+def _fractions(v: Column, clean: Callable[[Column], Column]) -> Column:
+    """The comparison of v.a and v.b where a leading fraction of integers is a number and one over zero equals nothing."""
+    (x, x0), (y, y0) = integer_fraction(v["a"]), integer_fraction(v["b"])
+    parts = _values(x=F.coalesce(x, to_number(v["a"])), y=F.coalesce(y, to_number(v["b"])), bad=x0 | y0, a=clean(v["a"]), b=clean(v["b"]))
+    return let(parts, lambda w: ~w["bad"] & _same(w["x"], w["y"], w["a"], w["b"]))
+
+
+def with_fractions(a: Column, b: Column) -> Column:
+    """As ``plain``, and a leading fraction of integers is a number; a zero denominator equals nothing."""
+    return let(_values(a=plain_fraction(a), b=plain_fraction(b)), lambda v: _fractions(v, strip))
+
+
+def lenient(a: Column, b: Column, last_box: Callable[[Column], Column] = boxed.last_nested) -> Column:
+    """As ``with_fractions`` on text without outer quotes, both boxes opened if both have one, and text compared without any white space.
+
+    ``last_box`` takes the last box; the default follows braces nested once and stays in the JVM, ``balanced_box`` follows all.
+    """
+    a, b = (plain_fraction(strip_quotes(strip(c))) for c in (a, b))
+
+    def opened(v: Column) -> Column:
+        both = v["p"].isNotNull() & v["q"].isNotNull()
+        return _values(a=F.when(both, v["p"]).otherwise(v["a"]), b=F.when(both, v["q"]).otherwise(v["b"]))
+
+    return let(_values(a=a, b=b, p=last_box(a), q=last_box(b)), lambda v: let(opened(v), lambda w: _fractions(w, without_space)))
+
+
+def balanced_box(c: Column) -> Column:
+    """The last box by the balanced scan."""
+    return F.try_element_at(boxed.all_balanced(c), F.lit(-1))
+
+
+def by_numbers(a: Column, b: Column, strict: bool = False) -> Column:
+    """``plain``, or as many numbers on both sides, each within the tolerance, or equal without white space.
+
+    Two answers without any number have the same (no) numbers and so are equal; ``strict`` asks for one at least.
+    """
+
+    def alike(v: Column) -> Column:
+        close = F.forall(F.zip_with(v["x"], v["y"], lambda p, q: F.abs(p.cast("double") - q.cast("double")) <= F.lit(TOLERANCE)), lambda ok: ok)
+        return (F.size(v["x"]) == F.size(v["y"])) & close & ((F.size(v["x"]) > 0) | F.lit(not strict))
+
+    same = let(_values(x=numbers_in(a), y=numbers_in(b)), alike)
+    return plain(a, b) | F.coalesce(same, F.lit(False)) | F.coalesce(without_space(a) == without_space(b), F.lit(False))
+
+
+def loose(a: Column, b: Column) -> Column:
+    """Thousands commas, percentages and fractions of such numbers count; else stripped text."""
+    bare = lambda c: strip(F.replace(strip(c), F.lit(","), F.lit("")))
+    number = lambda c: F.coalesce(any_fraction(c), loose_number(c))
+    parts = lambda v: _values(x=number(v["a"]), y=number(v["b"]), a=bare(v["a"]), b=bare(v["b"]))
+    return let(_values(a=plain_fraction(a), b=plain_fraction(b)), lambda v: let(parts(v), lambda w: _same(w["x"], w["y"], w["a"], w["b"])))
+
+
+def sampled_hit(prediction: Column, gold: Column) -> Column:
+    """Rounded numbers alike; two that aren't numbers are alike too."""
+    return prediction.eqNullSafe(gold)

@@ -1,4 +1,507 @@
-"""Queries by name, and SQL of each."""
+"""Queries by name, and SQL of each for the oracle engine."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tallyforge.functions import arrays, boxed, equivalence, numbers, rewards, text
+from tallyforge.operators import collate, conversations, evaluation, joins, logs, passrate, prompts, requests, sets, splits
+from tallyforge.operators.ordinals import dense, shuffled
+from tallyforge.plans import fixtures as fx, rules
+from tallyforge.plans.fixtures import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+KEY = ("l_orderkey", "l_linenumber")
+SYSTEM = "You are a careful solver."
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(parts) + "\n"
+
+
+# Pass rates and difficulty
+
+_RATE = "sum(case when {p} is not distinct from gold then 1 else 0 end) / 10.0::double"
+
+
+@query(_with(fx.PASSES) + f"select problem_id, gold, {_RATE.format(p='pred_m')} as pass_rate from fx_pass group by 1, 2")
+def pass_rate(spark: SparkSession, d: str) -> DataFrame:
+    return passrate.pass_rate(fx.passes(spark, d), ["problem_id", "gold"], F.col("pred_m"), F.col("gold"))
+
+
+_BOXED_NUMBER = r"case when regexp_matches(completion, '\\boxed\{(-?\d+(?:\.\d+)?)\}') then round(regexp_extract(completion, '\\boxed\{(-?\d+(?:\.\d+)?)\}', 1)::double, 5) end"
+
+
+@query(_with(fx.COMPLETIONS) + f"select problem_id, sum(case when ({_BOXED_NUMBER}) is not distinct from gold::double then 1 else 0 end) / 10.0::double as pass_rate, count(*) as n from fx_comp group by 1")
+def pass_rate_boxed(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d)
+    hit = equivalence.sampled_hit(numbers.rounded_number(boxed.first_numeric(F.col("completion"))), F.col("gold").cast("double")).cast("int")
+    return c.groupBy("problem_id").agg((F.sum(hit) / F.lit(10.0)).alias("pass_rate"), F.count("*").alias("n"))
+
+
+@query(_with(fx.PASSES) + "select problem_id, string_agg(coalesce(pred_m, 'null'), ',' order by k) as predictions, " + _RATE.format(p="pred_m") + " as pass_rate from fx_pass group by 1")
+def predictions_in_order(spark: SparkSession, d: str) -> DataFrame:
+    p = passrate.predictions(fx.passes(spark, d), ["problem_id", "gold"], "k", F.col("pred_m"))
+    return p.select("problem_id", F.array_join("predictions", ",", "null").alias("predictions"), passrate.rate_of(F.col("predictions"), F.col("gold")).alias("pass_rate"))
+
+
+_M = "m as (select problem_id from fx_pass group by 1 having sum(case when pred_m is not distinct from gold then 1 else 0 end) = 10)"
+_B = "b as (select problem_id from fx_pass group by 1 having sum(case when pred_b is not distinct from gold then 1 else 0 end) = 10)"
+
+
+def _solved(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return passrate.all_right(passrate.pass_rate(fx.passes(spark, d), ["problem_id"], F.col(column), F.col("gold")))
+
+
+@query(_with(fx.PASSES, _M) + ", r as (select *, row_number() over (order by problem_id) - 1 as gsm8k_index from (select distinct problem_id from fx_pass)) select gsm8k_index, problem_id, 1.0::double as pass_rate from r join m using (problem_id)")
+def pass_all_filter(spark: SparkSession, d: str) -> DataFrame:
+    rates = passrate.pass_rate(fx.passes(spark, d), ["problem_id"], F.col("pred_m"), F.col("gold"))
+    return passrate.all_right(dense(rates, "problem_id", "gsm8k_index")).select("gsm8k_index", "problem_id", "pass_rate")
+
+
+@query(_with(fx.PASSES, _M, _B) + "select problem_id from m intersect select problem_id from b")
+def very_easy_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return sets.intersection(_solved(spark, d, "pred_m"), _solved(spark, d, "pred_b"), "problem_id")
+
+
+@query(_with(fx.PASSES, _M, _B) + "select problem_id from m except select problem_id from b")
+def easy_difference(spark: SparkSession, d: str) -> DataFrame:
+    return sets.difference(_solved(spark, d, "pred_m"), _solved(spark, d, "pred_b"), "problem_id")
+
+
+@query(_with(fx.PASSES, _M, _B) + "select distinct problem_id, gold from fx_pass where problem_id not in (select problem_id from m union select problem_id from b)")
+def hard_complement(spark: SparkSession, d: str) -> DataFrame:
+    universe = fx.passes(spark, d).select("problem_id", "gold").distinct()
+    return sets.complement(universe, _solved(spark, d, "pred_m"), _solved(spark, d, "pred_b"), "problem_id")
+
+
+@query(_with(fx.PASSES, _M, _B) + "select problem_id from m union select problem_id from b")
+def key_union(spark: SparkSession, d: str) -> DataFrame:
+    return sets.union(_solved(spark, d, "pred_m"), _solved(spark, d, "pred_b"), "problem_id")
+
+
+@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id in (select problem_id from m)")
+def semi_join_index(spark: SparkSession, d: str) -> DataFrame:
+    return sets.members(fx.problems(spark, d), _solved(spark, d, "pred_m").withColumnRenamed("problem_id", "row_id"), "row_id").select("row_id", "question")
+
+
+@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id not in (select problem_id from m)")
+def anti_join_index(spark: SparkSession, d: str) -> DataFrame:
+    return sets.strangers(fx.problems(spark, d), _solved(spark, d, "pred_m").withColumnRenamed("problem_id", "row_id"), "row_id").select("row_id", "question")
+
+
+@query(_with(fx.PASSES, _M, _B) + "select (select count(*) from m) as solved_m, (select count(*) from b) as solved_b, (select count(*) from m join b using (problem_id)) as both, (select count(distinct problem_id) from fx_pass) as problems")
+def difficulty_counts(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.passes(spark, d)
+    hit = lambda c: F.sum(equivalence.sampled_hit(numbers.rounded_number(F.col(c)), numbers.rounded_number(F.col("gold"))).cast("int")) == 10
+    per = p.groupBy("problem_id").agg(hit("pred_m").alias("m"), hit("pred_b").alias("b"))
+    return per.agg(F.count_if("m").alias("solved_m"), F.count_if("b").alias("solved_b"), F.count_if(F.col("m") & F.col("b")).alias("both"), F.count("*").alias("problems"))
+
+
+# Extraction
+
+
+def _extract(name: str, build: Callable, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return fx.completions(spark, d).select(*KEY, build(F.col("completion")).alias("found"))
+
+    run.__name__ = name
+    query(_with(fx.COMPLETIONS) + f"select l_orderkey, l_linenumber, {sql} as found from fx_comp")(run)
+
+
+_extract("boxed_first_numeric", boxed.first_numeric, r"nullif(regexp_extract(completion, '\\boxed\{(-?\d+(?:\.\d+)?)\}', 1), '')")
+_extract("boxed_last_simple", boxed.last_simple, r"list_extract(regexp_extract_all(completion, '\\boxed\{([^}]+)\}', 1), -1)")
+_extract("boxed_first_depth2", boxed.first_nested, f"nullif(trim(regexp_extract(completion, {rules.NESTED}, 1)), '')")
+_extract("boxed_all_depth2", lambda c: F.array_join(boxed.all_nested(c), ";"), f"array_to_string(regexp_extract_all(completion, {rules.NESTED}, 1), ';')")
+# no text here nests deeper than once, so the patterns find what the scans find
+_extract("boxed_balanced_last", boxed.last_balanced, rules.last_box("completion"))
+_extract("boxed_balanced_all", lambda c: F.array_join(boxed.all_balanced(c), ";"), f"array_to_string(regexp_extract_all(completion, {rules.NESTED}, 1), ';')")
+_extract("boxed_leftover_mark", lambda c: boxed.without_leftover_mark(F.concat(F.lit("\\boxed{"), boxed.last_simple(c))), r"rtrim(list_extract(regexp_extract_all(completion, '\\boxed\{([^}]+)\}', 1), -1), '}')")
+_extract("extract_numbers_all", lambda c: F.array_join(text.numbers_in(c), ";"), f"array_to_string({rules.numbers('completion')}, ';')")
+_extract("format_reward", rewards.tagged, r"case when regexp_matches(completion, '(?sm)\A<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>$') then 1.0::double else 0.0::double end")
+_TAGS = ("'<think>' || chr(10)", "chr(10) || '</think>' || chr(10)", "chr(10) || '<answer>' || chr(10)", "chr(10) || '</answer>'")
+_extract("tag_count", rewards.tag_count, " + ".join(f"(case when (length(completion) - length(replace(completion, {t}, ''))) / length({t}) = 1 then 0.25::double else 0.0::double end)" for t in _TAGS))
+_extract("reasoning_steps", rewards.reasoning_steps, r"least(1.0::double, len(regexp_extract_all(completion, '(Step \d+:|^\d+\.|\n-|\n\*|First,|Second,|Next,|Finally,)')) / 3.0::double)")
+
+
+@query(r"select doc_id, array_to_string(regexp_extract_all(text, '([-+]?\d*\.\d+|\d+)', 1), ';') as found from documents")
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.numbers_in(F.col("text")), ";").alias("found"))
+
+
+@query(_with(fx.PROBLEMS) + r"select row_id, nullif(regexp_extract(answer, '####\s*(\d+(?:\.\d+)?)', 1), '') as gold from fx_prob")
+def gt_hash_marker(spark: SparkSession, d: str) -> DataFrame:
+    return fx.problems(spark, d).select("row_id", text.marked_answer(F.col("answer")).alias("gold"))
+
+
+@query(_with(fx.PROBLEMS) + ", t as (select row_id, regexp_replace(list_extract(string_split(answer, '####'), -1), '[^0-9.\\-]+', '', 'g') as digits from fx_prob) select row_id, digits, round(try_cast(nullif(digits, '') as double), 5) as gold from t")
+def gt_digits(spark: SparkSession, d: str) -> DataFrame:
+    return fx.problems(spark, d).select("row_id", text.digits_after_mark(F.col("answer")).alias("digits")).withColumn("gold", numbers.rounded_number(F.col("digits")))
+
+
+# Equivalence
+
+
+def _equal(name: str, build: Callable, sql: Callable[[str], str]) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return fx.pairs(spark, d).withColumn("equal", build(F.col("a"), F.col("b"))).groupBy("a", "b", "equal").agg(F.count("*").alias("n"))
+
+    run.__name__ = name
+    query(_with(fx.COMPLETIONS, fx.PAIRS_SQL) + f"select a, b, same as equal, count(*) as n from {sql('fx_eq')} group by all")(run)
+
+
+_equal("values_equal_v1", equivalence.plain, rules.plain)
+_equal("values_equal_v2", equivalence.with_fractions, rules.with_fractions)
+_equal("values_equal_v3", equivalence.lenient, rules.lenient)
+_equal("values_equal_v5", equivalence.loose, rules.loose)
+_equal("verify_answer_last", equivalence.by_numbers, rules.by_numbers)
+
+
+@query(
+    _with(fx.COMPLETIONS, f"one as (select *, row_number() over () as rid from fx_comp), boxes as (select rid, problem_id, trim(unnest(regexp_extract_all(completion, {rules.NESTED}, 1))) as a0, cast(gold as varchar) as b0 from one)")
+    + f", v as (select a, b, bool_or(same) as same from {rules.by_numbers('(select distinct a0 as a, b0 as b from boxes)')} z group by 1, 2), r as (select rid, problem_id, bool_or(same) as accepted from boxes join v on a0 = a and b0 = b group by 1, 2) select problem_id, accepted, count(*) as n from r group by 1, 2"
+)
+def verify_answer_any(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d).where(F.size(boxed.all_nested(F.col("completion"))) > 0)
+    gold = F.col("gold").cast("string")
+    any_ = F.exists(boxed.all_nested(F.col("completion")), lambda x: equivalence.by_numbers(boxed.without_leftover_mark(text.strip(x)), gold))
+    return c.select("problem_id", any_.alias("accepted")).groupBy("problem_id", "accepted").agg(F.count("*").alias("n"))
+
+
+# Requests, responses, usage
+
+
+@query(
+    _with(fx.PROBLEMS)
+    + f"select 'request-' || (row_id + 1) as custom_id, 'POST' as method, '/v1/chat/completions' as url, 'solver' as model, '{SYSTEM}' as system_content, question as user_content, 2::bigint as n_messages from fx_prob"
+)
+def request_build(spark: SparkSession, d: str) -> DataFrame:
+    r = requests.build(fx.problems(spark, d), F.col("question"), "solver", SYSTEM)
+    m = F.col("body.messages")
+    return r.select("custom_id", "method", "url", "body.model", F.get(m, F.lit(0))["content"].alias("system_content"), requests.first_user(m).alias("user_content"), F.size(m).cast("long").alias("n_messages"))
+
+
+_RESPONSES = """resp as (select l_orderkey, l_linenumber, case when l_linenumber = 7 then '' else 'request-' || (l_partkey + case when l_orderkey % 10 = 0 then 1000000 else 0 end) end as custom_id from lineitem),
+req as (select 'request-' || row_id as custom_id, question, row_id from fx_prob union all select 'request-' || row_id, 'How big is part ' || (row_id - 1) || '?', row_id + 10000000 from fx_prob where row_id % 5 = 0),
+req1 as (select custom_id, arg_max(question, row_id) as question from req group by 1),
+gt as (select question, nullif(regexp_extract(answer, '####\\s*(\\d+(?:\\.\\d+)?)', 1), '') as gold, row_id from fx_prob),
+gt1 as (select question, arg_max(gold, row_id) as gold from gt where gold is not null group by 1)"""
+
+
+@query(_with(fx.PROBLEMS, _RESPONSES) + "select l_orderkey, l_linenumber, question, gold from resp join req1 using (custom_id) join gt1 using (question) where custom_id <> ''")
+def response_join_lastwins(spark: SparkSession, d: str) -> DataFrame:
+    known = F.col("l_partkey") + F.when(F.col("l_orderkey") % 10 == 0, 1_000_000).otherwise(0)
+    responses = table(spark, d, "lineitem").select(*KEY, F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("request-"), known.cast("string"))).alias("custom_id"))
+    p = fx.problems(spark, d)
+    asked = p.select(F.concat(F.lit("request-"), F.col("row_id").cast("string")).alias("custom_id"), "question", "row_id")
+    again = p.where("row_id % 5 = 0").select(F.concat(F.lit("request-"), F.col("row_id").cast("string")), F.concat(F.lit("How big is part "), (F.col("row_id") - 1).cast("string"), F.lit("?")), F.col("row_id") + 10_000_000)
+    gold = p.select("question", text.marked_answer(F.col("answer")).alias("gold"), "row_id").where("gold is not null")
+    return joins.answered(responses, asked.union(again), gold).select(*KEY, "question", "gold")
+
+
+@query(
+    _with(fx.PROBLEMS)
+    + r""", a as (select row_id, row_number() over (order by row_id) - 1 as position from fx_prob where regexp_matches(answer, '####\s*(\d+(?:\.\d+)?)')),
+b as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as position from orders where o_orderkey % 7 <> 0)
+select position, row_id, o_orderkey from a join b using (position)"""
+)
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    a = fx.problems(spark, d).where(text.marked_answer(F.col("answer")).isNotNull()).select("row_id")
+    b = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey")
+    return joins.by_position(a, b, "row_id", "o_orderkey")
+
+
+@query("select doc_id, n_chars from documents where coalesce(n_chars, 0) between 1 and 4096")
+def usage_filter(spark: SparkSession, d: str) -> DataFrame:
+    return requests.within_usage(table(spark, d, "documents"), F.col("n_chars")).select("doc_id", "n_chars")
+
+
+@query("select count(*) as total, count(*) filter (coalesce(n_chars, 0) between 1 and 4096) as kept, count(*) filter (not coalesce(n_chars, 0) between 1 and 4096) as discarded from documents")
+def usage_stats(spark: SparkSession, d: str) -> DataFrame:
+    return requests.usage_counts(table(spark, d, "documents"), F.col("n_chars"))
+
+
+@query(
+    _with(fx.PROBLEMS)
+    + "select 'request-' || row_id as custom_id, length(question)::bigint as prompt_tokens, length(answer)::bigint as completion_tokens, (length(question) + length(answer))::bigint as total_tokens, case when row_id % 2 = 0 then 'finetuned-' else '' end || 'solver-7b' as model, answer as content from fx_prob"
+)
+def prediction_record(spark: SparkSession, d: str) -> DataFrame:
+    used = requests.usage(F.length("question").cast("long"), F.length("answer").cast("long"))
+    r = fx.problems(spark, d).select(*requests.prediction(F.col("row_id"), F.col("question"), used, F.lit("/models/solver-7b"), F.col("row_id") % 2 == 0, F.lit(None).cast("string"), F.col("answer")))
+    return r.select("custom_id", "usage.*", "model", "message.content")
+
+
+# Conversations and prompts
+
+
+@query("select conv_id, arg_min(text, (turn, text)) as content from conversations where role = 'user' group by 1")
+def first_user_message(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.first_user(table(spark, d, "conversations"))
+
+
+_PAIRS = """s as (select conv_id, count(*) as n, string_agg(role, ',' order by turn, role, text) as roles, bool_or(not regexp_matches(text, '\\S')) as blank, sum(length(text)) // 4 as est from conversations group by 1)"""
+_PAIR = "n = 2 and roles = 'user,assistant'"
+
+
+@query(_with(_PAIRS) + f"select conv_id, est::bigint as estimate from s where {_PAIR}")
+def role_pair_filter(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("messages")
+    c = conversations.gathered(table(spark, d, "conversations")).where(conversations.is_pair(m))
+    return c.select("conv_id", numbers.token_estimate(F.get(m, F.lit(0))["content"], F.get(m, F.lit(1))["content"]).alias("estimate"))
+
+
+@query(_with(_PAIRS) + f"select case when not ({_PAIR}) or blank then 'malformed' when est > 128 then 'long' else 'kept' end as reason, count(*) as n from s group by 1")
+def skip_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.reason_counts(conversations.gathered(table(spark, d, "conversations")), conversations.skip_reason(F.col("messages"), longest=128))
+
+
+@query("select conv_id, turn, role, length(text) // 4 as estimate from conversations")
+def est_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", numbers.token_estimate(F.col("text")).alias("estimate"))
+
+
+@query(f"select conv_id, turn, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from conversations where role = 'user'")
+def chatml_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", prompts.chatml(SYSTEM, F.col("text")).alias("prompt"))
+
+
+@query("select conv_id, turn, case when turn % 2 = 0 then 'system:s|' else '' end || 'user:' || text as messages from conversations")
+def messages_flat(spark: SparkSession, d: str) -> DataFrame:
+    m = prompts.messages(F.col("text"), F.when(F.col("turn") % 2 == 0, "s").otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("messages"))
+
+
+@query("select conv_id, turn, coalesce(case when role = 'assistant' then 'because' end, '') || chr(10) || chr(10) || '---' || chr(10) || text as combined from conversations")
+def reasoning_combine(spark: SparkSession, d: str) -> DataFrame:
+    why = F.when(F.col("role") == "assistant", "because")
+    return table(spark, d, "conversations").select("conv_id", "turn", prompts.with_reasoning(why, F.col("text")).alias("combined"))
+
+
+@query(_with(fx.PROBLEMS) + f"select '{SYSTEM}' as instruction, question as input, chr(10) || chr(10) || '---' || chr(10) || answer || '<eos>' as output from fx_prob where length(question) > 0 and length(answer) > 0")
+def supervised_record(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.supervised(fx.problems(spark, d), F.col("question"), F.lit(None).cast("string"), F.col("answer"), SYSTEM, "<eos>")
+
+
+@query(_with(fx.COMPLETIONS) + f"select problem, solution, count(*) as n from (select 'p' || problem_id as problem, nullif(trim(regexp_extract(completion, {rules.NESTED}, 1)), '') as solution from fx_comp) where solution is not null group by 1, 2")
+def problem_solution(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d).select(F.concat(F.lit("p"), F.col("problem_id").cast("string")).alias("question"), F.col("completion").alias("content"))
+    return prompts.problem_solution(c).groupBy("problem", "solution").agg(F.count("*").alias("n"))
+
+
+# Rewards
+
+_LENGTH = "round(case when hi = lo then 0.0::double when correct then 0.5::double - (n_chars - lo) / (hi - lo)::double else least(0.0::double, 0.5::double - (n_chars - lo) / (hi - lo)::double) end, 9)"
+
+
+@query(_with(fx.LENGTHS) + f"select doc_id, {_LENGTH} as reward from (select *, min(n_chars) over (partition by source) as lo, max(n_chars) over (partition by source) as hi from fx_len)")
+def length_reward(spark: SparkSession, d: str) -> DataFrame:
+    return fx.lengths(spark, d).select("doc_id", F.round(rewards.length(F.col("n_chars"), F.col("correct"), ["source"]), 9).alias("reward"))
+
+
+@query(_with(fx.LENGTHS) + "select doc_id, round(case when correct then 0.5::double + 0.25::double * (1 + cos(n_chars / 1000.0::double * pi())) else -0.5::double + 0.25::double * (1 + cos(n_chars / 1000.0::double * pi())) end, 9) as reward from fx_len")
+def cosine_reward(spark: SparkSession, d: str) -> DataFrame:
+    return fx.lengths(spark, d).select("doc_id", F.round(rewards.Cosine()(F.col("n_chars"), F.col("correct")), 9).alias("reward"))
+
+
+@query("select doc_id, round(case when n_chars <= 12288 then 0.0::double when n_chars <= 16384 then (12288 - n_chars) / 4096.0::double else -1.0::double end, 9) as reward from documents")
+def overlong(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(rewards.overlong(F.col("n_chars")), 9).alias("reward"))
+
+
+_GRAMS = """w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) else [] end as g from w)"""
+
+
+@query(_with(_GRAMS) + "select doc_id, round(case when len(g) > 0 then -(1 - len(list_distinct(g)) / len(g)::double) else 0.0::double end, 9) + 0.0::double as reward from g")
+def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", (F.round(rewards.repetition_batches()(F.col("text")), 9) + F.lit(0.0)).alias("reward"))
+
+
+@query(SQL["repetition_penalty"])
+def repetition_penalty_native(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", (F.round(rewards.repetition(F.col("text")), 9) + F.lit(0.0)).alias("reward"))
+
+
+_COMPOSITE_PAIRS = f"(select distinct {rules.last_box('completion')} as a, cast(gold as varchar) as b from fx_comp)"
+
+
+@query(
+    _with(fx.COMPLETIONS, f"v as (select a, b, same from {rules.loose(_COMPOSITE_PAIRS)} z)")
+    + f"select l_orderkey, l_linenumber, case when {rules.last_box('completion')} is null or (length(completion) - length(replace(completion, '---', ''))) / 3 <> 1 then 0.0::double when same then 2.0::double else 0.2::double end as reward from fx_comp left join v on {rules.last_box('completion')} = a and cast(gold as varchar) = b"
+)
+def grpo_reward(spark: SparkSession, d: str) -> DataFrame:
+    answer = F.concat(F.lit("\\boxed{"), F.col("gold").cast("string"), F.lit("}"))
+    return fx.completions(spark, d).select(*KEY, rewards.composite(F.col("completion"), answer).alias("reward"))
+
+
+_LENIENT = _with(fx.COMPLETIONS, f"v as (select a, b, same from {rules.lenient(_COMPOSITE_PAIRS)} z)")
+_STEPS = r"least(1.0::double, len(regexp_extract_all(completion, '(Step \d+:|^\d+\.|\n-|\n\*|First,|Second,|Next,|Finally,)')) / 3.0::double)"
+
+
+@query(_LENIENT + f"select l_orderkey, l_linenumber, round(coalesce(case when same then 1.0::double when not same then 0.0::double end, 0.0::double) + 0.2::double * {_STEPS}, 9) as reward from fx_comp left join v on {rules.last_box('completion')} = a and cast(gold as varchar) = b")
+def weighted_reward(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string"))
+    scores = rewards.selected(["accuracy", "reasoning_steps"], parameters={"accuracy": {"last_box": boxed.last_nested}})
+    return c.select(*KEY, F.round(rewards.weighted(scores, {"accuracy": 1.0, "reasoning_steps": 0.2}), 9).alias("reward"))
+
+
+# Evaluation
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string")).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return evaluation.judged(c, "completion", "solution", boxed.last_nested)
+
+
+_VERDICT = "j as (select *, l_orderkey * 10 + l_linenumber as row_id, case when a is null then 'skipped' when same then 'right' else 'wrong' end as verdict from fx_comp left join v on " + f"{rules.last_box('completion')} = a and cast(gold as varchar) = b)"
+
+
+@query(_LENIENT + f", {_VERDICT} select count(*) filter (verdict <> 'skipped') as total, count(*) filter (verdict = 'right') as correct, round(100.0::double * count(*) filter (verdict = 'right') / count(*) filter (verdict <> 'skipped'), 9) as accuracy, count(*) filter (verdict = 'skipped') as skipped, 0::bigint as symbolic, count(*) filter (verdict <> 'skipped') as text from j")
+def accuracy_eval(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.summary(_judged(spark, d)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(_LENIENT + f", {_VERDICT} select row_id from j where verdict = 'wrong'")
+def error_indices(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.indices(_judged(spark, d), "wrong", "row_id")
+
+
+@query(_LENIENT + f", {_VERDICT} select string_agg(cast(row_id as varchar), ',' order by row_id) as first from (select row_id from j where verdict = 'skipped' order by row_id limit 20)")
+def skipped_indices_preview(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.index_preview(_judged(spark, d), "skipped", "row_id").select(F.array_join("first", ",").alias("first"))
+
+
+# Shuffles, splits, mixtures
+
+_SHUFFLED = "(select *, row_number() over (order by md5('{seed}:' || doc_id), doc_id) - 1 as at, count(*) over () as n from {of}) t"
+
+
+@query("select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as position from documents")
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 42, "position")
+
+
+@query("select doc_id, case when pos < floor(n * 0.8) then 'train' when pos < floor(n * 0.9) then 'val' else 'test' end as split from (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents)")
+def split_80_10_10(spark: SparkSession, d: str) -> DataFrame:
+    return splits.three_way(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("select doc_id, case when pos < n - floor(n * 5 / 100) then 'train' else 'eval' end as split from (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents)")
+def split_pct(spark: SparkSession, d: str) -> DataFrame:
+    return splits.held_out(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+@query("select doc_id, lang from (select doc_id, lang, row_number() over (order by md5('0:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents) where pos < floor(n * 0.25)")
+def weighted_subsample(spark: SparkSession, d: str) -> DataFrame:
+    return splits.subsample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 0.25)
+
+
+_PARTS = """p0 as (select '0:' || doc_id as _key, text from (select doc_id, text, row_number() over (order by md5('7:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents) where pos < floor(n * 0.5)),
+p1 as (select '1:' || item_id as _key, text from benchmark),
+m as (select _key, text, row_number() over (order by md5('7:' || _key), _key) - 1 as position, count(*) over () as n from (select * from p0 union all select * from p1))"""
+
+
+@query(_with(_PARTS) + "select _key, md5(text) as text_md5, position, case when position < n - floor(n * 0.1) then 'train' else 'test' end as split from m")
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs = splits.Part(table(spark, d, "documents"), "doc_id", ("text",), 0.5)
+    items = splits.Part(table(spark, d, "benchmark"), "item_id", ("text",), None)
+    return splits.mixture([docs, items], seed=7, test_size=0.1).select("_key", F.md5("text").alias("text_md5"), "position", "split")
+
+
+@query("select conv_id, role, md5(text) as h, 'conversations' as origin from conversations union all select item_id, 'user', md5(text), 'benchmark' from benchmark")
+def bag_concat(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "conversations").select("conv_id", "role", F.md5("text").alias("h"), F.lit("conversations").alias("origin"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("conv_id"), F.lit("user").alias("role"), F.md5("text").alias("h"), F.lit("benchmark").alias("origin"))
+    return sets.concat([a, b])
+
+
+# Token arrays
+
+_JOINED = "array_to_string({}, ',')"
+_MASK = "list_transform(list_zip(ids, range(len(ids))), lambda z: case when z[2] < source_len then -100 else z[1] end)"
+
+
+@query(_with(fx.TOKENS) + f"select doc_id, {_JOINED.format(_MASK)} as labels from fx_tok")
+def label_mask(spark: SparkSession, d: str) -> DataFrame:
+    return fx.tokens(spark, d).select("doc_id", F.array_join(arrays.label_mask(F.col("ids"), F.col("source_len")).cast("array<string>"), ",").alias("labels"))
+
+
+@query(
+    _with(fx.TOKENS)
+    + """, c as (select doc_id, batch, list_slice(ids, 1, 4096) as ids, source_len from fx_tok),
+w as (select *, max(len(ids)) over (partition by batch) as wide from c)
+select doc_id, batch, md5(array_to_string(list_concat(ids, list_transform(range(wide - len(ids)), lambda i: 0)), ',')) as input_md5,
+  md5(array_to_string(list_concat(""" + _MASK + """, list_transform(range(wide - len(ids)), lambda i: -100)), ',')) as label_md5,
+  len(ids)::bigint as attended, wide::bigint as width from w"""
+)
+def pad_collate(spark: SparkSession, d: str) -> DataFrame:
+    c = collate.collated(fx.tokens(spark, d), "batch", "ids", "source_len")
+    joined = lambda n: F.md5(F.array_join(F.col(n).cast("array<string>"), ","))
+    return c.select("doc_id", "batch", joined("input_ids").alias("input_md5"), joined("labels").alias("label_md5"), arrays.mask_length(F.col("attention_mask")).cast("long").alias("attended"), F.size("input_ids").cast("long").alias("width"))
+
+
+@query(_with(fx.TOKENS) + "select doc_id, len(list_filter(ids, lambda x: x <> 2))::bigint as n_tokens, array_to_string(list_transform(ids, lambda x: case when x <> 2 then 1 else 0 end), '') as mask from fx_tok")
+def attention_mask(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.tokens(spark, d)
+    bits = F.transform(arrays.attention(F.col("ids"), 2), lambda x: x.cast("int").cast("string"))
+    return t.select("doc_id", arrays.token_count(F.col("ids"), 2).cast("long").alias("n_tokens"), F.array_join(bits, "").alias("mask"))
+
+
+# Logs
+
+
+_SEGMENTS = """h as (select *, regexp_matches(value, '^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2},\\d{3} - 样本 (\\d+) 模型输出：') as head from fx_log),
+n as (select *, count(*) filter (head) over (partition by file order by row_id rows unbounded preceding) as segment from h),
+s as (select file, segment, max(case when head then regexp_extract(value, '样本 (\\d+) 模型', 1)::bigint end) as gsm8k_index,
+  coalesce(string_agg(regexp_replace(value, '^\\s+|\\s+$', '', 'g'), chr(10) order by row_id) filter (not head), '') as body from n where segment > 0 group by 1, 2),
+p as (select *, strpos(body, 'assistant') as mark from s)"""
+
+
+@query(
+    _with(fx.LOG, _SEGMENTS)
+    + "select file, segment, gsm8k_index, md5(body) as body_md5, case when mark > 0 then regexp_replace(left(body, mark - 1), '^\\s+|\\s+$', '', 'g') end as question, case when mark > 0 then regexp_replace(substr(body, mark + 9), '^\\s+|\\s+$', '', 'g') end as answer from p"
+)
+def log_segments(spark: SparkSession, d: str) -> DataFrame:
+    return logs.segments(fx.log(spark, d)).select("file", "segment", "gsm8k_index", F.md5("body").alias("body_md5"), "question", "answer")
+
+
+# Names and paths
+
+
+@query(r"select s_suppkey, regexp_replace(s_name || ' & co/7b', '[^0-9a-zA-Z_\-+.]', '_', 'g') as name from supplier")
+def sanitize_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", text.sanitized_name(F.concat("s_name", F.lit(" & co/7b"))).alias("name"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'data/a.b/' || p_partkey || '_filtered.jsonl' when p_partkey % 3 = 1 then 'data/a.b/' || p_partkey || '_filtered' else p_partkey || '.x_filtered.json' end as path from part")
+def path_suffix(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    p = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("data/a.b/"), k, F.lit(".jsonl"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("data/a.b/"), k)).otherwise(F.concat(k, F.lit(".x.json")))
+    return table(spark, d, "part").select("p_partkey", text.with_suffix(p).alias("path"))
+
+
+@query("select p_partkey, case p_partkey % 4 when 0 then p_size::bigint * 1000000000 when 1 then p_size::bigint * 2 * 1000000 when 2 then -1 else 1500000000 end::bigint as n from part")
+def param_count(spark: SparkSession, d: str) -> DataFrame:
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("Solver-"), s, F.lit("B-it"))).when(k == 1, F.concat(F.lit("s-2x"), s, F.lit("m"))).when(k == 2, "solver").otherwise("s-0.5b-1.5B-300m")
+    return table(spark, d, "part").select("p_partkey", text.parameter_count(name).alias("n"))
+
+
+@query("select p_partkey, (p_size // 7 + case when p_size % 7 > 0 then 1 else 0 end)::bigint as steps, list_max(list_filter(range(1, 9), lambda g: (p_size % g = 0) and (64 % g = 0)))::bigint as gpus, p_partkey // 64 as batch from part")
+def step_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", numbers.steps(F.col("p_size"), 7).alias("steps"), numbers.gpu_count(F.col("p_size")).cast("long").alias("gpus"), collate.batches(F.col("p_partkey"), 64).alias("batch"))
