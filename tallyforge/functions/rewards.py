@@ -36,8 +36,8 @@ def tag_count(completion: Column) -> Column:
 
 
 def reasoning_steps(completion: Column) -> Column:
-    """A third for each mark of a step, 1 at most."""
-    return F.least(F.lit(1.0), F.regexp_count(completion, F.lit(STEP)) / F.lit(3.0))
+    """A third for each mark of a step, 1 at most; null for null (``least`` alone would give 1)."""
+    return F.when(completion.isNotNull(), F.least(F.lit(1.0), F.regexp_count(completion, F.lit(STEP)) / F.lit(3.0)))
 
 
 def length(size: Column, correct: Column, group: list[str]) -> Column:

@@ -86,11 +86,12 @@ def arrow_file(spark: SparkSession, path: str) -> DataFrame:
 
 def columnar(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, or an Arrow file if it isn't Parquet."""
-    from pyspark.errors import AnalysisException
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return arrow_file(spark, path)
 
 
@@ -106,7 +107,9 @@ def load(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
         return json_lines(spark, path, schema, bad) if kind == "jsonl" else json_array(spark, path, schema)
     if kind == "txt":
         return text_lines(spark, path)
-    if kind in ("parquet", "arrow"):
+    if kind == "arrow":
+        return arrow_file(spark, first)
+    if kind == "parquet":
         return columnar(spark, first)
     raise ValueError(f"no reader for {kind!r}")
 

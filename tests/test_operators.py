@@ -1,0 +1,133 @@
+"""Operators on small tables: duplicates, gaps, nulls and both outcomes of each rule."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.functions import boxed
+from tallyforge.operators import conversations, evaluation, joins, logs, ordinals, passrate, prompts, requests, sets, splits
+
+
+def test_null_answers_hit_each_other(spark):
+    rows = spark.createDataFrame([(1, "x", None), (1, "5", "5.0"), (2, "5", "6")], "p int, gold string, pred string")
+    got = {r["p"]: r["pass_rate"] for r in passrate.pass_rate(rows, ["p"], F.col("pred"), F.col("gold"), 2).collect()}
+    assert got == {1: 1.0, 2: 0.0}
+
+
+def test_predictions_keep_nulls_in_order(spark):
+    rows = spark.createDataFrame([(1, 2, None), (1, 1, "a"), (1, 3, "c")], "p int, k int, v string")
+    assert passrate.predictions(rows, ["p"], "k", F.col("v")).first()["predictions"] == ["a", None, "c"]
+
+
+def test_sets_obey_conservation(spark):
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "k int")
+    u, m, b = ids(range(10)), ids([1, 2, 3, 3]), ids([3, 4])
+    values = lambda d: sorted(r[0] for r in d.collect())
+    assert values(sets.intersection(m, b, "k")) == [3] and values(sets.difference(m, b, "k")) == [1, 2]
+    assert values(sets.union(m, b, "k")) == [1, 2, 3, 4] and values(sets.complement(u, m, b, "k")) == [0, 5, 6, 7, 8, 9]
+    with pytest.raises(ValueError):
+        sets.concat([u, u.withColumnRenamed("k", "j")])
+
+
+def test_strangers_keep_null_keys(spark):
+    rows = spark.createDataFrame([(1,), (None,)], "k int")
+    assert sets.strangers(rows, spark.createDataFrame([(1,), (None,)], "k int"), "k").count() == 1
+
+
+def test_last_one_wins(spark):
+    responses = spark.createDataFrame([("a", 1), ("a", 2), ("", 3), ("z", 4), (None, 5)], "custom_id string, n int")
+    asked = spark.createDataFrame([("a", "q1", 1), ("a", "q2", 2)], "custom_id string, question string, row_id int")
+    known = spark.createDataFrame([("q2", "7", 1), ("q2", "8", 5), ("q1", "0", 1)], "question string, gold string, row_id int")
+    got = joins.answered(responses, asked, known).collect()
+    assert sorted((r["n"], r["question"], r["gold"]) for r in got) == [(1, "q2", "8"), (2, "q2", "8")]
+
+
+def test_positions_stop_at_the_shorter(spark):
+    a, b = spark.createDataFrame([(1,), (5,), (9,)], "x long"), spark.createDataFrame([(70_000,), (200_000,)], "y long")
+    assert sorted((r["x"], r["y"]) for r in joins.by_position(a, b, "x", "y").collect()) == [(1, 70_000), (5, 200_000)]
+    gap = joins.length_gap(a, b).first()
+    assert (gap["n_left"], gap["n_right"], gap["matched"], gap["mismatch"]) == (3, 2, 2, True)
+
+
+def test_ordinals_over_many_buckets(spark):
+    rows = spark.range(0, 1000).select((F.col("id") * 997).alias("k"))
+    got = [r["n"] for r in ordinals.dense(rows, "k", "n").orderBy("k").collect()]
+    assert got == list(range(1000))
+
+
+def test_log_segments(spark):
+    head = "2024-01-01 00:00:00,000 - 样本 {} 模型输出：rest"
+    lines = ["before", head.format(7), "  user asks ", "assistant", " says ", head.format(7), "only text", head.format(8)]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, row_id long, value string")
+    got = logs.segments(rows).orderBy("segment").collect()
+    assert [(r["gsm8k_index"], r["body"], r["question"], r["answer"]) for r in got] == [(7, "user asks\nassistant\nsays", "user asks", "says"), (7, "only text", None, None), (8, "", None, None)]
+    wanted = spark.createDataFrame([(7,)], "gsm8k_index long")
+    assert logs.selected(logs.segments(rows), wanted).count() == 1
+
+
+def test_request_ids_count_skipped_problems(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, None), (2, "c")], "row_id long, question string")
+    got = requests.build(rows, F.col("question"), "m", "s").collect()
+    assert sorted(r["custom_id"] for r in got) == ["request-1", "request-3"]
+    assert got[0]["body"]["messages"][0]["role"] == "system"
+
+
+def test_responses(spark):
+    schema = "custom_id string, response struct<body: struct<model: string, usage: struct<total_tokens: long>, choices: array<struct<message: struct<role: string, content: string>>>>>"
+    rows = spark.createDataFrame([("a", (("m", (5,), [(("assistant", "x"),)]),)), ("b", (("m", (5,), []),)), ("c", None)], schema)
+    assert [r["custom_id"] for r in requests.flatten(rows).collect()] == ["a"]
+
+
+def test_usage(spark):
+    rows = spark.createDataFrame([(0,), (1,), (4096,), (4097,), (None,)], "n long")
+    assert sorted(r["n"] for r in requests.within_usage(rows, F.col("n")).collect()) == [1, 4096]
+    assert tuple(requests.usage_counts(rows, F.col("n")).first()) == (5, 2, 3)
+
+
+def test_skip_reasons_in_order(spark):
+    u, a = ("user", "hi"), ("assistant", "ok")
+    cases = [([u, a], None, None), ([u, a], 5000, "long"), ([u], 5, "malformed"), ([a, u], None, "malformed"), ([u, ("assistant", " 　")], None, "malformed"), ([u, ("assistant", "x" * 20_000)], None, "long"), ([u, ("assistant", "x" * 20_000)], 10, None), ([u], 5000, "long")]
+    rows = spark.createDataFrame([(i, m, n) for i, (m, n, _) in enumerate(cases)], "i int, m array<struct<role: string, content: string>>, n long")
+    got = rows.select("i", conversations.skip_reason(F.col("m"), F.col("n")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == [c[2] for c in cases]
+    with pytest.raises(ValueError):
+        conversations.require_rows(rows.where("false"))
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([("q", None, "a"), ("", "r", "a")], "q string, r string, a string")
+    assert [r["output"] for r in prompts.supervised(rows, F.col("q"), F.col("r"), F.col("a"), "s", "<e>").collect()] == ["\n\n---\na<e>"]
+    m = rows.select(prompts.messages(F.col("q"), F.lit(""), F.col("a")).alias("m")).first()["m"]
+    assert [x["role"] for x in m] == ["user", "assistant"]
+    boxes = spark.createDataFrame([("p", "\\boxed{ 1 }"), ("p", "none"), ("", "\\boxed{1}")], "question string, content string")
+    assert [tuple(r) for r in prompts.problem_solution(boxes).collect()] == [("p", "1")]
+
+
+def test_splits_are_exact_disjoint_and_repeatable(spark):
+    rows = spark.range(0, 1003).withColumnRenamed("id", "k")
+    one, two = (sorted((r["k"], r["split"]) for r in splits.three_way(rows, "k").collect()) for _ in range(2))
+    sizes = [sum(s == n for _, s in one) for n in ("train", "val", "test")]
+    assert one == two and sizes == [802, 100, 101] and len({k for k, _ in one}) == 1003
+    assert splits.held_out(rows, "k").where("split = 'eval'").count() == 50
+    assert splits.subsample(rows, "k", 0.1).count() == 100
+
+
+def test_mixture(spark):
+    a, b = (spark.range(0, n).select("id", (F.col("id") * 2).alias("v")) for n in (10, 4))
+    got = splits.mixture([splits.Part(a, "id", ("v",), 0.5), splits.Part(b, "id", ("v",), None)], 1, 0.25)
+    assert got.count() == 9 and sorted(r["position"] for r in got.collect()) == list(range(9)) and got.where("split = 'test'").count() == 2
+    with pytest.raises(ValueError):
+        splits.mixture([])
+    with pytest.raises(ValueError):
+        splits.mixture([splits.Part(a, "id", ("v",)), splits.Part(b, "id", ("id",))])
+
+
+def test_evaluation_cascade(spark):
+    rows = spark.createDataFrame([(0, "\\boxed{2}", "2"), (1, "\\boxed{3}", "2"), (2, "no", "2"), (3, "\\boxed{2}", ""), (4, "two", "2")], "i long, o string, g string")
+    judged = evaluation.judged(rows, "o", "g")
+    assert [r["verdict"] for r in judged.orderBy("i").collect()] == ["right", "wrong", "skipped", "skipped", "skipped"]
+    assert tuple(evaluation.summary(judged).first()) == (2, 1, 50.0, 3, 0, 2)
+    assert evaluation.index_preview(judged, "skipped", "i", 2).first()["first"] == [2, 3]
+    symbolic = evaluation.judged(rows, "o", "g", boxed.last_nested, lambda a, b: True if a == "two" else None)
+    assert [r["method"] for r in symbolic.orderBy("i").collect()] == ["text", "text", None, None, "symbolic"]
+    nothing = evaluation.summary(judged.where("false")).first()
+    assert nothing["total"] == 0 and nothing["accuracy"] is None
