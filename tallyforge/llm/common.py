@@ -63,6 +63,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python in Arrow batches of ``rows`` rows at most (its default is 10,000), from here on in this session.
+
+    A batch exists several times over: as vectors and socket buffers in the JVM, outside of its heap, and as a copy and objects in
+    Python. With long texts, batches of the default size are what fills an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null, as a long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import Carried, pick
+from tallyforge.llm.common import Carried, pick, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of each language's dictionary, and documents of each language that it is made from: the bound of the fit.
@@ -90,6 +90,7 @@ def learn(docs: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "tex
     counts = {r["ll"]: (r["n"], r["share"]) for r in counts.collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for name, (_, part) in sorted(counts.items()) for x in (name, part)]), F.col("l")) if counts else F.lit(0.0)
     sample = rows.withColumn("share", share).withColumn("u", unit).where(F.col("u") < F.col("share")).select("l", "u", F.col("x").substr(start, F.lit(SAMPLE_CHARS)).alias("piece"))
+    small_batches(docs.sparkSession)
     by: dict[str, list[tuple[float, str]]] = {}
     for r in sample.collect():
         by.setdefault(r["l"], []).append((r["u"], r["piece"]))
