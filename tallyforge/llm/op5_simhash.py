@@ -101,7 +101,8 @@ def _search(radius: int):
             if begins:
                 tree, sets = BKTree(), _Sets()
             if begins and len(rows) == 1:  # most shards have one member; a tree is needed if more follow
-                tree.add(int(rows["fp"].iat[0]) & (1 << 64) - 1)
+                if rows["member"].iat[0]:
+                    tree.add(int(rows["fp"].iat[0]) & (1 << 64) - 1)
                 continue
             for fp, member in zip(rows["fp"].tolist(), rows["member"].tolist(), strict=True):
                 value = fp & (1 << 64) - 1

@@ -1,0 +1,507 @@
+"""The corpus operators against brute force, and on nulls, empty tables, ties, repeats and clashing columns."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallyforge.llm import common, op1_license, op2_quality_rules, op3_sharding, op4_packing, op5_simhash, op6_langid, op7_chat, op8_mixing, op9_ordinal, op10_embeddings
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SMALL = "/root/testdata/sf0.001"
+
+
+def docs(spark, texts, lang="en", source="s"):
+    rows = [(i, t, lang if isinstance(lang, str) else lang[i], source if isinstance(source, str) or source is None else source[i], len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def odd(spark):
+    """Null, empty, blank, very long and repeated texts, a repeated and a null key, null language and source, clashing columns."""
+    rows = [(0, None, None, None, None), (1, "", "en", "a", 0), (2, " \n\t", "en", "a", 3), (3, "word " * 60_000, "en", "a", 300_000), (4, "same text here", "de", "b", 14), (5, "same text here", "de", "b", 14), (5, "same text here", "de", "b", 14), (None, "no key", "fr", "b", 6), (7, "Ünïcödé ☃ 𝒳", "fr", None, 11)]
+    more = {"kept": 1, "TEXT": "x", "h": 2, "size": "y", "k": 0, "_c0": 9}
+    return spark.createDataFrame(rows, DOCS).select("*", *[F.lit(v).alias(n) for n, v in more.items()])
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+# Shared
+
+
+def components(edges):
+    up = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {a: root(a) for a in up}
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random"])
+def test_components(spark, kind):
+    rng = random.Random(3)
+    ids = rng.sample(range(-500, 10_000), 120)
+    edges = {"chain": list(zip(ids, ids[1:])), "star": [(ids[0], x) for x in ids[1:]], "random": [(rng.choice(ids), rng.choice(ids)) for _ in range(90)]}[kind]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = common.connected_components(spark.createDataFrame([*edges, *edges[:5], (1, 1), (None, 2)], "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == components(edges) and len(got) == len(components(edges))
+
+
+def test_components_of_nothing(spark):
+    assert common.connected_components(common.empty(spark, "a long, b long")).count() == 0
+
+
+# 1
+
+
+def test_licenses(spark):
+    mit = op1_license.KNOWN["MIT"][0]
+    texts = [mit, "Copyright (c) 1999 A. Nother\nAll rights reserved.\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-licence"), mit + " extra", "RELEASED under the\tMIT licence", None, "", "...", "Copyright 2001 X"]
+    got = op1_license.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == ["MIT", "MIT", "MIT", None, "MIT-notice", None, None, None, None]
+    assert got[5]["digest"] is None and got[6]["digest"] == got[7]["digest"] == got[8]["digest"] and [r["is_license"] for r in got][:4] == [True, True, True, False]
+    assert op1_license.license_scan(odd(spark)).count() == 9
+
+
+def test_each_known_license_finds_itself(spark):
+    texts = [(k, t) for k, ts in op1_license.KNOWN.items() for t in ts]
+    got = op1_license.license_scan(docs(spark, [t for _, t in texts])).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [k for k, _ in texts]
+
+
+# 2
+
+
+def brute_stats(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered)
+
+
+def test_stats_against_brute_force():
+    rng = random.Random(1)
+    texts = [None, "", " ", "a a a a", "a b c a b c", "x\nx\n \n \nx", "é☃𝒳 $%<", "a\x0bb\x0cc\xa0d\x85e\x1cf"] + ["".join(rng.choice("ab c#\né") for _ in range(80)) for _ in range(60)]
+    for t in texts:
+        assert op2_quality_rules.text_stats(None if t is None else t.encode())[:5] == brute_stats(t), t
+
+
+def test_binomial():
+    import math
+
+    for k, n, p in ((0, 5, 0.1), (2, 10, 0.3), (10, 10, 0.5), (3, 400, 0.01)):
+        assert op2_quality_rules.binomial_below(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+
+def test_certify():
+    good, bad = [0] * 101, [0] * 101
+    good[0], bad[60], bad[61] = 5000, 10, 5
+    assert op2_quality_rules.certify(good, bad, 0.01, 0.01) == 59
+    good[0] = 20  # too few to be sure of anything
+    assert op2_quality_rules.certify(good, bad, 0.01, 0.01) is None
+    good = [0] * 101
+    good[80] = 5000  # stricter than 0.8 would reject all
+    bad[90] = 3
+    assert op2_quality_rules.certify(good, bad, 0.01, 0.01) == 89
+
+
+def test_quality(spark):
+    clean = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(700)]
+    junk = [" ".join(f"w{i}y{j}###$$$" for j in range(80)) for i in range(40)]
+    rated = labels(spark, [(i, 1, 0) for i in range(690)] + [(700 + i, 0, 0) for i in range(30)] + [(0, None, 0), (None, 1, 0)])
+    got = op2_quality_rules.quality(docs(spark, clean + junk), rated, risk=0.1).orderBy("doc_id").collect()
+    assert all(r["kept"] for r in got[:700]) and not any(r["kept"] or r["base_failed"] for r in got[700:])
+    odd_ones = op2_quality_rules.quality(odd(spark), rated).collect()
+    assert len(odd_ones) == 9 and sum(r["n_words"] == 0 for r in odd_ones) == 3 and all(r["base_failed"] for r in odd_ones)
+    assert op2_quality_rules.quality(docs(spark, []).limit(0), rated.limit(0)).count() == 0
+
+
+# 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 400])
+def test_shards(spark, n):
+    rng = random.Random(n)
+    texts = ["x" * rng.choice([1, 20, 300, 301, 5000]) for _ in range(n)]
+    got = op3_sharding.shard(docs(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(n))
+    assert all(r["size"] == len(texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    if n > 8:
+        load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+        assert max(load) - min(load) <= 2 * 5001 and sum(load) == sum(len(t) + 1 for t in texts)
+
+
+def test_shards_of_odd_rows(spark):
+    got = op3_sharding.shard(odd(spark)).collect()
+    assert len(got) == 9 and {r["size"] for r in got if r["doc_id"] == 0} == {1}
+    again = op3_sharding.shard(odd(spark)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_ring_walks_past_full_shards(spark):
+    """Bounded loads by hand: rows in order of arrival go to the first shard clockwise with room for their slice."""
+    rows = op3_sharding.shard(docs(spark, ["x" * 50] * 300), slack=0.02).collect()
+    load = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert max(load) <= 1.02 * sum(load) / 8 + 51
+    at_home = sum(r["shard"] == r["home_shard"] for r in rows)
+    assert at_home > 150  # most stay where their hash sends them
+    full = {s for s in range(8) if load[s] > 0.95 * sum(load) / 8}
+    assert all(r["home_shard"] in full for r in rows if r["shard"] != r["home_shard"])
+
+
+# 4
+
+
+def brute_padding(lengths, buckets):
+    from functools import cache
+
+    values = sorted(set(lengths))
+
+    @cache
+    def best(i, k):
+        if i == len(values):
+            return 0
+        if k == 0:
+            return float("inf")
+        return min(sum(values[j] - x for x in lengths if values[i] <= x <= values[j]) + best(j + 1, k - 1) for j in range(i, len(values)))
+
+    return best(0, buckets)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_boundaries_are_optimal(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([0, 1, 2, 5, 9, 40, 41, 77, 300]) for _ in range(40)]
+    values, counts = np.unique(lengths, return_counts=True)
+    for buckets in (1, 2, 3, 5, 20):
+        ends = op4_packing.best_boundaries(values, counts, buckets)
+        assert len(ends) <= buckets and ends == sorted(set(ends)) and ends[-1] == max(lengths)
+        assert sum(min(e for e in ends if e >= x) - x for x in lengths) == brute_padding(tuple(lengths), buckets)
+
+
+def test_packing(spark):
+    texts = ["w " * (i % 37) for i in range(300)] + ["w " * 500, None]
+    got = op4_packing.pack(docs(spark, texts), buckets=4, budget=100).collect()
+    assert len(got) == 302 and sum(r["padding"] for r in got) == brute_padding(tuple(len((t or "").split()) for t in texts), 4)
+    batches = {}
+    for r in got:
+        batches.setdefault((r["bucket"], r["batch_id"]), []).append(r)
+    for (bucket, _), rows in batches.items():
+        assert sorted(r["batch_row"] for r in rows) == list(range(len(rows))) and len({r["padded_len"] for r in rows}) == 1
+        assert len(rows) == 1 or len(rows) * rows[0]["padded_len"] <= 100
+    for bucket in {b for b, _ in batches}:
+        ids = sorted(i for b, i in batches if b == bucket)
+        assert ids == list(range(len(ids))) and all(len(batches[bucket, i]) == batches[bucket, i][0]["batch_rows"] for i in ids[:-1])
+    assert op4_packing.pack(odd(spark)).count() == 9 and op4_packing.pack(odd(spark).limit(0)).count() == 0
+
+
+# 5
+
+
+def brute_print(t):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), seed=42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    for t in [None, "", " ", "a", "A b", "a B c", "É é a\xa0b", "x " * 9, "one two three four five Six", "a\x0bb\x0cc\x1cd"]:
+        assert op5_simhash.fingerprint(None if t is None else t.encode()) == brute_print(t)
+
+
+def test_bk_tree():
+    rng = random.Random(2)
+    values = [rng.getrandbits(12) for _ in range(300)]
+    tree = op5_simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for q in [*values[:40], *(rng.getrandbits(12) for _ in range(40))]:
+        for radius in (0, 1, 2, 4):
+            assert sorted(tree.within(q, radius)) == sorted({v for v in values if (v ^ q).bit_count() <= radius})
+
+
+@pytest.mark.parametrize("tree_rows", [5, 32_768])
+def test_simhash_links(spark, tree_rows, monkeypatch):
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    prints = list(dict.fromkeys(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for c in centres for _ in range(60)))
+    monkeypatch.setattr(op5_simhash, "TREE_ROWS", tree_rows)
+    rows = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    got = [(int(np.int64(r["a"]).view(np.uint64)), int(np.int64(r["b"]).view(np.uint64))) for r in op5_simhash.links(rows).collect()]
+    assert all((a ^ b).bit_count() <= 2 for a, b in got)
+    all_ = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2]
+    assert components(got) == components(all_)
+    assert tree_rows == 5 or len(got) < len(all_)
+
+
+def test_simhash(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base + " zz", "other words here", base, base + " zz", None, "", base.replace("w7 ", "w8 ", 1), "   "]
+    got = op5_simhash.simhash(docs(spark, texts)).orderBy("doc_id").collect()
+    prints = [brute_print(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    want = components(links)
+    assert [int(r["fingerprint"], 16) for r in got] == prints and [r["component_id"] for r in got] == [want.get(i, i) for i in range(len(texts))]
+    odd_ones = op5_simhash.simhash(odd(spark)).collect()
+    assert len(odd_ones) == 9 and [r["component_id"] for r in odd_ones if r["doc_id"] is None] == [None] and {r["component_id"] for r in odd_ones if r["doc_id"] == 2} == {0}
+    kept = op5_simhash.dedup_documents(odd(spark))
+    assert kept.columns == odd(spark).columns and sorted((r["doc_id"] for r in kept.toDF(*[f"x{i}" if c != "doc_id" else c for i, c in enumerate(kept.columns)]).collect()), key=str) == [0, 3, 4, 7, None]
+    assert op5_simhash.simhash(docs(spark, []).limit(0)).count() == 0
+
+
+# 6
+
+
+def babble(rng, syllables, n):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_language(spark):
+    rng = random.Random(5)
+    sounds = {"aa": ["ka", "to", "mi", "ra", "shi"], "bb": ["schen", "ung", "ver", "ein", "zt"], "cc": ["eau", "oix", "ment", "ille", "que"]}
+    langs = [rng.choice(list(sounds)) for _ in range(400)]
+    texts = [babble(rng, sounds[x], 60) for x in langs]
+    got = op6_langid.identify(docs(spark, [*texts, None, "", "123 !!"], [*langs, "aa", "aa", None])).orderBy("doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [(r["lang_pred"], langs[r["doc_id"]]) for r in got[:400] if r["held_out"]]
+    assert np.mean([a == b for a, b in held]) > 0.98 and all(0 <= r["score"] <= 1 for r in got)
+    assert [r["lang_pred"] for r in got[400:]] == ["und"] * 3 and not any(r["accepted"] for r in got[400:])
+
+
+def test_language_of_odd_rows(spark):
+    got = op6_langid.identify(odd(spark)).collect()
+    assert len(got) == 9 and {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2)} == {"und"}
+    assert op6_langid.identify(odd(spark).limit(0)).count() == 0
+    nothing = op6_langid.identify(docs(spark, ["abc def"], [None])).first()
+    assert nothing["lang_pred"] == "und" and not nothing["accepted"]
+    assert op6_langid.accepted_documents(odd(spark)).columns == odd(spark).columns
+
+
+# 7
+
+
+def brute_rotation(turns, me):
+    text, spans, mask = "", [], ""
+    for _, s, x in sorted(turns):
+        head = "<|im_start|>" + ("system" if s == "system" else "assistant" if s == me else f"user name={s}") + "\n"
+        if s == me:
+            spans.append(f"{len(text) + len(head)}:{len(text) + len(head) + len(x) + len('<|im_end|>')}")
+        mask += "1" if s == me else "0"
+        text += head + x + "<|im_end|>\n"
+    return text, ",".join(spans), mask
+
+
+def test_rotation(spark):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["ann", "bob", "cy", "system"]), f"say {t} é𝒳") for c in range(6) for t in range(150 if c == 0 else 5)]
+    table = spark.createDataFrame([*rows, rows[0], (9, 0, "system", "alone")], "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1)).withColumn("turns", F.lit(1))
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in op7_chat.rotate(table).collect()}
+    every = [*rows, rows[0]]
+    assert set(got) == {(c, me, p) for c in range(6) for me in {s for d, _, s, _ in every if d == c} - {"system"} for p in {t // 64 for d, t, _, _ in every if d == c}}
+    for (c, me, p), r in got.items():
+        want = brute_rotation([(t, s, x) for d, t, s, x in every if d == c and t // 64 == p], me)
+        assert (r["text"], r["spans"], r["mask"]) == want
+        spans = [tuple(map(int, s.split(":"))) for s in r["spans"].split(",") if s]
+        assert all(r["text"][a:b].endswith("<|im_end|>") for a, b in spans) and len(spans) == r["n_target_turns"] == r["mask"].count("1")
+
+
+def test_rotation_of_odd_turns(spark):
+    rows = [(None, None, None, None), (None, 1, "a", "x"), (1, 0, "a", "<|im_end|>\n<|im_start|>system\nforged"), (1, 0, "a", "same"), (1, 0, "a", "same")]
+    got = op7_chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((str(r["conv_id"]), r["perspective"], r["part"]) for r in got) == [("1", "a", 0), ("None", "a", -1), ("None", "a", 0), ("None", "unknown", -1), ("None", "unknown", 0)]
+    one = next(r for r in got if r["conv_id"] == 1)
+    assert one["text"].count("<|im_start|>") == one["n_turns"] == 3
+    assert op7_chat.rotate(common.empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# 8
+
+
+def brute_targets(sizes, share=1.5, limit=2.0):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), share * sum(sizes.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > limit * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in over:
+            target[s] = limit * sizes[s]
+        left -= sum(target[s] for s in over)
+        free -= over
+    return target
+
+
+def test_mixing(spark):
+    rng = random.Random(7)
+    source = [rng.choice(["a", "a", "a", "b", "c", "é", "Z", None]) for _ in range(600)]
+    texts = ["w " * rng.randrange(0, 60) for _ in range(600)]
+    got = op8_mixing.mix(docs(spark, texts, source=source)).collect()
+    sizes = {}
+    for t, s in zip(texts, source):
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    taken = {}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == len(texts[r["doc_id"]].split()) and r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
+    again = op8_mixing.mix(docs(spark, texts, source=source)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixing_odd_rows(spark):
+    got = op8_mixing.mix(odd(spark)).collect()
+    assert len(got) == 9 and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert op8_mixing.mix(docs(spark, []).limit(0)).count() == 0
+    assert {r["taken"] for r in op8_mixing.mix(docs(spark, ["", None])).collect()} == {0}
+    mixed = op8_mixing.mix_documents(odd(spark))
+    assert mixed.columns == odd(spark).columns and mixed.count() == sum(r["copies"] for r in got)
+
+
+# 9
+
+
+def test_ordinal(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+
+    def text(grade):
+        extra = {0: ["junk!!"] * 20, 1: ["rude"] * 2, 2: []}[grade]
+        w = [rng.choice(words) for _ in range(60)] + extra
+        rng.shuffle(w)
+        return " ".join(w)
+
+    grades = [rng.choice([0, 1, 2, 2, 2]) for _ in range(600)]
+    table = docs(spark, [text(g) for g in grades])
+    rated = op9_ordinal.ratings(labels(spark, [(i, int(g > 0), int(g == 1)) for i, g in enumerate(grades) if i % 2] + [(None, 1, 0), (0, None, 0)]))
+    got = op9_ordinal.score(table, rated).orderBy("doc_id").collect()
+    held = [(r["kept"], grades[r["doc_id"]] == 2) for r in got if r["doc_id"] % 2 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.9
+    mean = [np.mean([r["expected_grade"] for r in got if grades[r["doc_id"]] == g]) for g in range(3)]
+    assert mean[0] < mean[1] < mean[2] and all(r["p_above_0"] >= r["p_above_1"] for r in got)
+
+
+def test_ordinal_without_ratings_and_odd_rows(spark):
+    none = op9_ordinal.ratings(labels(spark, []).limit(0))
+    got = op9_ordinal.score(odd(spark), none).collect()
+    assert len(got) == 9 and all(r["expected_grade"] == pytest.approx(1.0) for r in got)
+    assert op9_ordinal.score(odd(spark).limit(0), none).count() == 0
+    assert op9_ordinal.kept_documents(odd(spark), none).columns == odd(spark).columns
+    one_grade = op9_ordinal.ratings(labels(spark, [(3, 1, 0), (4, 1, 0)]))
+    assert all(r["p_above_1"] > 0.5 for r in op9_ordinal.score(odd(spark), one_grade).collect())
+
+
+def test_ordinal_gradient():
+    """The fit's steps lower the penalised loss, and thresholds stay in order."""
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 50, 5)).astype(np.int32) for _ in range(200)]
+    grades = np.array([int(3 * (r < 10).mean() + rng.random() > 0.9) + int((r < 5).any()) for r in rows]).clip(0, 2)
+    loss = lambda m: -np.log(np.maximum(np.column_stack([1 - m.tails(rows)[:, 0], m.tails(rows)[:, 0] - m.tails(rows)[:, 1], m.tails(rows)[:, 1]])[np.arange(200), grades], 1e-12)).sum() + 0.5 * (m.weights**2).sum()
+    models = [op9_ordinal.fit(rows, grades, 2, rounds=n) for n in (1, 20, 200)]
+    assert loss(models[0]) > loss(models[1]) > loss(models[2]) - 1e-6 and models[2].cuts[0] < models[2].cuts[1]
+
+
+# 10
+
+
+def brute_vectors(ids, vectors, cosine=0.95):
+    ok = [v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) and i is not None for i, v in zip(ids, vectors)]
+    links = []
+    for i in range(len(ids)):
+        for j in range(i):
+            if ok[i] and ok[j] and len(vectors[i]) == len(vectors[j]):
+                a, b = np.array(vectors[i], float), np.array(vectors[j], float)
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= cosine:
+                    links.append((i, j))
+    return links
+
+
+@pytest.mark.parametrize("rows", [7, 4096])
+def test_embeddings(spark, rows, monkeypatch):
+    monkeypatch.setattr(op10_embeddings, "HOME_ROWS", rows)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    vectors = [(centres[rng.integers(12)] + rng.normal(size=16) * rng.choice([0.02, 0.2, 0.5])).astype(np.float32).tolist() for _ in range(180)]
+    vectors += [vectors[0]] * 5 + [[2 * x for x in vectors[1]]] + [[1.0, 0.0]] * 2 + [[1.0, 0.01]]
+    table = spark.createDataFrame([(1000 - i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("id", F.lit(2))
+    ids = [1000 - i for i in range(len(vectors))]
+    links = brute_vectors(ids, vectors)
+    want = components([(ids[i], ids[j]) for i, j in links])
+    count = {i: 0 for i in ids}
+    for i, j in links:
+        count[ids[i]] += 1
+        count[ids[j]] += 1
+    got = {r["vec_id"]: r for r in op10_embeddings.near_duplicates(table).collect()}
+    assert len(got) == len(ids) and len(links) > 100
+    for i in ids:
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (count[i], want.get(i, i), want.get(i, i) == i)
+
+
+def test_odd_embeddings(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0, 0.0], [1.0, 0.0], [1e-30, 0.0], [3e38, 0.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(None, [1.0, 0.0]), (6, [1.0, 0.0])]
+    got = op10_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 12
+    by = {r["vec_id"]: r for r in got}
+    assert all((by[i]["n_links"], by[i]["component_id"], by[i]["kept"]) == (0, i, True) for i in range(6))
+    assert (by[None]["n_links"], by[None]["component_id"], by[None]["kept"]) == (0, None, False)
+    assert {(r["n_links"], r["component_id"]) for r in got if r["vec_id"] in (6, 7, 8, 9)} == {(4, 6)}
+    assert op10_embeddings.near_duplicates(common.empty(spark, "vec_id long, embedding array<float>")).count() == 0
+
+
+# Pipeline
+
+
+def test_stages_take_effect(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, before = rows.columns, {r["doc_id"]: r for r in rows.collect()}
+    seen = [rows]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(common.materialize(stage(spark, seen[-1], SMALL), "stage"))
+    ids = [sorted(r["doc_id"] for r in d.select("doc_id").collect()) for d in seen]
+    assert all(d.columns == columns for d in seen[:-1]) and len(ids[5]) == len(ids[4])
+    assert set(ids[1]) < set(ids[0]) or len(ids[1]) == len(ids[0])
+    assert set(ids[2]) < set(ids[1]) and set(ids[3]) < set(ids[2]) and set(ids[4]) <= set(ids[3])
+    prints = {i: brute_print(before[i]["text"]) for i in ids[2]}
+    links = [(a, b) for a in ids[2] for b in ids[2] if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    group = components(links)
+    assert ids[3] == [i for i in ids[2] if group.get(i, i) == i]
+    assert all(r == before[r["doc_id"]] for r in seen[4].collect())
+    lengths = {r["doc_id"]: r["n_tokens"] for r in seen[5].collect()}
+    assert all(lengths[i] == len(before[i]["text"].encode().split()) for i in ids[5])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Each stage takes what may come: nulls, no rows, clashing columns."""
+    labels(spark, [(3, 1, 0), (4, 0, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (odd(spark), odd(spark).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            assert out.count() <= 2 * table.count()
+            assert name == "packing" or out.columns == table.columns
