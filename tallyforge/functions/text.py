@@ -103,7 +103,8 @@ def model_label(path: Column, tuned: Column) -> Column:
 
 
 def encoded(c: Column) -> Column:
-    return F.base64(c.cast("binary"))
+    """Base64 on one line."""
+    return F.replace(F.base64(c.cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def task_list(suite: str, tasks: Column, shots: int = 0) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.functions import arrays, boxed, equivalence, numbers, rewards, text
+from tallyforge.functions import arrays, boxed, equivalence, external, numbers, rewards, text
 from tallyforge.operators import collate, conversations, evaluation, joins, logs, passrate, prompts, requests, sets, splits
 from tallyforge.operators.ordinals import dense, shuffled
 from tallyforge.plans import fixtures as fx, rules
 from tallyforge.plans.fixtures import table
+from tallyforge.sources import readers, scratch, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -505,3 +506,104 @@ def param_count(spark: SparkSession, d: str) -> DataFrame:
 @query("select p_partkey, (p_size // 7 + case when p_size % 7 > 0 then 1 else 0 end)::bigint as steps, list_max(list_filter(range(1, 9), lambda g: (p_size % g = 0) and (64 % g = 0)))::bigint as gpus, p_partkey // 64 as batch from part")
 def step_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", numbers.steps(F.col("p_size"), 7).alias("steps"), numbers.gpu_count(F.col("p_size")).cast("long").alias("gpus"), collate.batches(F.col("p_partkey"), 64).alias("batch"))
+
+
+# Slices, boundaries, formats
+
+
+@query("select p_partkey, p_name from (select *, row_number() over (order by p_partkey) - 1 as row_id from part) where row_id < 100")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return splits.first_rows(dense(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "row_id"), 100).drop("row_id")
+
+
+@query("select p_partkey, p_name from (select *, row_number() over (order by p_partkey) - 1 as row_id from part) where row_id >= 64 and row_id < 128")
+def row_slice(spark: SparkSession, d: str) -> DataFrame:
+    return splits.slice_rows(dense(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "row_id"), 64, 128).drop("row_id")
+
+
+@query(_with(fx.COMPLETIONS) + f"select problem_id, gold, a as answer, {rules.number('a')} as strict_value, round({rules.number('a')}, 5) as rounded, {rules.loose_number('a')} as loose_value, count(*) as n from (select problem_id, gold, {rules.last_box('completion')} as a from fx_comp) where a is not null group by all")
+def normalize_number(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("answer")
+    c = fx.completions(spark, d).select("problem_id", "gold", boxed.last_nested(F.col("completion")).alias("answer")).where("answer is not null").groupBy("problem_id", "gold", "answer").agg(F.count("*").alias("n"))
+    return c.select("problem_id", "gold", "answer", numbers.to_number(a).alias("strict_value"), numbers.rounded_number(a).alias("rounded"), numbers.loose_number(a).alias("loose_value"), "n")
+
+
+@query("select conv_id, turn, conv_id || ' 模型输出：' || left(text, 60) as line from conversations")
+def log_line_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", text.log_line(F.col("conv_id"), text.preview(F.col("text"), 60)).alias("line"))
+
+
+@query("select item_id, base64(encode(text)) as encoded, 'suite|a|0|0,suite|b' || item_id || '|0|0' as tasks from benchmark")
+def encoded_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", text.encoded(F.col("text")).alias("encoded"), text.task_list("suite", F.concat(F.lit("a,b"), F.col("item_id").cast("string"))).alias("tasks"))
+
+
+@query("select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::bigint as n_tokens, -1::bigint as unknown from documents")
+def tokenizer_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", external.token_counts("words")(F.col("text")).alias("n_tokens"), external.token_counts("unknown")(F.col("text")).alias("unknown"))
+
+
+def _answer(prompt: str) -> str:
+    if len(prompt) % 5 == 0:
+        raise RuntimeError("refused")
+    return f"{prompt}!"
+
+
+@query(
+    "select conv_id, turn, case when role = 'user' then text end as user_content, case when role = 'user' and length(text) % 5 <> 0 then text || '!' end as response, case when role <> 'user' then 'No user message found' when length(text) % 5 = 0 then 'refused' end as error from conversations"
+)
+def remote_map(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("prompt"))
+    return external.remote_map(asked, "prompt", _answer).drop("prompt")
+
+
+@query("select conv_id, turn, s.k as sample, text || '#' || s.k as output from conversations, (select unnest([0, 1])::integer as k) s where role = 'user'")
+def sampled_generation(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return external.generate(asked, "text", lambda ps: [[f"{p}#{k}" for k in range(2)] for p in ps], 2).drop("text")
+
+
+@query(_LENIENT + ", j as (select case when a is null then 'skipped' when contains(completion, 'think') then 'right' when same then 'right' else 'wrong' end as verdict, case when a is null then null when contains(completion, 'think') then 'symbolic' else 'text' end as method from fx_comp left join v on " + f"{rules.last_box('completion')} = a and cast(gold as varchar) = b) select verdict, method, count(*) as n from j group by 1, 2")
+def symbolic_cascade(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string"))
+    return evaluation.judged(c, "completion", "solution", boxed.last_nested, lambda a, b: True if "think" in a else None).groupBy("verdict", "method").agg(F.count("*").alias("n"))
+
+
+_TURNS = "select conv_id, turn, role, text from conversations"
+
+
+@query(_TURNS)
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), scratch.folder(spark, "jsonl")
+    writers.json_lines(rows, at)
+    return readers.json_lines(spark, at, rows.schema)
+
+
+@query(_TURNS)
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), scratch.folder(spark, "csv")
+    writers.csv(rows, at)
+    return readers.csv(spark, at, rows.schema)
+
+
+@query("select cast(row_number() over (order by p_partkey) - 1 as bigint) as row_id, 'part ' || p_partkey as value from part")
+def text_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "text")
+    writers.log_lines(table(spark, d, "part").orderBy("p_partkey"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")), at, append=False)
+    return readers.text_lines(spark, at).select("row_id", "value")
+
+
+@query("select split, count(*) as n, sum(doc_id)::bigint as ids from (select doc_id, case when pos < floor(n * 0.8) then 'train' when pos < floor(n * 0.9) then 'val' else 'test' end as split from (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as pos, count(*) over () as n from documents)) group by 1")
+def cached_splits(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "splits")
+    writers.splits(splits.three_way(table(spark, d, "documents").select("doc_id"), "doc_id"), at)
+    there = readers.cached(spark, at)
+    return sets.concat([rows.agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("split", F.lit(name)) for name, rows in there.items()])
+
+
+@query("select output, count(*) as n, sum(n_chars)::bigint as chars from (select source || '_filtered.jsonl' as output, n_chars from documents where coalesce(n_chars, 0) between 1 and 4096) group by 1")
+def filtered_by_source(spark: SparkSession, d: str) -> DataFrame:
+    kept = requests.within_usage(table(spark, d, "documents").select("doc_id", "source", "n_chars"), F.col("n_chars"))
+    at = scratch.folder(spark, "by-source")
+    writers.by_source(kept.withColumn("source_file", F.concat(F.lit("in/"), F.col("source"), F.lit(".jsonl"))).drop("source"), at)
+    return spark.read.schema("doc_id long, n_chars long, output string").json(at).groupBy("output").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import boxed
-from tallyforge.operators import conversations, evaluation, joins, logs, ordinals, passrate, prompts, requests, sets, splits
+from tallyforge.operators import conversations, evaluation, jobs, joins, logs, ordinals, passrate, prompts, requests, sets, splits
 
 
 def test_null_answers_hit_each_other(spark):
@@ -59,6 +59,7 @@ def test_log_segments(spark):
     lines = ["before", head.format(7), "  user asks ", "assistant", " says ", head.format(7), "only text", head.format(8)]
     rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, row_id long, value string")
     got = logs.segments(rows).orderBy("segment").collect()
+    assert got == logs.segments(rows, block=2).orderBy("segment").collect()
     assert [(r["gsm8k_index"], r["body"], r["question"], r["answer"]) for r in got] == [(7, "user asks\nassistant\nsays", "user asks", "says"), (7, "only text", None, None), (8, "", None, None)]
     wanted = spark.createDataFrame([(7,)], "gsm8k_index long")
     assert logs.selected(logs.segments(rows), wanted).count() == 1
@@ -131,3 +132,32 @@ def test_evaluation_cascade(spark):
     assert [r["method"] for r in symbolic.orderBy("i").collect()] == ["text", "text", None, None, "symbolic"]
     nothing = evaluation.summary(judged.where("false")).first()
     assert nothing["total"] == 0 and nothing["accuracy"] is None
+
+
+def test_batch_job():
+    class Service:
+        def __init__(self, states):
+            self.states, self.got = iter(states), []
+
+        def upload(self, path):
+            return f"up:{path}"
+
+        def create(self, file_id):
+            return f"job:{file_id}"
+
+        def status(self, job_id):
+            return next(self.states)
+
+        def files(self, job_id):
+            return "results", None
+
+        def download(self, file_id, path):
+            self.got.append((file_id, path))
+
+    waits, service = [], Service(["validating", "in_progress", "completed"])
+    assert jobs.run(service, "in", "out", "err", 10, waits.append) == jobs.Outcome("completed", "out", None)
+    assert waits == [10, 10] and service.got == [("results", "out")]
+    assert jobs.run(Service(["failed"]), "in", "out", "err") == jobs.Outcome("failed", None, None)
+    assert jobs.Registry(a=lambda n: n + 1).build(["a"], n=1) == [2]
+    with pytest.raises(ValueError):
+        jobs.Registry().build(["b"])
