@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tallyforge.sources import scratch
+
 Schema = T.StructType | str
 CORRUPT = "_corrupt_record"
 
@@ -128,14 +130,16 @@ def union_scan(spark: SparkSession, listed: str | Iterable[str], schema: Schema,
 def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """A file scan with ``file`` and row numbers from 0, in order of path and place in the file.
 
-    Rows are counted by file split (a few bytes a split), the counts are summed up, and each row adds its place in its split;
-    no row is moved.
+    Rows are counted by file split, the counts (a row a split) are summed up and written, and each row adds its place in its
+    split. The counts are read back with a known size, so Spark broadcasts them only where that is small.
     """
     place = ["file", "_start"]
     rows = scan.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     split = rows.groupBy(*place).agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = F.sum("_n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    return rows.join(F.broadcast(split.withColumn("_before", before)), place).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low")).drop("_start", "_id", "_n", "_low", "_before")
+    at = scratch.folder(scan.sparkSession, "row-ids")
+    split.withColumn("_before", before).write.parquet(at)
+    return rows.join(scan.sparkSession.read.parquet(at), place).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low")).drop("_start", "_id", "_n", "_low", "_before")
 
 
 #: Data sets by name: path, schema and kind, for queries that name their input.
