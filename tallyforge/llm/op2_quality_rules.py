@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import materialize, pick
+from tallyforge.llm.common import materialize, pick, small_batches
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SYMBOLS, _SHOUTS = b"#*$%&|<>", b"!"
@@ -133,6 +133,7 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float
     few good holdouts to certify a cutoff has none: its texts fail by the base rule alone. No rows for an empty table. Whole
     texts are read once, to a written table of counts.
     """
+    small_batches(docs.sparkSession)
     rows = pick(docs, key, text, lang)
     stats = materialize(_measured(rows, F.col(key), F.col(text), F.col(lang)), "quality-stats")
     out = _verdicts(stats, cutoffs(stats, labels, risk, delta, key))
