@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import Carried, connected_components, materialize, pick, streamed_groups
+from tallyforge.llm.common import Carried, connected_components, materialize, pick, small_batches, streamed_groups
 
 SEED = 42
 #: Members of one tree at most. A larger shard is split over several trees, each searched for all the shard's members.
@@ -152,6 +152,7 @@ def simhash(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "
     key gets its fingerprint and component null and links nothing. Repeated rows give repeated results. An empty
     table gives no rows. Texts are read once; fingerprints go to a written table.
     """
+    small_batches(docs.sparkSession)
     prints = materialize(pick(docs, key, text).select(F.col(key).cast("long").alias("k"), _fingerprints(F.col(text).cast("binary")).alias("fp")), "simhash")
     return _components(prints, radius).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -171,6 +172,7 @@ def _components(prints: DataFrame, radius: int) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One document of each component, the one with the smallest key, with all its columns. Rows with a null key all stay."""
+    small_batches(docs.sparkSession)
     carried = Carried(docs)
     prints = materialize(carried.rows.select(carried.col("doc_id").cast("long").alias("k"), _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")
     gone = materialize(_components(prints, radius).where("k <> component_id").select("k").distinct(), "simhash-gone")
