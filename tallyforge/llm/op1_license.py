@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import pick
@@ -96,8 +95,8 @@ def catalogue(spark: SparkSession, texts: dict[str, list[str]] | None = None) ->
     permits, and else joins by shuffle.
     """
     rows = [(k, t) for k, ts in sorted((KNOWN if texts is None else texts).items()) for t in ts]
-    table = pa.table({"license_id": pa.array([r[0] for r in rows], pa.string()), "license_text": pa.array([r[1] for r in rows], pa.string())})
-    return spark.createDataFrame(table).select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    listed = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("license_text")) for k, t in rows])
+    return spark.range(1).select(F.inline(listed)).select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
