@@ -11,14 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import connected_components, materialize, pick, streamed_groups
 
-#: Vectors of a cell (or of a slice of a large cell) that one task holds at a time; others stream past them.
-HOME_ROWS = 4096
+#: Vectors of a cell (or of a slice of a large cell) that one task holds at a time, while others stream past them: from the
+#: first number, which keeps cores busy on small tables, to as many as fit in the second, since each slice sees all
+#: members of its cell and fewer slices move less.
+HOME_ROWS, HOME_BYTES = 4096, 48 << 20
+#: Cosines computed at a time.
+BLOCK = 4 << 20
 #: Pivots are chosen from this many vectors at most, and are this many at most.
 SAMPLE_ROWS, MOST_PIVOTS = 2048, 512
 #: Room for rounding in comparisons of distances; a pair is decided by its cosine in double precision.
 SLACK = 1e-6
 
 
+def home_rows(size: int, dims: int, cores: int) -> int:
+    """Rows of a slice: a quarter of a core's share, within the bounds. A row takes 8 + 4 bytes a component."""
+    return max(HOME_ROWS, min(size // (4 * cores), HOME_BYTES // (12 * dims)))
+
+
 def _valid(v: Column) -> Column:
     """Not null or empty, all components finite, not all zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -109,8 +118,9 @@ class _Cell:
         self.meet(self.id, self.n, self.unit, own=True)
 
     def meet(self, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, own: bool = False) -> None:
-        for at in range(0, len(ids), 1024):
-            block = unit[at : at + 1024]
+        step = max(32, BLOCK // len(self.id))
+        for at in range(0, len(ids), step):
+            block = unit[at : at + step]
             near = self.small @ block.astype(np.float32).T
             h, m = np.nonzero(near >= self.cosine - 1e-5)
             if own:
@@ -122,7 +132,7 @@ class _Cell:
                 sure[k : k + (1 << 16)] = np.einsum("ij,ij->i", self.unit[h[k : k + (1 << 16)]], block[m[k : k + (1 << 16)]])
             h, m = h[sure >= self.cosine], m[sure >= self.cosine]
             self.links += np.bincount(h, weights=n[at + m], minlength=len(self.id)).astype(np.int64)
-            self._join(h, m, ids[at : at + 1024])
+            self._join(h, m, ids[at : at + step])
 
     def _join(self, h: np.ndarray, m: np.ndarray, ids: np.ndarray) -> None:
         """Edges from each member to its first home vector, and from further ones only where they join two sets."""
@@ -172,12 +182,13 @@ def _one_dimension(classes: DataFrame, size: int, dims: int, cosine: float) -> D
     """(a, b, links) of vectors of one length: links of each vector (b = 0), and enough edges (links = -1) to join what is joined."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     rows = classes.where(F.col("dims") == dims)
+    most = home_rows(size, dims, classes.sparkSession.sparkContext.defaultParallelism)
     part = min(1.0, 1.5 * SAMPLE_ROWS / size)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) <= F.lit(int(part * (1 << 30)))).orderBy("id").limit(SAMPLE_ROWS).select("id", "v").collect() or rows.orderBy("id").limit(SAMPLE_ROWS).select("id", "v").collect()
-    pivots = choose_pivots(_matrix(pd.Series([r["v"] for r in sample])), max(1, min(MOST_PIVOTS, -(-size // HOME_ROWS))))
+    pivots = choose_pivots(_matrix(pd.Series([r["v"] for r in sample])), max(1, min(MOST_PIVOTS, -(-size // most))))
     per = {r["home"]: r for r in rows.mapInPandas(_homes(pivots), "id long, home int, reach double").groupBy("home").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect()}
     reach = np.array([per[j]["reach"] if j in per else -np.inf for j in range(len(pivots))])
-    slices = np.array([max(1, -(-per[j]["n"] // HOME_ROWS)) if j in per else 1 for j in range(len(pivots))])
+    slices = np.array([max(1, -(-per[j]["n"] // most)) if j in per else 1 for j in range(len(pivots))])
     kind = dict(rows.dtypes)["v"]
     dealt = rows.withColumn("h", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30))).mapInPandas(_dealt(pivots, reach, slices, radius), f"cell int, slice int, member boolean, id long, n long, v {kind}")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -195,7 +206,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec
 
     Equal vectors are one class from the start. Pivots come from a bounded sample; every vector is dealt to cells. A
     class is counted in its home cell only, which holds all that can be in reach, so no pair is counted twice and no pair list
-    is made: a cell gives one count a vector and the edges of a spanning forest. A cell over ``HOME_ROWS`` vectors is
+    is made: a cell gives one count a vector and the edges of a spanning forest. A cell over ``home_rows`` vectors is
     split into slices that each see all its members, in a stream.
     """
     rows = pick(embeddings, key, vector).toDF("id", "v")
