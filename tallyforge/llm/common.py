@@ -113,14 +113,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(middle)
 
 
-def gapless_rank(df: DataFrame, group: str, order: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, by the hash in ``order`` (a long), without gathering a group in one task.
+def hashed(key: Column, seed: int) -> Column:
+    """60 bits of the MD5 of ``<key>:<seed>`` as a long, which any engine can repeat; null keys share one value."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
 
-    Rows are dealt to (group, hash modulo P) with P the number of shuffle partitions; counts of these cells, of which there
-    are groups x P, give each cell's first number. ``df`` is read twice: give a materialized table.
+
+#: Leading bits of an order that deal rows to cells.
+_CELL_BITS = 20
+
+
+def gapless_rank(df: DataFrame, group: str, order: str, bits: int, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in order of a hash (a long below 2**bits), without gathering a group in one task.
+
+    The hash's range is cut into P equal cells, P the number of shuffle partitions; counts of cells, of which there are groups x P,
+    give each cell's first number. The numbers don't depend on P. ``df`` is read twice: give a materialized table.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cells = df.withColumn("_cell", F.pmod(F.col(order), F.lit(parts)))
+    cells = df.withColumn("_cell", F.shiftright(F.shiftright(F.col(order), bits - _CELL_BITS) * F.lit(parts), _CELL_BITS))
     count = cells.groupBy(F.col(group).alias("_g"), F.col("_cell").alias("_k")).agg(F.count("*").alias("_n"))
     first = count.select("_g", "_k", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_first"))
     ranked = cells.withColumn("_rn", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(order, *ties)))

@@ -142,3 +142,32 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def sql(risk: float = 0.02, delta: float = 0.05) -> str:
+    """The same with windows of three words as rows, and binomial tails as sums over lgamma."""
+    each = risk / len(RULES)
+    bins = ", ".join(f"least({GRID}, case when {under} > 0 then ceil({over} * {GRID}::double / {under}) else 0 end)::integer as b_{rule}" for rule, (over, under) in RULES.items())
+    marks = " union all ".join(f"select stratum, quality, '{rule}' as rule, b_{rule} as b from s join labels using (doc_id) where quality in (0, 1)" for rule in RULES)
+    cut = lambda rule: f"(select k from cut where cut.stratum = s.stratum and rule = '{rule}')"
+    return f"""
+with w as (select doc_id, coalesce(lang, '') as stratum, text, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w, string_split(coalesce(text, ''), chr(10)) as l from documents),
+g as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from w),
+gw as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from g),
+rep as (select doc_id, i, count(*) over (partition by doc_id, g) as n from gw),
+cov as (select doc_id, count(distinct i + o) as n_repeat_words from rep, (select unnest([0, 1, 2]) as o) o where n > 1 group by 1),
+f as (select doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, length(regexp_replace(coalesce(text, ''), '[^!]', '', 'g'))::bigint as n_shouts,
+    length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g'))::bigint as n_upper, list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from w),
+q as (select *, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines from f),
+s as (select q.*, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, {bins.replace("n_repeat_words", "coalesce(n_repeat_words, 0)")} from q left join cov using (doc_id)),
+m as ({marks}),
+hist as (select stratum, rule, k, count(*) filter (quality = 1 and b > k) as rg, count(*) filter (quality = 0 and b > k) as rb, count(*) filter (quality = 1) as n
+  from m, (select unnest(range(0, {GRID})) as k) k group by 1, 2, 3),
+tail as (select *, case when n = 0 then 1.0 when rg >= n then 1.0 else list_sum(list_transform(range(0, rg + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}::double) + (n - i) * ln(1 - {each}::double)))) end as p from hist),
+ok as (select *, bool_and(p <= {delta}::double / (greatest(1, (select count(distinct stratum) from m where quality = 1)) * {len(RULES)})) over (partition by stratum, rule order by k desc rows unbounded preceding) as certified from tail),
+cut as (select stratum, rule, arg_max(k, (rb - rg, k)) as k from ok where certified and rb - rg > 0 group by 1, 2),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  array_to_string(list_filter([{", ".join(f"case when b_{r} > {cut(r)} then '{r}' end" for r in RULES)}], lambda x: x is not null), ',') as failed_rules from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from v
+"""

@@ -148,8 +148,8 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 16, slack: float = 0.0
     total = keys.agg(F.sum("size")).first()[0] or 0
     breaks = _Loads(keys, ring, total, slack).play()
     home = F.element_at(F.array(*[F.lit(o[0]) for o in ring.owners]), F.col("arc") + 1)
-    placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc")).cast("int")).withColumn("home_shard", home.cast("int"))
-    ranked = gapless_rank(placed, "shard", "t", "slot", (key, "text_crc32"))
+    placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc")).cast("int")).withColumn("home_shard", home.cast("int")).withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
+    ranked = gapless_rank(placed, "shard", "r", CLASS_SHIFT, "slot", (key, "text_crc32", "size"))
     return ranked.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 

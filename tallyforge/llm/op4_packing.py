@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import gapless_rank, materialize, pick, word_count
+from tallyforge.llm.common import gapless_rank, hashed, materialize, pick, word_count
 
 #: Distinct lengths that the driver sees at most; beyond that lengths are rounded up to a multiple.
 MAX_LENGTHS = 1 << 16
@@ -53,7 +53,7 @@ def _bucket(length: Column, ends: list[int], base: int = 0) -> Column:
     return F.when(length <= F.lit(ends[mid - 1]), _bucket(length, ends[:mid], base)).otherwise(_bucket(length, ends[mid:], base + mid))
 
 
-def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, key: str = "doc_id", text: str = "text", length: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, seed: int = 42, key: str = "doc_id", text: str = "text", length: Column | None = None) -> DataFrame:
     """key, n_tokens, bucket, padded_len, batch_id, batch_row, batch_rows, padding.
 
     n_tokens: words of the whole text, or ``length`` (a column expression). Buckets 0, 1, ... have the upper ends that make the
@@ -67,7 +67,7 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, key: str = "do
     rounded up to a multiple before the buckets are chosen.
     """
     tokens = F.coalesce(length.cast("long"), F.lit(0)) if length is not None else word_count(F.col(text))
-    rows = materialize(pick(docs, *dict.fromkeys((key, text))).select(F.col(key), tokens.alias("n_tokens"), F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text))).alias("h")), "pack-lengths")
+    rows = materialize(pick(docs, *dict.fromkeys((key, text))).select(F.col(key), tokens.alias("n_tokens"), hashed(F.col(key), seed).alias("h")), "pack-lengths")
     longest = rows.agg(F.max("n_tokens")).first()[0] or 0
     unit = max(1, -(-(longest + 1) // MAX_LENGTHS))
     rounded = F.ceil(F.col("n_tokens") / F.lit(unit)).cast("long") * unit
@@ -75,7 +75,7 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, key: str = "do
     ends = best_boundaries(np.array([x for x, _ in hist]), np.array([n for _, n in hist]), buckets) or [0]
     padded = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col("bucket") + 1)
     dealt = rows.withColumn("bucket", _bucket(F.col("n_tokens"), ends).cast("int")).withColumn("padded_len", padded)
-    ranked = gapless_rank(dealt, "bucket", "h", "r", (key, "n_tokens"))
+    ranked = gapless_rank(dealt, "bucket", "h", 60, "r", (key, "n_tokens"))
     fit = F.greatest(F.lit(1).cast("long"), F.expr(f"{int(budget)}L div greatest(padded_len, 1L)"))
     return ranked.withColumn("batch_rows", fit).select(
         key, "n_tokens", "bucket", "padded_len", F.expr("r div batch_rows").alias("batch_id"), F.expr("r % batch_rows").alias("batch_row"), "batch_rows", (F.col("padded_len") - F.col("n_tokens")).alias("padding")
@@ -84,3 +84,25 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, key: str = "do
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql(buckets: int = 8, budget: int = 65_536) -> str:
+    """The same by plain dynamic programming: the best cost of the first j lengths in k buckets, one table a k."""
+    cost = "(hj.len * (hj.rows - coalesce(hi.rows, 0)) - (hj.tokens - coalesce(hi.tokens, 0)))"
+    layers = [f"d1 as (select hj.j, {cost} as v, 0::bigint as cut from h hj left join h hi on false)"]
+    layers += [f"d{k} as (select hj.j, min(p.v + {cost}) as v, arg_min(p.j, (p.v + {cost}, p.j)) as cut from h hj join d{k - 1} p on p.j < hj.j join h hi on hi.j = p.j group by hj.j)" for k in range(2, buckets + 1)]
+    back = [f"e{buckets} as (select max(j) as j from h)"]
+    back += [f"e{k - 1} as (select case when count(*) = 0 then (select j from e{k}) else max(cut) end as j from d{k} where j = (select j from e{k}))" for k in range(buckets, 1, -1)]
+    ends = " union ".join(f"select j from e{k}" for k in range(1, buckets + 1))
+    return f"""
+with t as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens,
+    ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':42'), 1, 15))::bigint as h from documents),
+h as (select len, row_number() over (order by len) as j, sum(n) over (order by len)::double as rows, sum(n * len) over (order by len)::double as tokens
+  from (select n_tokens as len, count(*) as n from t group by 1)),
+{", ".join(layers)},
+{", ".join(back)},
+b as (select len as padded_len, row_number() over (order by len) - 1 as bucket, coalesce(lag(len) over (order by len), -1) as under from h where j in ({ends})),
+r as (select t.*, bucket::integer as bucket, padded_len::bigint as padded_len, greatest(1, {budget} // greatest(padded_len, 1))::bigint as batch_rows,
+  row_number() over (partition by bucket order by h, doc_id, n_tokens) - 1 as r from t join b on n_tokens > under and n_tokens <= padded_len)
+select doc_id, n_tokens, bucket, padded_len, r // batch_rows as batch_id, r % batch_rows as batch_row, batch_rows, padded_len - n_tokens as padding from r
+"""

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import Carried, materialize, pick, word_count
+from tallyforge.llm.common import Carried, hashed, materialize, pick, word_count
 
 #: Bits of a document's hash, and bits that one histogram resolves: 5 levels of 4,096 buckets.
 HASH_BITS, LEVEL_BITS = 60, 12
 _WEIGHTS = (5, 2, 1)
 
 
-def _hash(key: Column, seed: int) -> Column:
-    """60 bits of the MD5 of ``<key>:<seed>``; null keys share one value."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, HASH_BITS // 4), 16, 10).cast("long")
-
-
 def _source(source: Column) -> Column:
     """A key that tells a null source from all others and sorts it last, the others by code point."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
@@ -76,7 +71,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _sizes(rows: DataFrame, key: Column, source: Column, text: Column, seed: int) -> DataFrame:
-    return rows.select(key.alias("k"), word_count(text).alias("size"), _source(source).alias("src"), _hash(key, seed).alias("h"))
+    return rows.select(key.alias("k"), word_count(text).alias("size"), _source(source).alias("src"), hashed(key, seed).alias("h"))
 
 
 def _copies(h: Column, limit: float) -> Column:
@@ -110,7 +105,7 @@ def mix_documents(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _W
     sizes = materialize(_sizes(carried.rows, key, source, text, seed), "mix-sizes")
     rule = thresholds(sizes, targets(sizes, weights, share, limit))
     out = carried.rows.withColumn("_s", _source(source)).join(rule, F.col("_s") == F.col("src"))
-    times = _copies(_hash(key, seed), limit)
+    times = _copies(hashed(key, seed), limit)
     return carried.back(out.withColumn("_n", times.cast("int")).where("_n > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))))
 
 

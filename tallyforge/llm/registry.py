@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_license_scan": op1_license.sql(),
+    "op2_quality_rules": op2_quality_rules.sql(),
+    "op4_packing": op4_packing.sql(),
     "op7_chat_rotation": op7_chat.sql(),
     "op8_source_mixing": op8_mixing.sql(),
     "op10_embedding_dedup": op10_embeddings.sql(),
