@@ -161,3 +161,10 @@ def test_batch_job():
     assert jobs.Registry(a=lambda n: n + 1).build(["a"], n=1) == [2]
     with pytest.raises(ValueError):
         jobs.Registry().build(["b"])
+
+
+def test_small_helpers(spark):
+    rows = spark.createDataFrame([("q", "5"), (" ", "5"), ("q", None)], "question string, ground_truth string")
+    assert prompts.problem_reference(rows).count() == 1
+    got = rows.select(prompts.as_text(F.col("ground_truth")).alias("a"), prompts.present(F.col("ground_truth"), F.lit(None)).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [("5", "5"), ("5", "5"), ("nan", "")]
