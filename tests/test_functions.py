@@ -96,6 +96,7 @@ def test_text(spark):
     assert column(spark, ["```python\n1\n```\n```python\n2\n```", "x"], text.last_code_block) == ["2\n", ""]
     assert column(spark, ["a,b"], lambda c: text.task_list("s", c, 2)) == ["s|a|2|0,s|b|2|0"]
     assert column(spark, ["a b/c"], text.sanitized_name) == ["a_b_c"]
+    assert column(spark, ["the prompt  and more "], lambda c: text.after_prompt(c, F.lit("the prompt"))) == ["and more"]
     assert column(spark, ["x assistant y"], lambda c: text.after_last(c, "assistant")) == [" y"]
 
 
@@ -158,6 +159,8 @@ def test_arrays(spark):
     rows = spark.createDataFrame([([5, 0, 7],)], "ids array<int>")
     got = rows.select(arrays.label_mask(F.col("ids"), F.lit(2)).alias("l"), arrays.padded(F.col("ids"), F.lit(5), 0).alias("p"), arrays.attention(F.col("ids"), 0).alias("m"), arrays.token_count(F.col("ids"), 0).alias("n"), arrays.truncated(F.col("ids"), 2).alias("t")).first()
     assert got["l"] == [-100, -100, 7] and got["p"] == [5, 0, 7, 0, 0] and got["m"] == [True, False, True] and got["n"] == 2 and got["t"] == [5, 0]
+    pair = spark.createDataFrame([([1.0, 2.0], [1.0, 2.1]), ([1.0], [1.0, 2.0]), ([], [])], "a array<double>, b array<double>")
+    assert [r[0] for r in pair.select(arrays.within(F.col("a"), F.col("b"), 0.2)).collect()] == [True, False, True]
     assert column(spark, ["A b  c", "a"], lambda c: arrays.ngrams(c, 2)) == [["a b", "b c"], []]
 
 
