@@ -96,10 +96,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: floa
     don't count; a key labelled twice counts twice. Histograms of GRID + 1 bins by stratum, rule and label are summed where
     the rows are; a rule of one stratum is decided from its own two.
     """
-    marks = pick(labels, key, "quality").toDF("lk", "quality").where("lk is not null and quality in (0, 1)")
+    marks = pick(labels, key, "quality").toDF("lk", "quality").where("lk is not null and quality in (0, 1)").groupBy("lk", "quality").agg(F.count("*").alias("times"))
     held = stats.join(marks, stats["k"] == marks["lk"])
-    bins = held.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("b")) for r in RULES])).alias("x")).select("stratum", "quality", "x.*")
-    hist = materialize(bins.groupBy("stratum", "rule", "quality", "b").agg(F.count("*").alias("n")), "quality-bins")
+    bins = held.select("stratum", "quality", "times", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("b")) for r in RULES])).alias("x")).select("stratum", "quality", "times", "x.*")
+    hist = materialize(bins.groupBy("stratum", "rule", "quality", "b").agg(F.sum("times").alias("n")), "quality-bins")
     tests = max(1, hist.where("quality = 1").select("stratum").distinct().count()) * len(RULES)
     level, each = delta / tests, risk / len(RULES)
 

@@ -126,14 +126,16 @@ def ratings(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def learn(docs: DataFrame, rated: DataFrame, top: int = 2, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> Ordinal:
     """Fit on rated documents (k, grade): a bounded sample of about ``sample_rows``, those with the smallest key hashes, all if there are fewer.
 
+    A key counts once a grade that it has, with the least of its texts, so repeated rows don't add up in a join.
     The share of the hash range comes from the count of ratings. Features are made on the executors; what comes to the driver
     is sample_rows x distinct words of a text, four bytes each, and its size doesn't grow with the corpus.
     """
     small_batches(docs.sparkSession)
-    total = rated.count()
-    part = F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / max(1, total)) * (1 << 30)))
-    some = rated.where(part)
-    rows = pick(docs, key, text).toDF("dk", "x").where(F.pmod(F.xxhash64("dk", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / max(1, total)) * (1 << 30))))
+    most = int(min(1.0, sample_rows / max(1, rated.count())) * (1 << 30))
+    within = lambda k: F.pmod(F.xxhash64(k, F.lit(9)), F.lit(1 << 30)) < F.lit(most)
+    some = rated.where(within("k")).distinct()
+    rows = pick(docs, key, text).toDF("dk", "x").where(F.col("dk").isNotNull() & within("dk"))
+    rows = rows.join(some, rows["dk"] == some["k"], "left_semi").groupBy("dk").agg(F.min("x").alias("x"))
     got = rows.join(some, rows["dk"] == some["k"]).select("k", "grade", _features(F.col("x").cast("binary")).alias("f")).toArrow()
     got = got.sort_by([("k", "ascending"), ("grade", "ascending")])  # the same sums in each run
     return fit([np.asarray(x.values, np.int32) if x.values is not None else np.zeros(0, np.int32) for x in got.column("f").combine_chunks()] if len(got) else [], np.asarray(got.column("grade"), np.int64), top)
