@@ -22,7 +22,7 @@ class Ring:
     """Virtual nodes on a circle of ``cells`` places. ``owners[a][k]``: the k-th distinct shard clockwise from arc a."""
 
     shards: int
-    vnodes: int = 16
+    vnodes: int = 64
     seed: int = 42
     cells: int = 0
     arc_of_cell: list[int] = field(default_factory=list)
@@ -120,7 +120,7 @@ def _choose(at: Column, breaks: list[tuple[int, tuple[int, ...]]], arc: Column)
     return F.when(at < F.lit(breaks[mid][0]), _choose(at, breaks[:mid], arc)).otherwise(_choose(at, breaks[mid:], arc))
 
 
-def shard(docs: DataFrame, shards: int = 8, vnodes: int = 16, slack: float = 0.002, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.002, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Deal rows to shards: key, size, text_crc32, law, shard, slot, grown_shard, home_shard.
 
     A key's place on the ring is its hash; the first virtual node clockwise names its home shard. Keys arrive by size class
