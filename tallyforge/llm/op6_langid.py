@@ -77,18 +77,17 @@ class Languages:
 def learn(docs: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Dictionaries from documents with a language whose crc32(key as text) mod ``folds`` isn't 0.
 
-    A bounded sample: of each language about ``SAMPLE_ROWS`` documents (all, if it has fewer) with the smallest hashes of their key,
-    and of each a stretch of ``SAMPLE_CHARS`` characters from a place that the hash picks; folded and joined, ``DICTIONARY_BYTES`` at most. Repeated rows count once.
-    The share of the hash range to take comes from a count by language, so nothing is sorted and only the sample leaves the
-    executors: languages x ``SAMPLE_ROWS`` x ``SAMPLE_CHARS`` characters.
+    A bounded sample: of each language about ``SAMPLE_ROWS`` texts (all, if it has fewer), those with the smallest hashes, and of each
+    a stretch of ``SAMPLE_CHARS`` characters from a place that a hash picks; folded and joined, ``DICTIONARY_BYTES`` at most. Copies
+    count once. The share of the hash range to take comes from the number of different texts by language, so nothing is
+    sorted and only the sample leaves the executors: about languages x 2 x ``SAMPLE_ROWS`` x ``SAMPLE_CHARS`` characters.
     """
     rows = pick(docs, key, text, lang).toDF("k", "x", "l").where(F.col("l").isNotNull() & F.col("x").isNotNull() & (_remainder(F.col("k"), folds) != 0))
-    named = F.struct("k", F.when(F.col("k").isNull(), F.col("x")))  # rows without a key by their text, not all together
-    unit = F.pmod(F.xxhash64(named, F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).select(F.col("l").alias("ll"), "n", (F.lit(2.0 * SAMPLE_ROWS) / F.col("n")).alias("share"))
+    unit = F.pmod(F.xxhash64("x", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), (F.lit(2.0 * SAMPLE_ROWS) / F.approx_count_distinct("x")).alias("share"))
     spare = F.greatest(F.length("x") - F.lit(SAMPLE_CHARS), F.lit(0))
-    start = F.floor(spare * (F.pmod(F.xxhash64(named, F.lit(8)), F.lit(1 << 20)) / F.lit(float(1 << 20)))).cast("int") + 1
-    counts = {r["ll"]: (r["n"], r["share"]) for r in counts.collect()}
+    start = F.floor(spare * (F.pmod(F.xxhash64("x", F.lit(8)), F.lit(1 << 20)) / F.lit(float(1 << 20)))).cast("int") + 1
+    counts = {r["l"]: (r["n"], r["share"]) for r in counts.collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for name, (_, part) in sorted(counts.items()) for x in (name, part)]), F.col("l")) if counts else F.lit(0.0)
     sample = rows.withColumn("share", share).withColumn("u", unit).where(F.col("u") < F.col("share")).select("l", "u", F.col("x").substr(start, F.lit(SAMPLE_CHARS)).alias("piece")).distinct()
     small_batches(docs.sparkSession)
