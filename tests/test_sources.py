@@ -94,3 +94,16 @@ def test_following_files(spark, tmp_path):
         follow(spark, str(tmp_path / "in"), SCHEMA, lambda d: d.withColumn("c", F.col("a") + 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         (tmp_path / "in" / "b.json").write_text('{"a": 2, "b": "y"}\n')
+
+
+def test_row_ids_over_many_splits(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} line {i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = readers.text_lines(spark, str(tmp_path / "*.txt")).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["row_id"], r["value"]) for r in got] == list(enumerate(f"{n} line {i}" for n in "ab" for i in range(3000)))
