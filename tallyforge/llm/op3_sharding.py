@@ -83,11 +83,9 @@ class _Loads:
             parts[part] = sums, k + n
         return [(p, *parts[p]) for p in sorted(parts)]
 
-    def play(self, low: int = 0, shift: int = CLASS_SHIFT - STEP, within: int = 63) -> list[tuple[int, tuple[int, ...]]]:
-        last = None
+    def play(self, low: int = 0, shift: int = CLASS_SHIFT, within: int = 63) -> list[tuple[int, tuple[int, ...]]]:
         for part, sums, n in self._count(low, shift, within):
-            if within == 63 and part >> STEP != last:
-                last = part >> STEP  # smaller keys may fit where larger ones didn't
+            if within == 63:  # a size class: smaller keys may fit where larger ones didn't
                 self.open[:] = True
                 self.now = self._route()
                 self._note(part << shift)
@@ -127,8 +125,9 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.0
     (powers of two, largest first) and then by hash; a key whose shard can't take its slice of arrivals continues clockwise
     to the next shard with room. A slice is as fine as needed to hold at most half the slack. Capacity is (1 + slack) x the
     mean bytes of a shard, more only if rows larger than the slack fit nowhere. So the law is ``bytes``. The whole
-    placement is a few numbers (from which arrival on an arc leads to which shard), found from counts by slice and arc:
-    at most 64 parts x size classes x arcs rows come to the driver, however many keys there are.
+    placement is a few numbers (from which arrival on an arc leads to which shard), found from counts by slice and arc,
+    first of whole size classes and then of parts of those that don't fit as a whole: at most 64 parts x arcs rows at a
+    time come to the driver, however many keys there are.
 
     size: UTF-8 bytes plus 1 (null text: 1); text_crc32: of the UTF-8 bytes (null: of none, 0); slot: from 0 without gaps in
     each shard; grown_shard: null. Null keys hash as a key of their own with their text; repeated rows go to one shard in
