@@ -46,13 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once and outlives lost executors.
 
+    A ``small`` one (sums, thresholds) is written as no more files than there are cores; nothing is shuffled for that.
+
     Files lie under ``<shared>/<application id>/`` and go with that folder when the application's data is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

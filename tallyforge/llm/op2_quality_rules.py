@@ -99,7 +99,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: floa
     marks = pick(labels, key, "quality").toDF("lk", "quality").where("lk is not null and quality in (0, 1)").groupBy("lk", "quality").agg(F.count("*").alias("times"))
     held = stats.join(marks, stats["k"] == marks["lk"])
     bins = held.select("stratum", "quality", "times", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _bin(r).alias("b")) for r in RULES])).alias("x")).select("stratum", "quality", "times", "x.*")
-    hist = materialize(bins.groupBy("stratum", "rule", "quality", "b").agg(F.sum("times").alias("n")), "quality-bins")
+    hist = materialize(bins.groupBy("stratum", "rule", "quality", "b").agg(F.sum("times").alias("n")), "quality-bins", small=True)
     tests = max(1, hist.where("quality = 1").select("stratum").distinct().count()) * len(RULES)
     level, each = delta / tests, risk / len(RULES)
 
@@ -110,7 +110,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: floa
         k = certify(good, bad, each, level)
         return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cut": [k], "n_good": [sum(good)]}).dropna()
 
-    return materialize(hist.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, rule string, cut int, n_good long"), "quality-cutoffs")
+    return materialize(hist.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, rule string, cut int, n_good long"), "quality-cutoffs", small=True)
 
 
 def _measured(rows: DataFrame, key: Column, text: Column, lang: Column) -> DataFrame:

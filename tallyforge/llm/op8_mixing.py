@@ -47,7 +47,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     that brings the source nearer to its target.
     """
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    state = materialize(goals.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.lit(True)), "mix-level")
+    state = materialize(goals.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.lit(True)), "mix-level", small=True)
     left = sizes
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         at = state.where("open").select(F.col("src").alias("s"), F.col("prefix").alias("at"))
@@ -65,7 +65,7 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
                 F.when(~F.col("open"), F.col("prefix") * (1 << LEVEL_BITS)).when(F.col("edge").isNull(), (F.col("prefix") + 1) * (1 << LEVEL_BITS)).otherwise(F.col("edge.b") + nearer).alias("prefix"),
                 (F.col("open") & F.col("edge").isNotNull()).alias("open"),
             ),
-            "mix-level",
+            "mix-level", small=True,
         )
     return state.select("src", "source_size", "target", "times", F.col("prefix").alias("below"))
 
