@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import Carried, connected_components, materialize, pick, small_batches, streamed_groups
+from tallyforge.llm.common import Carried, connected_components, materialize, pick, small_batches
 
 SEED = 42
 #: Members of one tree at most. A larger shard is split over several trees, each searched for all the shard's members.
 TREE_ROWS = 32_768
+#: Members that a shard may have by chance alone.
+SHARD_ROWS = 64
 #: Shingles hashed at a time.
 _BLOCK = 1 << 16
 
@@ -96,22 +99,27 @@ class _Sets:
 
 def _search(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, sets, out = BKTree(), _Sets(), []
-        for _, rows, begins in streamed_groups(batches, ("shard", "tree")):
-            if begins:
-                tree, sets = BKTree(), _Sets()
-            if begins and len(rows) == 1:  # most shards have one member; a tree is needed if more follow
-                if rows["member"].iat[0]:
-                    tree.add(int(rows["fp"].iat[0]) & (1 << 64) - 1)
+        tree, sets, out, last = BKTree(), _Sets(), [], None
+        for rows in batches:
+            if not len(rows):
                 continue
-            for fp, member in zip(rows["fp"].tolist(), rows["member"].tolist(), strict=True):
-                value = fp & (1 << 64) - 1
-                out += [(value, near) for near in tree.within(value, radius) if near != value and sets.join(value, near)]
-                if member:
-                    tree.add(value)
-            if len(out) > 50_000:
-                yield _pairs(out)
-                out = []
+            keys = rows[["shard", "tree"]].to_numpy(np.int64)
+            prints, member = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["member"].to_numpy(bool)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            ends = np.append(starts[1:], len(rows))
+            # most shards have one member and nothing to find, unless the batch before or after has more of the shard
+            some = ends - starts > 1
+            some[[0, -1]] = True
+            for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+                if (key := tuple(keys[s])) != last:
+                    tree, sets, last = BKTree(), _Sets(), key
+                for value, own in zip(prints[s:e].tolist(), member[s:e].tolist(), strict=True):
+                    out += [(value, near) for near in tree.within(value, radius) if near != value and sets.join(value, near)]
+                    if own:
+                        tree.add(value)
+                if len(out) > 50_000:
+                    yield _pairs(out)
+                    out = []
         yield _pairs(out)
 
     return run
@@ -121,17 +129,32 @@ def _pairs(out: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
 
+def masks(radius: int, n: int) -> list[int]:
+    """Sets of bits of which two numbers within the radius agree in one at least: ``equal`` of ``radius + equal`` blocks.
+
+    More equal blocks mean more sets of more bits each, so smaller shards: as many as keep chance members below ``SHARD_ROWS`` a shard
+    for n numbers, up to 3.
+    """
+    for equal in (1, 2, 3):
+        blocks = radius + equal
+        cuts = [64 * i // blocks for i in range(blocks + 1)]
+        part = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        found = [sum(c) for c in combinations(part, equal)]
+        if n >> min(m.bit_count() for m in found) < SHARD_ROWS:
+            break
+    return found
+
+
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) of distinct fingerprints (column ``fp``): enough links at most ``radius`` bits apart to join all that the whole set joins.
 
-    Fingerprints within the radius agree in one of radius + 1 blocks of bits, so they are dealt to radius + 1 shards each, by block
-    and its value; a shard's tree is built and searched in one task. A shard of more than ``TREE_ROWS`` members is split:
+    Fingerprints within the radius agree in one of a few sets of bits (``masks``), so each is dealt to a shard a set, by the set
+    and its bits' values; a shard's tree is built and searched in one task. A shard of more than ``TREE_ROWS`` members is split:
     each of its trees takes a part of the members (by hash) and is searched for all. So no tree has more than about
-    ``TREE_ROWS`` nodes, whatever the table's size, and all trees together hold each fingerprint radius + 1 times.
+    ``TREE_ROWS`` nodes, whatever the table's size, and all trees together hold each fingerprint once a set.
     """
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(radius, prints.count()))]))
     dealt = prints.select("fp", shard.alias("shard"))
     large = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS).select(F.col("shard").alias("s"), F.ceil(F.col("n") / F.lit(TREE_ROWS)).cast("int").alias("trees")), "simhash-large")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("trees"))
