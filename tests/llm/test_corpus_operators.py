@@ -242,18 +242,31 @@ def test_bk_tree():
             assert sorted(tree.within(q, radius)) == sorted({v for v in values if (v ^ q).bit_count() <= radius})
 
 
+@pytest.mark.parametrize("radius,n,bits,count", [(2, 1000, 21, 3), (2, 10**10, 32, 6), (3, 10**8, 24, 10), (2, 10**12, 36, 10), (0, 10**9, 64, 1)])
+def test_masks(radius, n, bits, count):
+    rng = random.Random(radius)
+    found = op5_simhash.masks(radius, n)
+    assert len(found) == count and min(m.bit_count() for m in found) >= bits
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), radius))
+        assert any(a & m == b & m for m in found)
+
+
+@pytest.mark.parametrize("shard_rows", [0, 64])
 @pytest.mark.parametrize("tree_rows", [5, 32_768])
-def test_simhash_links(spark, tree_rows, monkeypatch):
+def test_simhash_links(spark, tree_rows, shard_rows, monkeypatch):
     rng = random.Random(4)
     centres = [rng.getrandbits(64) for _ in range(6)]
     prints = list(dict.fromkeys(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for c in centres for _ in range(60)))
     monkeypatch.setattr(op5_simhash, "TREE_ROWS", tree_rows)
+    monkeypatch.setattr(op5_simhash, "SHARD_ROWS", shard_rows)
     rows = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
     got = [(int(np.int64(r["a"]).view(np.uint64)), int(np.int64(r["b"]).view(np.uint64))) for r in op5_simhash.links(rows).collect()]
     assert all((a ^ b).bit_count() <= 2 for a, b in got)
     all_ = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2]
     assert components(got) == components(all_)
-    assert tree_rows == 5 or len(got) < len(all_)
+    assert tree_rows == 5 or not shard_rows or len(got) < len(all_)
 
 
 def test_simhash(spark):
