@@ -15,6 +15,8 @@ from tallyforge.llm.common import gapless_rank, materialize, pick
 CLASS_SHIFT = 57
 #: Parts of one slice of arrivals that a pass over the keys counts, as a power of two.
 STEP = 6
+#: Keys of a slice that are played one by one.
+EXACT = 10_000
 
 
 @dataclass
@@ -100,7 +102,7 @@ class _Loads:
                 self.load += more
                 return
             if n > 1 and shift > 0 and more[full].max() > self.tolerance:
-                self.play(start, max(0, shift - STEP), shift)
+                self.play(start, 0 if n <= EXACT else max(0, shift - STEP), shift)
                 return
             self.open[full] = False
             if not self.open.any():  # no shard has room for keys of this size: as little more room as they need
@@ -110,10 +112,15 @@ class _Loads:
             self._note(start)
 
 
+def _looked_up(values: list[int] | tuple[int, ...], index: Column) -> Column:
+    """values[index]. The list is one text to the analyser, which folds it to one array; an array of literals costs a node each."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), index + 1).cast("int")
+
+
 def _choose(at: Column, breaks: list[tuple[int, tuple[int, ...]]], arc: Column) -> Column:
     """The shard: a binary search over the breaks as nested conditions, then a lookup by arc."""
     if len(breaks) == 1:
-        return F.element_at(F.array(*[F.lit(s) for s in breaks[0][1]]), arc + 1)
+        return _looked_up(breaks[0][1], arc)
     mid = len(breaks) // 2
     return F.when(at < F.lit(breaks[mid][0]), _choose(at, breaks[:mid], arc)).otherwise(_choose(at, breaks[mid:], arc))
 
@@ -126,8 +133,8 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.0
     to the next shard with room. A slice is as fine as needed to hold at most half the slack. Capacity is (1 + slack) x the
     mean bytes of a shard, more only if rows larger than the slack fit nowhere. So the law is ``bytes``. The whole
     placement is a few numbers (from which arrival on an arc leads to which shard), found from counts by slice and arc,
-    first of whole size classes and then of parts of those that don't fit as a whole: at most 64 parts x arcs rows at a
-    time come to the driver, however many keys there are.
+    first of whole size classes and then of parts of those that don't fit as a whole: at most 64 parts x arcs rows, or
+    10,000 keys, at a time come to the driver, however many keys there are.
 
     size: UTF-8 bytes plus 1 (null text: 1); text_crc32: of the UTF-8 bytes (null: of none, 0); slot: from 0 without gaps in
     each shard; grown_shard: null. Null keys hash as a key of their own with their text; repeated rows go to one shard in
@@ -138,16 +145,15 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.0
     h = F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     cell = F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(ring.cells)).cast("int")
-    arcs = F.array(*[F.lit(a) for a in ring.arc_of_cell])
     keys = materialize(
         rows.select(F.col(key), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), h.alias("h"), cell.alias("cell"))
-        .select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h")).alias("t"), F.element_at(arcs, F.col("cell") + 1).alias("arc")),
+        .select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h")).alias("t"), _looked_up(ring.arc_of_cell, F.col("cell")).alias("arc")),
         "shard-keys",
     )
     total = keys.agg(F.sum("size")).first()[0] or 0
     breaks = _Loads(keys, ring, total, slack).play()
-    home = F.element_at(F.array(*[F.lit(o[0]) for o in ring.owners]), F.col("arc") + 1)
-    placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc")).cast("int")).withColumn("home_shard", home.cast("int")).withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
+    home = _looked_up([o[0] for o in ring.owners], F.col("arc"))
+    placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc"))).withColumn("home_shard", home).withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
     ranked = gapless_rank(placed, "shard", "r", CLASS_SHIFT, "slot", (key, "text_crc32", "size"))
     return ranked.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
