@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import gapless_rank, hashed, materialize, pick, word_count
 
-#: Distinct lengths that the driver sees at most; beyond that lengths are rounded up to a multiple.
-MAX_LENGTHS = 1 << 16
-
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper ends (ascending, the last is the longest length) of at most ``buckets`` buckets with the least padding in all.
@@ -63,16 +60,13 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, seed: int = 42
     go to batches by a hash of key, so a batch mixes sources. Null and empty texts have 0 tokens. Repeated rows take
     places of their own. An empty table gives no rows.
 
-    The driver sees the histogram of lengths: ``MAX_LENGTHS`` rows at most; where there are more distinct lengths, lengths are
-    rounded up to a multiple before the buckets are chosen.
+    The driver sees the exact histogram, a row (two longs, as Arrow) for each distinct length, however long the longest is: D distinct
+    word counts need at least D * (D - 1) / 2 words in all, so there are few. A ``length`` of one's own has no such bound.
     """
     tokens = F.coalesce(length.cast("long"), F.lit(0)) if length is not None else word_count(F.col(text))
     rows = materialize(pick(docs, *dict.fromkeys((key, text))).select(F.col(key), tokens.alias("n_tokens"), hashed(F.col(key), seed).alias("h")), "pack-lengths")
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    unit = max(1, -(-(longest + 1) // MAX_LENGTHS))
-    rounded = F.ceil(F.col("n_tokens") / F.lit(unit)).cast("long") * unit
-    hist = sorted((r["len"], r["n"]) for r in rows.groupBy(rounded.alias("len")).agg(F.count("*").alias("n")).collect())
-    ends = best_boundaries(np.array([x for x, _ in hist]), np.array([n for _, n in hist]), buckets) or [0]
+    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    ends = best_boundaries(hist["n_tokens"].to_numpy(), hist["n"].to_numpy(), buckets) or [0]
     padded = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col("bucket") + 1)
     dealt = rows.withColumn("bucket", _bucket(F.col("n_tokens"), ends).cast("int")).withColumn("padded_len", padded)
     ranked = gapless_rank(dealt, "bucket", "h", 60, "r", (key, "n_tokens"))

@@ -214,6 +214,14 @@ def test_packing(spark):
     assert op4_packing.pack(odd(spark)).count() == 9 and op4_packing.pack(odd(spark).limit(0)).count() == 0
 
 
+def test_packing_of_a_very_long_text(spark):
+    """Buckets come from exact lengths, also beside a text of over 65,536 words."""
+    texts = ["w " * (i % 41) for i in range(300)] + ["w " * 200_001]
+    got = op4_packing.pack(docs(spark, texts), buckets=4, budget=100).collect()
+    assert len(got) == 301 and sum(r["padding"] for r in got) == brute_padding(tuple(len(t.split()) for t in texts), 4)
+    assert {r["padded_len"] for r in got} <= {r["n_tokens"] for r in got} and max(r["padded_len"] for r in got) == 200_001
+
+
 # 5
 
 
