@@ -59,8 +59,14 @@ KNOWN = {
     "CC-BY-NC-4.0-notice": ["Licensed under CC BY-NC 4.0."],
 }
 
-#: A whole line that only states a copyright, before punctuation goes.
+#: What ``sql()`` takes for a copyright line. It also takes lines of a wrapped body that begin with "copyright".
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words after "copyright" that go on with a sentence and are no holder.
+_NO_HOLDER = r"(?:notices?|holders?|owners?|owned|laws?|licen[cs](?:e|es|ed|ing|or|ors)|statements?|interests?|permissions?|protections?|treat(?:y|ies)|claims?|claimed|disclaimers?|infringements?|rights?|terms?|acts?|status|headers?|information|ownership|patents?|trademarks?|trade|and|or|nor|of|in|on|to|for|from|with|under|as|at|is|are|was|were|be|it|its|this|that|these|those|which|if|may|must|shall|can|will|not|no|any|such|other|only|applies|above|below)\b"
+#: Words after "(c)" that make it an item of a list.
+_ITEM = r"(?:the|a|an|all|each|every|either|neither|you|your|we|they|he|she|there|their|where|when|who|by|do|does|make|use|give|include|includes|cause|retain|provide|provided|accompany|convey|distribute|reproduce|modify|copy|redistributions?|modifications?|altered|loss|any)\b"
+#: A whole line that states a copyright: a sign, year or holder after "copyright", "(c)" or "©", or all rights reserved.
+STATEMENT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]*(?:\(c\)|©|[:,]?[ \t]*\p{{N}}|:?[ \t]+(?!{_NO_HOLDER})\p{{L}})|\(c\)[ \t]*(?:copyright\b(?![ \t]+{_NO_HOLDER})|\p{{N}}|(?!{_NO_HOLDER}|{_ITEM})\p{{L}})|©|all rights reserved)[^\n]*$"
 #: Fixed values: (pattern, replacement) of equivalent spellings, applied to lower-cased text of single-spaced words.
 SPELLINGS = [
     (r"\blicenc(e|es|ed|ing)\b", r"licens\1"),
@@ -80,8 +86,8 @@ SPELLINGS = [
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without copyright lines and punctuation, words single-spaced, spellings made one; null stays null."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    """Lower case without lines that state a copyright and punctuation, words single-spaced, spellings made one; null stays null."""
+    t = F.regexp_replace(F.lower(text), STATEMENT_LINE, "")
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to.replace("\\", "$"))

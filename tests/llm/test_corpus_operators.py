@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -81,6 +82,23 @@ def test_each_known_license_finds_itself(spark):
     assert [r["license_id"] for r in got] == [k for k, _ in texts]
 
 
+@pytest.mark.parametrize("prefix", ["", " * "])
+def test_each_known_license_finds_itself_wrapped(spark, prefix):
+    """A line of the body may begin with any word, "copyright" as well; lines that state a copyright still go."""
+    wrap = lambda t, width: "\n".join(prefix + x for line in t.split("\n") for x in textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""])
+    texts = [(k, f"{prefix}Copyright (c) 1999 A. Nother\n{wrap(t, width)}") for k, ts in op1_license.KNOWN.items() for t in ts for width in range(8, 101)]
+    got = op1_license.license_scan(docs(spark, [t for _, t in texts])).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [k for k, _ in texts]
+
+
+def test_lines_that_state_a_copyright(spark):
+    gone = ["Copyright 2001 X", "Copyright (c) 1999 A. Nother", "COPYRIGHT © Foo", "(c) 2020 Foo, Inc.", "© 2020", "© Foo", "# Copyright The Regents", "Copyright: 2004, Foo", "Copyright Foo Bar", "(C) Copyright Foo 1988", "// (c) Foo", "All rights reserved.", "Copyright by Foo", "copyright, 1999-2004 by foo"]
+    stay = ["copyright notice and this permission notice appear in all copies.", "copyright notice, this list of conditions", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright owner or by an individual", "copyright", "copyright.", "copyright law", "copyright license to reproduce", "(c) You must retain, in the Source form", "(c)", "copyrighted works", "* copyright holder nor the names", "copyright, patent and trademark notices", "(c) the name of the software"]
+    rows = [(x,) for x in gone + stay]
+    got = spark.createDataFrame(rows, "t string").select("t", op1_license.canonical(F.col("t")).alias("c")).collect()
+    assert {r["t"] for r in got if not r["c"]} == set(gone) and {r["t"] for r in got if r["c"]} == set(stay)
+
+
 # 2
 
 
