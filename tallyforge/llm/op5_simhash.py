@@ -183,23 +183,56 @@ def simhash(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "
 def _components(prints: DataFrame, radius: int) -> DataFrame:
     """k, fp, component_id of a table of k, fp."""
     classes = materialize(prints.where("k is not null").groupBy("fp").agg(F.min("k").alias("least")), "simhash-classes")
+    found = _least(classes, radius)
+    out = prints.join(found, prints["fp"] == found["cfp"], "left")
+    return out.select("k", "fp", F.when(F.col("k").isNotNull(), F.col("least")).alias("component_id"))
+
+
+def _least(classes: DataFrame, radius: int) -> DataFrame:
+    """cfp, least: the smallest ``least`` of each fingerprint's component, of a written table of fp (distinct), least."""
     nodes = connected_components(links(classes, radius))
     joined = classes.join(nodes, classes["fp"] == nodes["node"])
     least = joined.groupBy("component").agg(F.min("least").alias("component_least"))
     linked = joined.select("node", F.col("component").alias("c")).join(least, F.col("c") == least["component"]).select(F.col("node").alias("fp"), F.col("component_least").alias("least"))
     alone = classes.join(nodes, classes["fp"] == nodes["node"], "left_anti").select("fp", "least")
-    found = materialize(linked.union(alone), "simhash-components").select(F.col("fp").alias("cfp"), "least")
-    out = prints.join(found, prints["fp"] == found["cfp"], "left")
-    return out.select("k", "fp", F.when(F.col("k").isNotNull(), F.col("least")).alias("component_id"))
+    return materialize(linked.union(alone), "simhash-components").select(F.col("fp").alias("cfp"), "least")
 
 
 def dedup_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One document of each component, the one with the smallest key, with all its columns. Rows with a null key all stay."""
+    """One row of each component, with all its columns: one with the smallest key, or of a component without keys any one.
+
+    Rows are decided one by one, not by key: a row with a null key is a document like others, links like others and comes after those
+    with a key; a key's rows may lie in several components. Among a component's rows with the smallest key the least hash of
+    the content wins, and of rows that are equal in all columns one stays. Hashes are of 128 bits; map columns aren't hashed.
+    """
     small_batches(docs.sparkSession)
     carried = Carried(docs)
-    prints = materialize(carried.rows.select(carried.col("doc_id").cast("long").alias("k"), _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")
-    gone = materialize(_components(prints, radius).where("k <> component_id").select("k").distinct(), "simhash-gone")
-    return carried.back(carried.rows.join(gone, carried.col("doc_id").cast("long") == gone["k"], "left_anti"))
+    content = [F.col(c) for c, kind in carried.rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
+    content += [c.isNull() for c in content]  # nulls leave a hash as it is
+    rows = carried.rows.select("*", carried.col("doc_id").cast("long").alias("k"), F.xxhash64(F.lit(1), *content).alias("h1"), F.xxhash64(F.lit(2), *content).alias("h2"))
+    prints = materialize(rows.select("k", "h1", "h2", _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")
+    least = F.struct(F.col("k").isNull().alias("no_key"), "k", "h1", "h2")
+    found = _least(materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "simhash-classes"), radius)
+    kept = F.col("k").eqNullSafe(F.col("least.k")) & (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
+    decided = materialize(prints.join(found, prints["fp"] == found["cfp"]).select("k", "h1", "h2", kept.alias("kept")), "simhash-decided")
+
+    # most keys have one row, so most rows that go are told by key alone
+    by_key = decided.where("k is not null").groupBy("k").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    gone = materialize(by_key.where("not some").select(F.col("k").alias("gk")), "simhash-gone")
+    mixed = by_key.where("some and not all").select(F.col("k").alias("mk"))
+    lost = decided.where("not kept").select("k", "h1", "h2")
+    gone_rows = materialize(lost.where("k is null").union(lost.join(mixed, lost["k"] == mixed["mk"], "left_semi")).distinct(), "simhash-gone-rows")
+    copies = materialize(decided.where("kept").groupBy("k", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-copies")
+
+    rows = rows.join(gone, rows["k"] == gone["gk"], "left_anti")
+    if not gone_rows.isEmpty():
+        rows = rows.join(gone_rows.toDF("gk", "g1", "g2"), F.expr("k <=> gk and h1 = g1 and h2 = g2"), "left_anti")
+    if not copies.isEmpty():
+        again = copies.toDF("gk", "g1", "g2")
+        same = F.expr("k <=> gk and h1 = g1 and h2 = g2")
+        first = rows.join(again, same, "left_semi").groupBy("k", "h1", "h2").agg(F.first(F.struct(*carried.rows.columns)).alias("row"))
+        rows = rows.join(again, same, "left_anti").select(*carried.rows.columns).union(first.select("row.*"))
+    return carried.back(rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,20 @@ def test_simhash(spark):
     assert op5_simhash.simhash(docs(spark, []).limit(0)).count() == 0
 
 
+def test_dedup_decides_by_row(spark):
+    """Repeated and null keys: one row of each component stays, and a key's clean text isn't lost with its other one."""
+    base = " ".join(f"w{i}" for i in range(400))
+    near = next(t for i in range(400) if 0 < (brute_print(t := base.replace(f"w{i} ", "v ", 1)) ^ brute_print(base)).bit_count() <= 2)
+    x, y, z = ("some words of another text entirely", "nothing that the others say", "one more text of its own")
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "a"), (5, base, "a"), (5, x, "a"), (None, near, "a"), (None, y, "a"), (None, y, "a"), (None, y, "b"), (7, z, "a"), (7, z, "b"), (None, z, "a"), (8, near, "a"), (None, None, None), (None, None, "a"), (None, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in op5_simhash.dedup_documents(table).collect()]
+    assert sorted(map(str, (g for g in got if g[1]))) == sorted(map(str, [(1, base), (5, x), (7, z), (None, y)]))
+    assert len(got) == 5 and [k for k, t in got if not t] == [None]
+    again = [(r["doc_id"], r["text"], r["source"]) for r in op5_simhash.dedup_documents(table.repartition(2)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in op5_simhash.dedup_documents(table).collect())))
+
+
 # 6
 
 
