@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Consecutive keys that one task numbers.
-WIDTH = 1 << 16
+from tallyforge.sources import scratch
 
 
 def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
@@ -22,8 +21,14 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str) -> D
 
 
 def dense(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Numbers from 0 in order of a long column with or without gaps; rows of one value are numbered in some order."""
-    return numbered(df, F.floor(F.col(by) / F.lit(WIDTH)), [F.col(by)], name)
+    """Numbers from 0 in order of a column of any orderable type, nulls first; rows of one value are numbered in some order.
+
+    Rows are dealt to range partitions once (bounds from Spark's own sample) and written with their partition's number, so counts and
+    ranks see the same rows. Each row's place breaks ties, so one value may fill many partitions.
+    """
+    ties = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = scratch.written(ties.repartitionByRange(F.col(by), F.col("_tie")).withColumn("_part", F.spark_partition_id()), "ranges")
+    return numbered(rows, F.col("_part"), [F.col(by), F.col("_tie")], name).drop("_tie", "_part")
 
 
 def shuffle_key(key: Column, seed: int) -> Column:

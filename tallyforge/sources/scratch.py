@@ -5,10 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share the machine's folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share. Where that is unset: a temporary folder of a local master, an error of any other."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return there or tempfile.gettempdir()
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which driver and executors share; a temporary folder where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A new path for one table."""
+    return f"{shared(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table, written once and read back: later uses see the same rows, and lost executors cost nothing."""
+    at = folder(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
