@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tallyforge.sources.scratch import is_local
+
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,9 +41,14 @@ class Carried:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one of a local master (tests).
+
+    Another master without that setting raises: its executors' own disks would each keep a part of a table.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tallyforge-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
@@ -67,15 +76,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Spark hand texts to Python in Arrow batches of ``rows`` rows at most (its default is 10,000), from here on in this session.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within this block, tables that are written hand texts to Python in Arrow batches of ``rows`` rows at most (the default is 10,000).
 
     A batch exists several times over: as vectors and socket buffers in the JVM, outside of its heap, and as a copy and objects in
-    Python. With long texts, batches of the default size are what fills an executor.
+    Python. With long texts, batches of the default size are what fills an executor. The session's own setting comes back after.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in runs, each from about ``size`` bytes, so that a very long text isn't a list of all its words at once."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield (text if not at and end == len(text) else text[at:end]).split()
+        at = end
 
 
 def word_count(text: Column) -> Column:
@@ -117,9 +145,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(middle)
 
 
-def hashed(key: Column, seed: int) -> Column:
-    """60 bits of the MD5 of ``<key>:<seed>`` as a long, which any engine can repeat; null keys share one value."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+def hashed(seed: int, *parts: Column) -> Column:
+    """60 bits of the MD5 of ``<part>:<part>: ... :<seed>`` as a long, which any engine can repeat; a null part counts as ``null``."""
+    told = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *told, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
+def with_copy(rows: DataFrame, alike: str = "alike", place: str = "place", out: str = "copy") -> DataFrame:
+    """Number rows of one ``alike`` (a hash of what makes rows interchangeable) from 0 without gaps, however many there are.
+
+    ``rows`` is a written table whose ``place`` was ``monotonically_increasing_id()`` when it was written: its upper bits tell the writing task.
+    Counts by value and task give each task's first number, so rows of one value are numbered by as many tasks as wrote them. Only
+    rows of repeated values are moved.
+    """
+    again = materialize(rows.groupBy(F.col(alike).alias("_a")).agg(F.count("*").alias("_n")).where("_n > 1").select("_a"), "copies", small=True)
+    if again.isEmpty():
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    task = F.shiftright(F.col(place), 33)
+    some = rows.join(again, rows[alike] == again["_a"], "left_semi").select(F.col(alike).alias("_v"), F.col(place).alias("_p"), task.alias("_t"))
+    count = some.groupBy(F.col("_v").alias("_cv"), F.col("_t").alias("_ct")).agg(F.count("*").alias("_n"))
+    first = count.select("_cv", "_ct", (F.sum("_n").over(Window.partitionBy("_cv").orderBy("_ct").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_first"))
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("_v", "_t").orderBy("_p")))
+    numbers = materialize(ranked.join(first, (F.col("_v") == F.col("_cv")) & (F.col("_t") == F.col("_ct"))).select("_p", (F.col("_first") + F.col("_r") - 1).alias("_copy")), "copy-numbers")
+    joined = rows.join(numbers, rows[place] == numbers["_p"], "left")
+    return joined.withColumn(out, F.coalesce(F.col("_copy"), F.lit(0)).cast("long")).drop("_p", "_copy")
 
 
 #: Leading bits of an order that deal rows to cells.

@@ -9,9 +9,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import gapless_rank, materialize, pick
+from tallyforge.llm.common import gapless_rank, materialize, pick, with_copy
 
-#: A key's place in the order of arrival: 6 bits of size class (largest first), then 57 bits of its hash.
+#: A row's place in the order of arrival: 6 bits of size class (see ``_arrival``), then 57 bits of its hash.
 CLASS_SHIFT = 57
 #: Parts of one slice of arrivals that a pass over the keys counts, as a power of two.
 STEP = 6
@@ -24,18 +24,20 @@ class Ring:
     """Virtual nodes on a circle of ``cells`` places. ``owners[a][k]``: the k-th distinct shard clockwise from arc a."""
 
     shards: int
-    vnodes: int = 64
+    vnodes: int = 128
     seed: int = 42
+    bits: int = 0
     cells: int = 0
     arc_of_cell: list[int] = field(default_factory=list)
     owners: list[list[int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.cells = 1 << max(8, (8 * self.shards * self.vnodes - 1).bit_length())
+        self.bits = max(8, (8 * self.shards * self.vnodes - 1).bit_length())  # the upper ones of a hash: a finer circle keeps the order of places
+        self.cells = 1 << self.bits
         places: dict[int, int] = {}
         for s in range(self.shards):
             for v in range(self.vnodes):
-                at = xxhash.xxh64_intdigest(f"{s}#{v}", seed=self.seed) % self.cells
+                at = xxhash.xxh64_intdigest(f"{s}#{v}", seed=self.seed) >> (64 - self.bits)
                 while at in places:
                     at = (at + 1) % self.cells
                 places[at] = s
@@ -45,19 +47,24 @@ class Ring:
         self.owners = [list(dict.fromkeys(clockwise[a:] + clockwise[:a])) for a in range(len(nodes))]
 
 
-def _arrival(size: Column, h: Column) -> Column:
+def _arrival(size: Column, h: Column, small: int) -> Column:
+    """Size classes are powers of two. Sizes over ``small`` bits come first, the largest before all; then the others, the smallest first.
+
+    The last to come are those that leave their home, so what moves is few rows, and none of them too large to fit into the slack.
+    """
     bits = F.length(F.bin(size))
-    return F.shiftleft((F.lit(63) - bits).cast("long"), CLASS_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - CLASS_SHIFT))
+    return F.shiftleft(F.when(bits > small, F.lit(63) - bits).otherwise(F.lit(62 - small) + bits).cast("long"), CLASS_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - CLASS_SHIFT))
 
 
 class _Loads:
     """Plays the arrivals against the shards' capacities, slice by slice; notes from which arrival on each arc goes to which shard."""
 
-    def __init__(self, keys: DataFrame, ring: Ring, total: int, slack: float):
-        self.keys, self.ring = keys, ring
+    def __init__(self, keys: DataFrame, ring: Ring, total: int, slack: float, small: int):
+        self.keys, self.ring, self.large = keys, ring, 63 - small
         self.owners = np.array(ring.owners)
         self.mean = total / ring.shards
-        self.cap, self.tolerance = (1 + slack) * self.mean, slack / 2 * self.mean
+        self.even, self.tolerance = (1 + slack) * self.mean, slack / 2 * self.mean
+        self.cap, self.last = self.even, -1
         self.load = np.zeros(ring.shards)
         self.open = np.ones(ring.shards, bool)
         self.breaks: list[tuple[int, tuple[int, ...]]] = []
@@ -87,8 +94,10 @@ class _Loads:
 
     def play(self, low: int = 0, shift: int = CLASS_SHIFT, within: int = 63) -> list[tuple[int, tuple[int, ...]]]:
         for part, sums, n in self._count(low, shift, within):
-            if within == 63:  # a size class: smaller keys may fit where larger ones didn't
-                self.open[:] = True
+            if within == 63:
+                if self.last < self.large:  # smaller rows may fit where larger ones didn't, and room made for those ends here
+                    self.open[:], self.cap = True, self.even
+                self.last = part
                 self.now = self._route()
                 self._note(part << shift)
             self._take(part << shift, shift, sums, n)
@@ -125,33 +134,39 @@ def _choose(at: Column, breaks: list[tuple[int, tuple[int, ...]]], arc: Column)
     return F.when(at < F.lit(breaks[mid][0]), _choose(at, breaks[:mid], arc)).otherwise(_choose(at, breaks[mid:], arc))
 
 
-def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.002, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float = 0.002, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Deal rows to shards: key, size, text_crc32, law, shard, slot, grown_shard, home_shard.
 
-    A key's place on the ring is its hash; the first virtual node clockwise names its home shard. Keys arrive by size class
-    (powers of two, largest first) and then by hash; a key whose shard can't take its slice of arrivals continues clockwise
-    to the next shard with room. A slice is as fine as needed to hold at most half the slack. Capacity is (1 + slack) x the
-    mean bytes of a shard, more only if rows larger than the slack fit nowhere. So the law is ``bytes``. The whole
+    A key's place on the ring is its hash; the first virtual node clockwise names its home shard. Rows arrive by size class
+    (``_arrival``) and then by a hash of key, text and number among equal rows; a row whose shard can't take its
+    slice of arrivals continues clockwise to the next shard with room. A slice is as fine as needed to hold at most half the slack,
+    down to single rows, also where many rows share a key. Capacity is (1 + slack) x the mean bytes of a shard, more only
+    while a size class lasts whose rows, larger than the slack, fit nowhere. So the law is ``bytes``. The whole
     placement is a few numbers (from which arrival on an arc leads to which shard), found from counts by slice and arc,
     first of whole size classes and then of parts of those that don't fit as a whole: at most 64 parts x arcs rows, or
     10,000 keys, at a time come to the driver, however many keys there are.
 
     size: UTF-8 bytes plus 1 (null text: 1); text_crc32: of the UTF-8 bytes (null: of none, 0); slot: from 0 without gaps in
-    each shard; grown_shard: null. Null keys hash as a key of their own with their text; repeated rows go to one shard in
-    slots of their own. An empty table gives no rows. Reads texts once; then works on a written table of fixed-size rows.
+    each shard; grown_shard: null. A null key's home is that of its text and number among equal rows. Rows of one key have one home,
+    and leave it like others once it is full. Groups of equal texts aren't kept together: each row is placed by its own key, since a
+    group may hold more than a shard's bytes. Repeated rows have slots of their own. An empty table gives no rows. Reads texts
+    once; then works on a written table of fixed-size rows.
     """
     ring = Ring(shards, vnodes, seed)
     rows = pick(docs, key, text)
-    h = F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    cell = F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(ring.cells)).cast("int")
+    facts = rows.select(F.col(key), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+    facts = materialize(facts.withColumn("alike", F.xxhash64(F.col(key), F.col(key).isNull(), "size", "text_crc32")), "shard-sizes")
+    total = facts.agg(F.sum("size")).first()[0] or 0
+    small = max(0, int(slack / 2 * total / shards).bit_length() - 1)
+    own = F.xxhash64("alike", "copy")
+    cell = F.shiftrightunsigned(F.xxhash64(F.when(F.col(key).isNull(), own).otherwise(F.xxhash64(F.col(key))), F.lit(seed)), 64 - ring.bits).cast("int")
     keys = materialize(
-        rows.select(F.col(key), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), h.alias("h"), cell.alias("cell"))
-        .select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h")).alias("t"), _looked_up(ring.arc_of_cell, F.col("cell")).alias("arc")),
+        with_copy(facts).select(F.col(key), "size", "text_crc32", own.alias("h"), cell.alias("cell"))
+        .select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h"), small).alias("t"), _looked_up(ring.arc_of_cell, F.col("cell")).alias("arc")),
         "shard-keys",
     )
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    breaks = _Loads(keys, ring, total, slack).play()
+    breaks = _Loads(keys, ring, total, slack, small).play()
     home = _looked_up([o[0] for o in ring.owners], F.col("arc"))
     placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc"))).withColumn("home_shard", home).withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
     ranked = gapless_rank(placed, "shard", "r", CLASS_SHIFT, "slot", (key, "text_crc32", "size"))

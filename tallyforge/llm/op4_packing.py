@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import gapless_rank, hashed, materialize, pick, word_count
+from tallyforge.llm.common import Carried, gapless_rank, hashed, materialize, pick, with_copy, word_count
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -57,25 +57,60 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536, seed: int = 42
     padding over all rows least; padded_len is the row's bucket's end. A batch of a bucket has ``budget // padded_len`` rows, one
     at least: a row longer than the budget is a batch of its own, over the budget, whole. Only the last batch of a bucket may
     have fewer rows (``batch_rows`` is the capacity). batch_id counts from 0 inside a bucket, batch_row from 0 inside a batch; rows
-    go to batches by a hash of key, so a batch mixes sources. Null and empty texts have 0 tokens. Repeated rows take
-    places of their own. An empty table gives no rows.
+    go to batches by a hash of key, length and number among rows of that key and length, so a batch mixes sources, and
+    repeated and null keys are spread like others. Null and empty texts have 0 tokens. Repeated rows take places of their own.
+    A null ``length`` counts as 0. An empty table gives no rows.
 
     The driver sees the exact histogram, a row (two longs, as Arrow) for each distinct length, however long the longest is: D distinct
     word counts need at least D * (D - 1) / 2 words in all, so there are few. A ``length`` of one's own has no such bound.
     """
-    tokens = F.coalesce(length.cast("long"), F.lit(0)) if length is not None else word_count(F.col(text))
-    rows = materialize(pick(docs, *dict.fromkeys((key, text))).select(F.col(key), tokens.alias("n_tokens"), hashed(F.col(key), seed).alias("h")), "pack-lengths")
+    if length is None:
+        rows = pick(docs, *dict.fromkeys((key, text))).select(F.col(key).alias("k"), word_count(F.col(text)).alias("n_tokens"))
+    else:
+        rows = pick(docs.withColumn("_n_tokens", F.coalesce(length.cast("long"), F.lit(0))), key, "_n_tokens").toDF("k", "n_tokens")
+    rows = materialize(rows.select("*", _alike(), F.monotonically_increasing_id().alias("place")), "pack-lengths")
+    return _placed(rows, buckets, budget, seed).select(F.col("k").alias(key), *PLACES)
+
+
+#: Columns that tell a row's place.
+PLACES = ("n_tokens", "bucket", "padded_len", "batch_id", "batch_row", "batch_rows", "padding")
+
+
+def _alike() -> Column:
+    return F.xxhash64(F.col("k"), F.col("k").isNull(), F.col("n_tokens")).alias("alike")
+
+
+def _placed(rows: DataFrame, buckets: int, budget: int, seed: int) -> DataFrame:
+    """k, place, copy and PLACES of a written table of k, n_tokens, alike, place."""
+    rows = materialize(with_copy(rows).select("k", "n_tokens", "place", "copy", hashed(seed, F.col("k"), F.col("n_tokens"), F.col("copy")).alias("h")), "pack-rows")
     hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
     ends = best_boundaries(hist["n_tokens"].to_numpy(), hist["n"].to_numpy(), buckets) or [0]
     padded = F.element_at(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col("bucket") + 1)
     dealt = rows.withColumn("bucket", _bucket(F.col("n_tokens"), ends).cast("int")).withColumn("padded_len", padded)
-    ranked = gapless_rank(dealt, "bucket", "h", 60, "r", (key, "n_tokens"))
+    ranked = gapless_rank(dealt, "bucket", "h", 60, "r", ("k", "n_tokens", "copy"))
     fit = F.greatest(F.lit(1).cast("long"), F.expr(f"{int(budget)}L div greatest(padded_len, 1L)"))
     return ranked.withColumn("batch_rows", fit).select(
-        key, "n_tokens", "bucket", "padded_len", F.expr("r div batch_rows").alias("batch_id"), F.expr("r % batch_rows").alias("batch_row"), "batch_rows", (F.col("padded_len") - F.col("n_tokens")).alias("padding")
+        "k", "place", "copy", "n_tokens", "bucket", "padded_len", F.expr("r div batch_rows").alias("batch_id"), F.expr("r % batch_rows").alias("batch_row"), "batch_rows", (F.col("padded_len") - F.col("n_tokens")).alias("padding")
     )
 
 
+def pack_documents(docs: DataFrame, buckets: int = 8, budget: int = 65_536, seed: int = 42) -> DataFrame:
+    """All columns of the documents, then copy and what ``pack`` tells: rows of one (bucket, batch_id), in order of batch_row, are a batch.
+
+    copy: 0, 1, ... of rows with one doc_id and length, so that documents which a mix repeats can be told apart. A column of the documents
+    whose name (in any case) is one of those added here is returned as ``<name>_before``. Documents are written once with their
+    lengths; places are found from lengths alone and joined to the documents by row.
+    """
+    carried = Carried(docs)
+    rows = carried.rows.select("*", carried.col("doc_id").alias("k"), word_count(carried.col("text")).alias("n_tokens"))
+    rows = materialize(rows.select("*", _alike(), F.monotonically_increasing_id().alias("place")), "pack-documents")
+    at = _placed(rows.select("k", "n_tokens", "alike", "place"), buckets, budget, seed)
+    added = ("copy", *PLACES)
+    out = rows.drop("k", "n_tokens", "alike").join(at.drop("k").withColumnRenamed("place", "at"), F.col("place") == F.col("at"))
+    names = [n + "_before" if n.lower() in added else n for n in carried.names]
+    return out.select(*[f"_c{i}" for i in range(len(names))], *added).toDF(*names, *added)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -89,14 +124,15 @@ def sql(buckets: int = 8, budget: int = 65_536) -> str:
     back += [f"e{k - 1} as (select case when count(*) = 0 then (select j from e{k}) else max(cut) end as j from d{k} where j = (select j from e{k}))" for k in range(buckets, 1, -1)]
     ends = " union ".join(f"select j from e{k}" for k in range(1, buckets + 1))
     return f"""
-with t as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens,
-    ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':42'), 1, 15))::bigint as h from documents),
+with l as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens from documents),
+n as (select *, row_number() over (partition by doc_id, n_tokens) - 1 as copy from l),
+t as (select *, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || n_tokens || ':' || copy || ':42'), 1, 15))::bigint as h from n),
 h as (select len, row_number() over (order by len) as j, sum(n) over (order by len)::double as rows, sum(n * len) over (order by len)::double as tokens
   from (select n_tokens as len, count(*) as n from t group by 1)),
 {", ".join(layers)},
 {", ".join(back)},
 b as (select len as padded_len, row_number() over (order by len) - 1 as bucket, coalesce(lag(len) over (order by len), -1) as under from h where j in ({ends})),
 r as (select t.*, bucket::integer as bucket, padded_len::bigint as padded_len, greatest(1, {budget} // greatest(padded_len, 1))::bigint as batch_rows,
-  row_number() over (partition by bucket order by h, doc_id, n_tokens) - 1 as r from t join b on n_tokens > under and n_tokens <= padded_len)
+  row_number() over (partition by bucket order by h, doc_id, n_tokens, copy) - 1 as r from t join b on n_tokens > under and n_tokens <= padded_len)
 select doc_id, n_tokens, bucket, padded_len, r // batch_rows as batch_id, r % batch_rows as batch_row, batch_rows, padded_len - n_tokens as padding from r
 """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import Carried, hashed, materialize, pick, word_count
+from tallyforge.llm.common import Carried, hashed, materialize, pick, with_copy, word_count
+from tallyforge.operators.ordinals import dense
 
 #: Bits of a document's hash, and bits that one histogram resolves: 5 levels of 4,096 buckets.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -20,38 +21,39 @@ def _source(source: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = _WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """(src, source_size, target): weighted shares of ``share`` x all sizes, none above ``limit`` x its source's size.
 
-    Excess goes to the others by weight until none is above its limit: the targets are min(level x weight, limit x size) for
-    the one level that spends the whole, found by sorting sources by the level at which they stop. The windows hold one row
-    a source.
+    Excess goes to the others by weight until none is above its limit. The targets are min(level x weight, limit x size) for the
+    one level that spends the whole. Each round sums what the sources stopped at this level take and what the others weigh; the
+    level only rises, and rounds end when no further source stops. Sources are numbered by range partitions and summed where they
+    are, so there may be as many as a corpus has domains.
     """
-    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy("src")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
-    per = per.withColumn("w", weight.cast("double")).withColumn("stop", F.lit(float(limit)) * F.col("source_size"))
-    by = Window.orderBy((F.col("stop") / F.col("w")), "src")
-    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    per = per.withColumn("spent", F.coalesce(F.sum("stop").over(before), F.lit(0.0))).withColumn("left_w", F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(whole) - F.col("spent")) / F.col("left_w"))
-    # the first source, in this order, that doesn't stop at its limit fixes the level
-    free = F.min(F.when(F.col("level") * F.col("w") <= F.col("stop"), F.struct((F.col("stop") / F.col("w")).alias("r"), "src", "level"))).over(whole)
-    per = per.withColumn("free", free)
-    return per.select("src", "source_size", F.when(F.col("free").isNull(), F.col("stop")).otherwise(F.least("stop", F.col("free.level") * F.col("w"))).alias("target"))
+    per = dense(sizes.groupBy("src").agg(F.sum("size").alias("source_size")), "src", "place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    per = materialize(per.select("src", "source_size", weight.cast("double").alias("w"), (F.lit(float(limit)) * F.col("source_size")).alias("stop")), "mix-sources", small=True)
+    whole = float(share) * (per.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        free = F.lit(level) * F.col("w") <= F.col("stop")
+        spent, weighs, now = per.agg(F.coalesce(F.sum(F.when(~free, F.col("stop"))), F.lit(0.0)), F.sum(F.when(free, F.col("w"))), F.count_if(~free)).first()
+        if now == stopped or weighs is None:
+            break
+        level, stopped = (whole - spent) / weighs, now
+    target = F.col("stop") if weighs is None else F.least("stop", F.lit(level) * F.col("w"))
+    return per.select("src", "source_size", target.alias("target"))
 
 
 def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """(src, source_size, target, times, below): every document is taken ``times``, and once more if its hash is under ``below``.
 
     Each level sums sizes by source and hash bucket (partial sums first; at most 4,096 rows a source leave a task), walks
-    the buckets of each source until the budget is spent, and goes on inside the boundary bucket alone. After 5 levels a
-    bucket is one hash value. Documents of one hash value are taken together or not at all; the last value is taken if
-    that brings the source nearer to its target.
+    the buckets of each source until the budget is spent, and goes on inside the boundary bucket alone, which its upper bits
+    tell. After 5 levels a bucket is one hash value. Documents of one hash value are taken together or not at all; the last
+    value is taken if that brings the source nearer to its target.
     """
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = materialize(goals.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.lit(True)), "mix-level", small=True)
-    left = sizes
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         at = state.where("open").select(F.col("src").alias("s"), F.col("prefix").alias("at"))
-        left = left.join(at, left["src"] == at["s"]).where(F.shiftright("h", shift + LEVEL_BITS) == F.col("at")).drop("s", "at")
+        left = sizes.join(at, (sizes["src"] == at["s"]) & (F.shiftright("h", shift + LEVEL_BITS) == at["at"]))
         hist = left.groupBy("src", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"))
         w = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         walked = hist.withColumn("cum", F.sum("n").over(w)).join(state.select(F.col("src").alias("s"), "budget"), F.col("src") == F.col("s"))
@@ -70,8 +72,12 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("src", "source_size", "target", "times", F.col("prefix").alias("below"))
 
 
-def _sizes(rows: DataFrame, key: Column, source: Column, text: Column, seed: int) -> DataFrame:
-    return rows.select(key.alias("k"), word_count(text).alias("size"), _source(source).alias("src"), hashed(key, seed).alias("h"))
+def _sizes(rows: DataFrame, key: Column, source: Column, text: Column, told: Column, seed: int) -> DataFrame:
+    """k, size, src, alike, place, copy, h by row, as a written table. ``told`` tells rows of one key and source apart."""
+    src = _source(source)
+    facts = rows.select(key.alias("k"), word_count(text).alias("size"), src.alias("src"), told.alias("told"), F.xxhash64(key, key.isNull(), src, told, told.isNull()).alias("alike"), F.monotonically_increasing_id().alias("place"))
+    numbered = with_copy(materialize(facts, "mix-facts"))
+    return materialize(numbered.withColumn("h", hashed(seed, F.col("k"), F.col("told"), F.col("copy"))).drop("told"), "mix-sizes")
 
 
 def _copies(h: Column, limit: float) -> Column:
@@ -84,14 +90,14 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _WEIGHTS, sh
 
     Sources by code point, null last, have the weights in turn; see ``targets``. A document is taken 0, 1 or 2 times (taken = times x
     size), as its source's target asks: whole rounds first, then those under the source's hash threshold once more. Null
-    and empty texts have size 0. Rows that share a key are decided alike; so are all rows with a null key. Null source is
-    a source. Reruns agree: hashes depend on key and seed only. An empty table gives no rows.
+    and empty texts have size 0. Null source is a source. Hashes depend on key, text, number among rows alike in key, source and
+    text, and seed, so reruns agree, and rows that share a key, or have none, are decided one by one. An empty table gives no rows.
 
-    Texts are read once, to a written table of (key, size, source, hash). The final filter compares hashes and joins one row a
+    Texts are read once, to a written table of fixed-size rows. The final filter compares hashes and joins one row a
     source; nothing is sorted.
     """
     rows = pick(docs, key, source, text)
-    sizes = materialize(_sizes(rows, F.col(key), F.col(source), F.col(text), seed), "mix-sizes")
+    sizes = _sizes(rows, F.col(key), F.col(source), F.col(text), F.md5(F.col(text).cast("binary")), seed)
     rule = thresholds(sizes, targets(sizes, weights, share, limit)).withColumnRenamed("src", "s")
     out = sizes.join(rule, sizes["src"] == rule["s"])
     times = _copies(F.col("h"), limit)
@@ -99,14 +105,31 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _WEIGHTS, sh
 
 
 def mix_documents(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """The mix itself: each document as often as ``mix`` takes it, with all its columns."""
+    """The mix itself: each document as often as the rule of ``mix`` takes it, with all its columns.
+
+    Hashes depend on key, a hash of all columns but maps, and number among equal rows. A row without an equal is decided where it is.
+    Of equal rows as many are taken as their numbers' hashes tell: counted by the task that wrote their sizes, and given from one of them.
+    """
     carried = Carried(docs)
     key, source, text = carried.col("doc_id"), carried.col("source"), carried.col("text")
-    sizes = materialize(_sizes(carried.rows, key, source, text, seed), "mix-sizes")
-    rule = thresholds(sizes, targets(sizes, weights, share, limit))
-    out = carried.rows.withColumn("_s", _source(source)).join(rule, F.col("_s") == F.col("src"))
-    times = _copies(hashed(key, seed), limit)
-    return carried.back(out.withColumn("_n", times.cast("int")).where("_n > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))))
+    kinds = [c for c, kind in carried.rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
+    told = F.xxhash64(*[c for name in kinds for c in (F.col(name), F.col(name).isNull())])
+    sizes = _sizes(carried.rows, key, source, text, told, seed)
+    rule = materialize(thresholds(sizes, targets(sizes, weights, share, limit)), "mix-rule", small=True)
+    several = materialize(sizes.where("copy > 0").select(F.col("alike").alias("a")).distinct(), "mix-several", small=True)
+
+    src = _source(source)
+    rows = carried.rows.select("*", F.xxhash64(key, key.isNull(), src, told, told.isNull()).alias("alike"), src.alias("_s"), hashed(seed, key, told, F.lit(0)).alias("h"))
+    equal = None
+    if not several.isEmpty():
+        some = sizes.join(several, sizes["alike"] == several["a"], "left_semi").join(rule, "src")
+        per = some.groupBy("alike", F.shiftright("place", 33).alias("task")).agg(F.sum(_copies(F.col("h"), limit)).cast("int").alias("_n")).where("_n > 0").withColumnRenamed("alike", "pa")
+        one = rows.join(several, rows["alike"] == several["a"], "left_semi").groupBy("alike").agg(F.first(F.struct(*carried.rows.columns)).alias("row"))
+        equal = one.join(per, one["alike"] == per["pa"]).select("row.*", "_n")
+        rows = rows.join(several, rows["alike"] == several["a"], "left_anti")
+    taken = rows.join(rule, F.col("_s") == F.col("src")).withColumn("_n", _copies(F.col("h"), limit).cast("int")).where("_n > 0").select(*carried.rows.columns, "_n")
+    taken = taken if equal is None else taken.union(equal)
+    return carried.back(taken.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_n")))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +138,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     return f"""
-with d as (select doc_id, case when source is null then '1' else '0' || source end as src,
-             coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-             ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':42'), 1, 15))::bigint as h from documents),
+with e as (select doc_id, text, case when source is null then '1' else '0' || source end as src, row_number() over (partition by doc_id, source, text) - 1 as copy from documents),
+d as (select doc_id, src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+        ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || coalesce(md5(text), 'null') || ':' || copy || ':42'), 1, 15))::bigint as h from e),
 per as (select src, sum(size)::bigint as source_size from d group by 1),
 w as (select *, (case (row_number() over (order by src) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end)::double as w, 2.0::double * source_size as stop from per),
 l as (select *, coalesce(sum(stop) over (order by stop / w, src rows between unbounded preceding and 1 preceding), 0)::double as spent,
