@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,29 +11,31 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import Carried, connected_components, materialize, pick, small_batches
+from tallyforge.llm.common import Carried, checkpoint, connected_components, materialize, pick, small_batches, word_runs
 
 SEED = 42
-#: Members of one tree at most. A larger shard is split over several trees, each searched for all the shard's members.
+#: Nodes of one tree at most. A larger shard is divided over further bits, see ``links``.
 TREE_ROWS = 32_768
 #: Members that a shard may have by chance alone.
 SHARD_ROWS = 64
-#: Shingles hashed at a time.
-_BLOCK = 1 << 16
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The majority of each bit over the XXH64 values (seed 42) of all word shingles; unsigned. No words: 0."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts, ends = [0, *ends[: n - 1]], [e - 1 for e in ends[min(width, len(words)) - 1 :]]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
-    for at in range(0, n, _BLOCK):
-        raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    """The majority of each bit over the XXH64 values (seed 42) of all word shingles; unsigned. No words: 0.
+
+    A text is read in runs of words, each begun with the last words of the one before, so memory doesn't grow with the text.
+    """
+    ones, n, last, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_digest
+    for run in word_runs(text or b""):
+        words = last + [w.lower() for w in run] if last else b" ".join(run).lower().split(b" ") if run else []
+        if len(words) >= width:
+            joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
+            raw = b"".join([digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[width - 1 :], strict=False)])
+            ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            n += len(words) - width + 1
+        last = words[-(width - 1) :] if width > 1 else []
+    if not n and last:  # fewer words than a shingle has
+        return xxhash.xxh64_intdigest(b" ".join(last), SEED)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -48,6 +51,7 @@ class BKTree:
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.visited = 0
 
     def add(self, value: int) -> None:
         at = 0
@@ -64,10 +68,14 @@ class BKTree:
         self.children.append({})
 
     def within(self, value: int, radius: int) -> list[int]:
-        """Values at most ``radius`` away. Only edges keyed d - radius to d + radius can lead to one, by the triangle inequality."""
+        """Values at most ``radius`` away. Only edges keyed d - radius to d + radius can lead to one, by the triangle inequality.
+
+        ``visited`` counts the nodes that were compared.
+        """
         found, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
+            self.visited += 1
             d = (value ^ self.values[at]).bit_count()
             if d <= radius:
                 found.append(self.values[at])
@@ -103,20 +111,18 @@ def _search(radius: int):
         for rows in batches:
             if not len(rows):
                 continue
-            keys = rows[["shard", "tree"]].to_numpy(np.int64)
-            prints, member = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["member"].to_numpy(bool)
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            keys, prints = rows["shard"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             ends = np.append(starts[1:], len(rows))
             # most shards have one member and nothing to find, unless the batch before or after has more of the shard
             some = ends - starts > 1
             some[[0, -1]] = True
             for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
-                if (key := tuple(keys[s])) != last:
+                if (key := int(keys[s])) != last:
                     tree, sets, last = BKTree(), _Sets(), key
-                for value, own in zip(prints[s:e].tolist(), member[s:e].tolist(), strict=True):
-                    out += [(value, near) for near in tree.within(value, radius) if near != value and sets.join(value, near)]
-                    if own:
-                        tree.add(value)
+                for value in prints[s:e].tolist():
+                    out += [(value, near) for near in tree.within(value, radius) if sets.join(value, near)]
+                    tree.add(value)
                 if len(out) > 50_000:
                     yield _pairs(out)
                     out = []
@@ -145,26 +151,55 @@ def masks(radius: int, n: int) -> list[int]:
     return found
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _dealt(rows: DataFrame, parts: dict[int, list[int]]) -> DataFrame:
+    """(fp, shard, known) once for each mask that ``parts`` has for the row's ``known``: members of a shard that agree in the mask's bits stay
+    together. ``known`` has the bits in which all members of a shard agree."""
+    listed = F.create_map(*[x for known, masks_ in parts.items() for x in (F.lit(_signed(known)), F.array(*[F.lit(_signed(m)) for m in masks_]))])
+    each = rows.select("fp", "shard", "known", F.explode(F.element_at(listed, F.col("known"))).alias("mask"))
+    return each.select("fp", F.xxhash64("shard", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"), F.col("known").bitwiseOR(F.col("mask")).alias("known"))
+
+
+def _blocks(bits: list[int], radius: int) -> list[int]:
+    """``bits`` in radius + 1 blocks: two numbers within the radius agree in one of them."""
+    cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def shards(prints: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> list[DataFrame]:
+    """Tables of (fp, shard) without a shard of more than ``tree_rows`` members: any two fingerprints within the radius meet in one shard at least.
+
+    Fingerprints within the radius agree in one of a few sets of bits (``masks``), so each goes to a shard a set. A larger shard is
+    divided over bits in which its members may still differ: two of them within the radius also agree in one of radius + 1
+    blocks of these. Each division leaves a third fewer free bits (at radius 2), and b free bits tell 2^b fingerprints apart at most, so after a
+    few divisions no shard can be larger, whatever the data; no shard is compared whole with its parts. The driver sees the sets
+    of known bits of such shards: tens, however many shards there are.
+    """
+    state = _dealt(prints.select("fp", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("known")), {0: masks(radius, prints.count())})
+    most, done = max(tree_rows, 1 << radius), []
+    while True:
+        large = materialize(state.groupBy("shard", "known").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("shard").alias("ls"), F.col("known").alias("lk")), "simhash-large", small=True)
+        kinds = [r["lk"] & ((1 << 64) - 1) for r in large.select("lk").distinct().collect()]
+        if not kinds:
+            return [*done, state.select("fp", "shard")]
+        here = large.select("ls")
+        done.append(state.join(here, state["shard"] == here["ls"], "left_anti").select("fp", "shard"))
+        members = state.join(here, state["shard"] == here["ls"], "left_semi")
+        state = checkpoint(_dealt(members, {k: _blocks([b for b in range(64) if not k >> b & 1], radius) for k in kinds}))
+
+
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) of distinct fingerprints (column ``fp``): enough links at most ``radius`` bits apart to join all that the whole set joins.
 
-    Fingerprints within the radius agree in one of a few sets of bits (``masks``), so each is dealt to a shard a set, by the set
-    and its bits' values; a shard's tree is built and searched in one task. A shard of more than ``TREE_ROWS`` members is split:
-    each of its trees takes a part of the members (by hash) and is searched for all. So no tree has more than about
-    ``TREE_ROWS`` nodes, whatever the table's size, and all trees together hold each fingerprint once a set.
+    Fingerprints are dealt to ``shards``; a shard's tree, of at most ``TREE_ROWS`` nodes, is built and searched in one task, and a
+    search follows only edges within the radius. Of a shard's links those are given that join two sets.
     """
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    shard = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks(radius, prints.count()))]))
-    dealt = prints.select("fp", shard.alias("shard"))
-    large = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS).select(F.col("shard").alias("s"), F.ceil(F.col("n") / F.lit(TREE_ROWS)).cast("int").alias("trees")), "simhash-large")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("trees"))
-    trees = dealt.join(large, dealt["shard"] == large["s"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    trees = trees.select("fp", "shard", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), own.cast("int").alias("own"))
-    # members first, so that each other row of a split shard finds the tree whole
-    trees = trees.select("fp", "shard", "tree", (F.col("own") == F.col("tree")).alias("member"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = trees.repartition(n, "shard", "tree").sortWithinPartitions("shard", "tree", F.desc("member"), "fp")
-    return placed.mapInPandas(_search(radius), "a long, b long")
+    found = [s.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInPandas(_search(radius), "a long, b long") for s in shards(prints, radius, TREE_ROWS)]
+    return reduce(DataFrame.union, found)
 
 
 def simhash(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,8 +210,8 @@ def simhash(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "
     key gets its fingerprint and component null and links nothing. Repeated rows give repeated results. An empty
     table gives no rows. Texts are read once; fingerprints go to a written table.
     """
-    small_batches(docs.sparkSession)
-    prints = materialize(pick(docs, key, text).select(F.col(key).cast("long").alias("k"), _fingerprints(F.col(text).cast("binary")).alias("fp")), "simhash")
+    with small_batches(docs.sparkSession):
+        prints = materialize(pick(docs, key, text).select(F.col(key).cast("long").alias("k"), _fingerprints(F.col(text).cast("binary")).alias("fp")), "simhash")
     return _components(prints, radius).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -205,12 +240,12 @@ def dedup_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
     with a key; a key's rows may lie in several components. Among a component's rows with the smallest key the least hash of
     the content wins, and of rows that are equal in all columns one stays. Hashes are of 128 bits; map columns aren't hashed.
     """
-    small_batches(docs.sparkSession)
     carried = Carried(docs)
     content = [F.col(c) for c, kind in carried.rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
     content += [c.isNull() for c in content]  # nulls leave a hash as it is
     rows = carried.rows.select("*", carried.col("doc_id").cast("long").alias("k"), F.xxhash64(F.lit(1), *content).alias("h1"), F.xxhash64(F.lit(2), *content).alias("h2"))
-    prints = materialize(rows.select("k", "h1", "h2", _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")
+    with small_batches(docs.sparkSession):
+        prints = materialize(rows.select("k", "h1", "h2", _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")
     least = F.struct(F.col("k").isNull().alias("no_key"), "k", "h1", "h2")
     found = _least(materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "simhash-classes"), radius)
     kept = F.col("k").eqNullSafe(F.col("least.k")) & (F.col("h1") == F.col("least.h1")) & (F.col("h2") == F.col("least.h2"))
