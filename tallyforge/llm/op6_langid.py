@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from tallyforge.llm.common import Carried, pick, small_batches
+from tallyforge.llm.common import Carried, materialize, pick, small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Bytes of each language's dictionary, and documents of each language that it is made from: the bound of the fit.
-DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 96 << 10, 128, 1024
+LETTER, REST = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
+#: Bytes of each language's dictionary, and documents of each language that it is made from at most (about): the bound of the fit.
+DICTIONARY_BYTES, SAMPLE_ROWS = 192 << 10, 256
 #: A text is encoded in blocks, each against the dictionary alone, so that a long text's own words don't take its place.
 BLOCK = 2048
 #: Relative lead over the second language below which a prediction is rejected.
@@ -28,7 +29,7 @@ def _remainder(key: Column, folds: int) -> Column:
 
 def _fold(text: str) -> bytes:
     """Lower case, runs of what isn't a letter as one space."""
-    return re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "replace")
+    return REST.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 @dataclass
@@ -77,24 +78,25 @@ class Languages:
 def learn(docs: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Dictionaries from documents with a language whose crc32(key as text) mod ``folds`` isn't 0.
 
-    A bounded sample: of each language about ``SAMPLE_ROWS`` texts (all, if it has fewer), those with the smallest hashes, and of each
-    a stretch of ``SAMPLE_CHARS`` characters from a place that a hash picks; folded and joined, ``DICTIONARY_BYTES`` at most. Copies
-    count once. The share of the hash range to take comes from the number of different texts by language, so nothing is
-    sorted and only the sample leaves the executors: about languages x 2 x ``SAMPLE_ROWS`` x ``SAMPLE_CHARS`` characters.
+    A bounded sample of whole texts: of each language about 2 x ``SAMPLE_ROWS`` (all, if it has fewer) by the hash of the text, and of
+    these, in order of hash, as many as fit into ``DICTIONARY_BYTES``; folded and joined. Where no sampled text fits, the shortest is
+    taken whole. Copies count once. The share of the hash range to take comes from the number of different texts by language,
+    so only the sample is sorted, and what leaves the executors is a dictionary's worth of texts a language. Languages are
+    the distinct values of ``lang``: a label set, of which the driver keeps a row each and an executor an encoder each.
     """
     rows = pick(docs, key, text, lang).toDF("k", "x", "l").where(F.col("l").isNotNull() & F.col("x").isNotNull() & (_remainder(F.col("k"), folds) != 0))
     unit = F.pmod(F.xxhash64("x", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = rows.groupBy("l").agg(F.count("*").alias("n"), (F.lit(2.0 * SAMPLE_ROWS) / F.approx_count_distinct("x")).alias("share"))
-    spare = F.greatest(F.length("x") - F.lit(SAMPLE_CHARS), F.lit(0))
-    start = F.floor(spare * (F.pmod(F.xxhash64("x", F.lit(8)), F.lit(1 << 20)) / F.lit(float(1 << 20)))).cast("int") + 1
     counts = {r["l"]: (r["n"], r["share"]) for r in counts.collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for name, (_, part) in sorted(counts.items()) for x in (name, part)]), F.col("l")) if counts else F.lit(0.0)
-    sample = rows.withColumn("share", share).withColumn("u", unit).where(F.col("u") < F.col("share")).select("l", "u", F.col("x").substr(start, F.lit(SAMPLE_CHARS)).alias("piece")).distinct()
-    small_batches(docs.sparkSession)
-    by: dict[str, list[tuple[float, str]]] = {}
-    for r in sample.collect():
-        by.setdefault(r["l"], []).append((r["u"], r["piece"]))
-    return Languages({name: b" ".join(_fold(p) for _, p in sorted(pieces)[:SAMPLE_ROWS])[-DICTIONARY_BYTES:].ljust(8, b" ") for name, pieces in by.items()}, {name: n for name, (n, _) in counts.items()})
+    sample = rows.withColumn("share", share).withColumn("u", unit).where(F.col("u") < F.col("share")).select("l", "u", "x").distinct()
+    size = F.octet_length("x")
+    order = Window.partitionBy("l").orderBy(F.greatest(size, F.lit(DICTIONARY_BYTES)), "u", "x")
+    fit = sample.withColumn("sum", F.sum(size + F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(order))
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in fit.where((F.col("sum") <= DICTIONARY_BYTES) | (F.col("rn") == 1)).select("l", "rn", "x").collect():
+        by.setdefault(r["l"], []).append((r["rn"], r["x"]))
+    return Languages({name: b" ".join(_fold(x) for _, x in sorted(texts)).ljust(8, b" ") for name, texts in by.items()}, {name: n for name, (n, _) in counts.items()})
 
 
 def _predictor(model: Languages):
@@ -111,11 +113,12 @@ def identify(docs: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "
 
     held_out: crc32(key as text) mod ``folds`` is 0 (a null key counts as the empty text). Predictions read the whole text and
     nothing else. Rows with null text or without a letter are ``und`` and not accepted, and so are all rows if no document has a
-    language to learn from. An empty table gives no rows. Dictionaries (languages x 96 KiB) travel with the task.
+    language to learn from. An empty table gives no rows. Dictionaries (languages x 192 KiB) travel with the task.
     """
     model = learn(docs, folds, key, text, lang)
     rows = pick(docs, key, text)
-    out = rows.select(F.col(key), (_remainder(F.col(key), folds) == 0).alias("held_out"), _predictor(model)(F.col(text)).alias("p"))
+    with small_batches(docs.sparkSession):
+        out = materialize(rows.select(F.col(key), (_remainder(F.col(key), folds) == 0).alias("held_out"), _predictor(model)(F.col(text)).alias("p")), "languages")
     return out.select(key, "held_out", "p.lang_pred", "p.score", "p.margin", "p.accepted")
 
 
@@ -123,7 +126,8 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     """Documents, with all columns, whose language is told by more than the margin."""
     model = learn(docs)
     carried = Carried(docs)
-    return carried.back(carried.rows.withColumn("_p", _predictor(model)(carried.col("text"))).where("_p.accepted"))
+    with small_batches(docs.sparkSession):
+        return carried.back(materialize(carried.rows.withColumn("_p", _predictor(model)(carried.col("text"))).where("_p.accepted").drop("_p"), "language-kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
