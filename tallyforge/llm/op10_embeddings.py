@@ -28,6 +28,11 @@ def home_rows(size: int, dims: int, cores: int) -> int:
     return max(HOME_ROWS, min(size // (4 * cores), HOME_BYTES // (12 * dims)))
 
 
+def single_slack(dims: int) -> float:
+    """How far a product of two unit vectors in single precision may be off: both are rounded, and so are ``dims`` products and sums."""
+    return (2 * dims + 8) * 2.0**-24
+
+
 def _valid(v: Column) -> Column:
     """Not null or empty, all components finite, not all zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -122,7 +127,7 @@ class _Cell:
         for at in range(0, len(ids), step):
             block = unit[at : at + step]
             near = self.small @ block.astype(np.float32).T
-            h, m = np.nonzero(near >= self.cosine - 1e-5)
+            h, m = np.nonzero(near >= self.cosine - single_slack(unit.shape[1]))
             if own:
                 h, m = h[h != m + at], m[h != m + at]
             if not len(h):
@@ -204,14 +209,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec
     lengths don't link. Rows with one vector count as copies of each other, also if they share a key. An empty table
     gives no rows.
 
-    Equal vectors are one class from the start. Pivots come from a bounded sample; every vector is dealt to cells. A
+    Equal vectors are one class from the start, named by a number of its own, so keys may repeat with different vectors. Pivots come from a bounded sample; every vector is dealt to cells. A
     class is counted in its home cell only, which holds all that can be in reach, so no pair is counted twice and no pair list
     is made: a cell gives one count a vector and the edges of a spanning forest. A cell over ``home_rows`` vectors is
     split into slices that each see all its members, in a stream.
     """
     rows = pick(embeddings, key, vector).toDF("id", "v")
-    good = rows.where(F.col("id").isNotNull() & _valid(F.col("v")))
-    classes = materialize(good.groupBy("v").agg(F.min(F.col("id").cast("long")).alias("id"), F.count("*").alias("n"), F.min(F.size("v")).alias("dims")), "vector-classes")
+    fine = F.col("id").isNotNull() & _valid(F.col("v"))
+    grouped = rows.where(fine).groupBy("v").agg(F.min(F.col("id").cast("long")).alias("least"), F.count("*").alias("n"), F.min(F.size("v")).alias("dims"))
+    classes = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     found = None
     for r in classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect():
         one = _one_dimension(classes, r["n"], r["dims"], cosine)
@@ -221,12 +227,16 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, key: str = "vec
     found = materialize(found, "vector-links")
     counts = found.where("links >= 0").select(F.col("a").alias("i"), "links")
     nodes = connected_components(found.where("links < 0").select("a", "b"))
-    facts = counts.join(nodes, counts["i"] == nodes["node"], "left").select("i", "links", F.coalesce("component", "i").alias("component"))
-    copies = materialize(classes.where("n > 1").select(F.col("v").alias("cv"), F.col("id").alias("rep")), "vector-copies")
-    of = rows.join(copies, rows["v"] == copies["cv"], "left").select("id", F.coalesce("rep", F.col("id").cast("long")).alias("rep"))
-    out = of.join(facts, of["rep"] == facts["i"], "left")
+    # 128 bits of a vector find its class again without moving vectors
+    marks = lambda ok: [F.when(ok, F.xxhash64(F.col("v"), F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    linked = classes.select("id", "least", *marks(F.lit(True))).join(counts, F.col("id") == F.col("i")).join(nodes, F.col("i") == F.col("node"), "left")
+    linked = materialize(linked.select("least", "links", F.coalesce("component", "i").alias("of"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "vector-facts")
+    smallest = linked.groupBy(F.col("of").alias("o")).agg(F.min("least").alias("component"))
+    facts = linked.join(smallest, linked["of"] == smallest["o"]).select("c1", "c2", "links", "component")
+    of = rows.select("id", *marks(fine))
+    out = of.join(facts, (of["h1"] == facts["c1"]) & (of["h2"] == facts["c2"]), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long")))
-    return out.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
