@@ -38,6 +38,20 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _GPL3_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
@@ -51,6 +65,8 @@ KNOWN = {
     "0BSD": [f"{_ISC_GRANT}.\n\n{_ISC_END}", f"BSD Zero Clause License\n{_ISC_GRANT}.\n\n{_ISC_END}"],
     "BSD-2-Clause": [_BSD_TOP + _BSD_END, "BSD 2-Clause License\n" + _BSD_TOP + _BSD_END],
     "BSD-3-Clause": [_BSD_TOP + _BSD_NAME + _BSD_END, "BSD 3-Clause License\n" + _BSD_TOP + _BSD_NAME + _BSD_END],
+    "Unlicense": [_UNLICENSE, "The Unlicense\n" + _UNLICENSE],
+    "BSL-1.0": [_BOOST, "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BOOST],
     "Zlib": [_ZLIB, "zlib License\n" + _ZLIB],
     "Apache-2.0-notice": [_APACHE_NOTICE, "Licensed under the Apache License, Version 2.0."],
     "GPL-3.0-or-later-notice": [_GPL3_NOTICE],
@@ -59,39 +75,48 @@ KNOWN = {
     "CC-BY-NC-4.0-notice": ["Licensed under CC BY-NC 4.0."],
 }
 
-#: What ``sql()`` takes for a copyright line. It also takes lines of a wrapped body that begin with "copyright".
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 #: Words after "copyright" that go on with a sentence and are no holder.
 _NO_HOLDER = r"(?:notices?|holders?|owners?|owned|laws?|licen[cs](?:e|es|ed|ing|or|ors)|statements?|interests?|permissions?|protections?|treat(?:y|ies)|claims?|claimed|disclaimers?|infringements?|rights?|terms?|acts?|status|headers?|information|ownership|patents?|trademarks?|trade|and|or|nor|of|in|on|to|for|from|with|under|as|at|is|are|was|were|be|it|its|this|that|these|those|which|if|may|must|shall|can|will|not|no|any|such|other|only|applies|above|below)\b"
 #: Words after "(c)" that make it an item of a list.
 _ITEM = r"(?:the|a|an|all|each|every|either|neither|you|your|we|they|he|she|there|their|where|when|who|by|do|does|make|use|give|include|includes|cause|retain|provide|provided|accompany|convey|distribute|reproduce|modify|copy|redistributions?|modifications?|altered|loss|any)\b"
 #: A whole line that states a copyright: a sign, year or holder after "copyright", "(c)" or "©", or all rights reserved.
 STATEMENT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]*(?:\(c\)|©|[:,]?[ \t]*\p{{N}}|:?[ \t]+(?!{_NO_HOLDER})\p{{L}})|\(c\)[ \t]*(?:copyright\b(?![ \t]+{_NO_HOLDER})|\p{{N}}|(?!{_NO_HOLDER}|{_ITEM})\p{{L}})|©|all rights reserved)[^\n]*$"
-#: Fixed values: (pattern, replacement) of equivalent spellings, applied to lower-cased text of single-spaced words.
+#: What a line that states a copyright has in any case.
+MENTION = r"copyright|\(c\)|©|all rights reserved"
+#: Fixed values: (pattern of whole words, replacement) of equivalent spellings, applied to lower-cased text of single-spaced words.
 SPELLINGS = [
-    (r"\blicenc(e|es|ed|ing)\b", r"licens\1"),
-    (r"\bsub licens", "sublicens"),
-    (r"\bnon (infringement|commercial|exclusive)\b", r"non\1"),
-    (r"\b(organi|authori|recogni|summari|utili)s(e|es|ed|ing|ation|ations)\b", r"\1z\2"),
-    (r"\bmerchantibility\b", "merchantability"),
-    (r"\backnowledgement\b", "acknowledgment"),
-    (r"\bfulfil\b", "fulfill"),
-    (r"\bfavour\b", "favor"),
-    (r"\bbehaviour\b", "behavior"),
-    (r"\bhonour\b", "honor"),
-    (r"\bjudgement\b", "judgment"),
-    (r"\bhttps\b", "http"),
-    (r"\bcopyright holders\b", "copyright holder"),
+    (r"licenc(e|es|ed|ing)", r"licens$1"),
+    (r"sub (licens(?:e|es|ed|ing))", r"sub$1"),
+    (r"non (infringement|commercial|exclusive)", r"non$1"),
+    (r"(organi|authori|recogni|summari|utili)s(e|es|ed|ing|ation|ations)", r"$1z$2"),
+    (r"merchantibility", "merchantability"),
+    (r"acknowledgement", "acknowledgment"),
+    (r"fulfil", "fulfill"),
+    (r"favour", "favor"),
+    (r"behaviour", "behavior"),
+    (r"honour", "honor"),
+    (r"judgement", "judgment"),
+    (r"https", "http"),
+    (r"copyright holders", "copyright holder"),
 ]
 
 
+def _words(pattern: str) -> str:
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case without lines that state a copyright and punctuation, words single-spaced, spellings made one; null stays null."""
-    t = F.regexp_replace(F.lower(text), STATEMENT_LINE, "")
+    """Lower case without lines that state a copyright and punctuation, words single-spaced, spellings made one; null stays null.
+
+    Most texts mention no copyright and have none of the spellings: one look for any tells, and the rest is left out.
+    """
+    t = F.lower(text)
+    t = F.when(t.rlike(MENTION), F.regexp_replace(t, STATEMENT_LINE, "")).otherwise(t)
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    one = t
     for pattern, to in SPELLINGS:
-        t = F.regexp_replace(t, pattern, to.replace("\\", "$"))
-    return t
+        one = F.regexp_replace(one, _words(pattern), to)
+    return F.when(t.rlike(_words("|".join(p.replace("licens", "licen[cs]") for p, _ in SPELLINGS))), one).otherwise(t)
 
 
 def catalogue(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
@@ -102,7 +127,21 @@ def catalogue(spark: SparkSession, texts: dict[str, list[str]] | None = None) ->
     """
     rows = [(k, t) for k, ts in sorted((KNOWN if texts is None else texts).items()) for t in ts]
     listed = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("license_text")) for k, t in rows])
-    return spark.range(1).select(F.inline(listed)).select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return _digests(spark.range(1).select(F.inline(listed)))
+
+
+def _digests(texts: DataFrame) -> DataFrame:
+    return texts.select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def catalogue_of(spark: SparkSession, path: str, with_known: bool = True) -> DataFrame:
+    """As ``catalogue``, of a folder (or glob) of licence texts, one a file: ``<id>.txt`` or ``<id>.md``; further forms of one as ``<id>__<any>.txt``.
+
+    For long licences, whose texts people keep as files. With ``with_known`` the built-in ones too; a digest of both is the folder's.
+    """
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"(__.*)?\.(txt|md)$", "")
+    own = _digests(spark.read.text(path, wholetext=True).select(name.alias("license_id"), F.col("value").alias("license_text")))
+    return own.union(catalogue(spark).join(own.select("digest"), "digest", "left_anti").select(*own.columns)) if with_known else own
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,11 +163,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duck_canonical(x: str) -> str:
+    """The same by lines and by words: a line goes if it begins as a statement does and not as a sentence, a word by a table of words."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"trim(regexp_replace(regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    for pattern, to in SPELLINGS:
-        x = f"regexp_replace({x}, {quote(pattern)}, {quote(to)}, 'g')"
-    return x
+    begins = lambda what: f"regexp_matches(l, {quote('^[^\\p{L}\\p{N}]*' + what)})"
+    signed = begins(r"(copyright[ \t]*(\(c\)|©|:?[ \t]*\pN|,[ \t]*\pN)|\(c\)[ \t]*\pN|©|all rights reserved)")
+    named = f"({begins(r'copyright:?[ \t]+\pL')} and not {begins(r'copyright:?[ \t]+' + _NO_HOLDER)})"
+    listed = f"({begins(r'\(c\)[ \t]*\pL')} and not {begins(r'\(c\)[ \t]*(' + _NO_HOLDER + '|' + _ITEM + ')')})"
+    lines = f"array_to_string(list_filter(string_split(lower({x}), chr(10)), lambda l: not ({signed} or {named} or {listed})), chr(10))"
+    endings = [("licenc", "licens", e) for e in ("e", "es", "ed", "ing")]
+    endings += [(stem + "s", stem + "z", e) for stem in ("organi", "authori", "recogni", "summari", "utili") for e in ("e", "es", "ed", "ing", "ation", "ations")]
+    table = {a + e: b + e for a, b, e in endings} | {"merchantibility": "merchantability", "acknowledgement": "acknowledgment", "fulfil": "fulfill", "favour": "favor", "behaviour": "behavior", "honour": "honor", "judgement": "judgment", "https": "http"}
+    words = f"list_filter(regexp_split_to_array({lines}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    told = f"map([{', '.join(map(quote, table))}], [{', '.join(map(quote, table.values()))}])"
+    out = f"' ' || array_to_string(list_transform({words}, lambda w: coalesce({told}[w], w)), '  ') || ' '"
+    # each word has a space of its own on both sides
+    pairs = [(f" sub  licens{e} ", f" sublicens{e} ") for e in ("e", "es", "ed", "ing")] + [(f" non  {w} ", f" non{w} ") for w in ("infringement", "commercial", "exclusive")] + [(" copyright  holders ", " copyright  holder ")]
+    for old, new in pairs:
+        out = f"replace({out}, {quote(old)}, {quote(new)})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def sql() -> str:
