@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's bucket and batch."""
-    return op4_packing.pack(docs)
+    """Documents with their bucket, batch and place in it."""
+    return op4_packing.pack_documents(docs)
 
 
 STAGES = [("language_id", language), ("quality_classifier", classify), ("simhash_dedup", dedup), ("source_mixing", mix), ("packing", pack)]
