@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,4 +33,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The table, written once and read back: later uses see the same rows, and lost executors cost nothing."""
     at = folder(df.sparkSession, label)
     df.write.parquet(at)
+    note(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+_written: list[str] = []
+
+
+def note(path: str) -> None:
+    """Remember a written table for ``cleared``."""
+    _written.append(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of this block, the tables that were written in it: for work whose own result is written inside it."""
+    first = len(_written)
+    yield
+    for path in _written[first:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[first:]
