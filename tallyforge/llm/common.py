@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from tallyforge.sources.scratch import is_local
+from tallyforge.sources import scratch
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def contents(rows: DataFrame) -> list[Column]:
+    """What tells two rows apart, for a hash: each column and whether it is null (a null leaves a hash as it is); maps and variants as JSON."""
+    told = [F.to_json(F.col(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in rows.dtypes if kind != "void"]
+    return [x for c in told for x in (c, c.isNull())]
+
+
 class Carried:
     """All columns of a table under names of our own, to be given their old names back after a stage has decided.
 
@@ -47,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        if not is_local(spark):
+        if not scratch.is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tallyforge-")
     if not spark.sparkContext.getCheckpointDir():
@@ -60,13 +66,14 @@ def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
 
     A ``small`` one (sums, thresholds) is written as no more files than there are cores; nothing is shuffled for that.
 
-    Files lie under ``<shared>/<application id>/`` and go with that folder when the application's data is cleared.
+    Files lie under ``<shared>/<application id>/`` and go with that folder when the application's data is cleared, or see ``scratch.cleared``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     if small:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    scratch.note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import Carried, checkpoint, connected_components, materialize, pick, small_batches, word_runs
+from tallyforge.llm.common import Carried, checkpoint, connected_components, contents, materialize, pick, small_batches, word_runs
 
 SEED = 42
 #: Nodes of one tree at most. A larger shard is divided over further bits, see ``links``.
@@ -238,11 +238,10 @@ def dedup_documents(docs: DataFrame, radius: int = 2) -> DataFrame:
 
     Rows are decided one by one, not by key: a row with a null key is a document like others, links like others and comes after those
     with a key; a key's rows may lie in several components. Among a component's rows with the smallest key the least hash of
-    the content wins, and of rows that are equal in all columns one stays. Hashes are of 128 bits; map columns aren't hashed.
+    the content wins, and of rows that are equal in all columns one stays. Hashes are of 128 bits.
     """
     carried = Carried(docs)
-    content = [F.col(c) for c, kind in carried.rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
-    content += [c.isNull() for c in content]  # nulls leave a hash as it is
+    content = contents(carried.rows)
     rows = carried.rows.select("*", carried.col("doc_id").cast("long").alias("k"), F.xxhash64(F.lit(1), *content).alias("h1"), F.xxhash64(F.lit(2), *content).alias("h2"))
     with small_batches(docs.sparkSession):
         prints = materialize(rows.select("k", "h1", "h2", _fingerprints(carried.col("text").cast("binary")).alias("fp")), "simhash")

@@ -16,7 +16,7 @@ from tallyforge.llm.common import Carried, materialize, pick, small_batches
 
 LETTER, REST = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
 #: Bytes of each language's dictionary, and documents of each language that it is made from at most (about): the bound of the fit.
-DICTIONARY_BYTES, SAMPLE_ROWS = 192 << 10, 256
+DICTIONARY_BYTES, SAMPLE_ROWS = 96 << 10, 128
 #: A text is encoded in blocks, each against the dictionary alone, so that a long text's own words don't take its place.
 BLOCK = 2048
 #: Relative lead over the second language below which a prediction is rejected.
@@ -113,7 +113,7 @@ def identify(docs: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "
 
     held_out: crc32(key as text) mod ``folds`` is 0 (a null key counts as the empty text). Predictions read the whole text and
     nothing else. Rows with null text or without a letter are ``und`` and not accepted, and so are all rows if no document has a
-    language to learn from. An empty table gives no rows. Dictionaries (languages x 192 KiB) travel with the task.
+    language to learn from. An empty table gives no rows. Dictionaries (languages x 96 KiB) travel with the task.
     """
     model = learn(docs, folds, key, text, lang)
     rows = pick(docs, key, text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import Carried, hashed, materialize, pick, with_copy, word_count
+from tallyforge.llm.common import Carried, contents, hashed, materialize, pick, with_copy, word_count
 from tallyforge.operators.ordinals import dense
 
 #: Bits of a document's hash, and bits that one histogram resolves: 5 levels of 4,096 buckets.
@@ -107,13 +107,12 @@ def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _WEIGHTS, sh
 def mix_documents(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = _WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """The mix itself: each document as often as the rule of ``mix`` takes it, with all its columns.
 
-    Hashes depend on key, a hash of all columns but maps, and number among equal rows. A row without an equal is decided where it is.
+    Hashes depend on key, a hash of all columns, and number among equal rows. A row without an equal is decided where it is.
     Of equal rows as many are taken as their numbers' hashes tell: counted by the task that wrote their sizes, and given from one of them.
     """
     carried = Carried(docs)
     key, source, text = carried.col("doc_id"), carried.col("source"), carried.col("text")
-    kinds = [c for c, kind in carried.rows.dtypes if "map<" not in kind and "variant" not in kind and kind != "void"]
-    told = F.xxhash64(*[c for name in kinds for c in (F.col(name), F.col(name).isNull())])
+    told = F.xxhash64(*contents(carried.rows))
     sizes = _sizes(carried.rows, key, source, text, told, seed)
     rule = materialize(thresholds(sizes, targets(sizes, weights, share, limit)), "mix-rule", small=True)
     several = materialize(sizes.where("copy > 0").select(F.col("alike").alias("a")).distinct(), "mix-several", small=True)

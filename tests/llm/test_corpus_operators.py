@@ -631,9 +631,9 @@ def test_language_against_plain_compression(spark):
     for lang in sounds:
         mine = {t for i, t in enumerate(texts) if langs[i] == lang and zlib.crc32(str(i).encode()) % 5}
         size, some = 0, []
-        for t in sorted(mine, key=lambda t: (max(len(t), 192 << 10), (spark_hash(t, ("int", 6)) - (spark_hash(t, ("int", 6)) >> 63 << 64)) % (1 << 30))):
+        for t in sorted(mine, key=lambda t: (max(len(t), 96 << 10), (spark_hash(t, ("int", 6)) - (spark_hash(t, ("int", 6)) >> 63 << 64)) % (1 << 30))):
             size += len(t) + 1
-            if size <= 192 << 10:
+            if size <= 96 << 10:
                 some.append(fold(t))
         made[lang] = zstandard.ZstdCompressionDict(b" ".join(some), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = {lang: zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for lang, d in made.items()}
@@ -1019,6 +1019,19 @@ def test_stages_take_effect(spark):
     assert all(lengths[i] == len(before[i]["text"].encode().split()) for i in ids[5])
 
 
+def test_run_clears_what_stages_wrote(spark):
+    """Only what the stages return stays, under names of their own."""
+    from pathlib import Path
+
+    at = Path(common.shared_dir(spark).removeprefix("file://")) / spark.sparkContext.applicationId
+    before = set(at.iterdir()) if at.exists() else set()
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.count() and {p.name.split("-")[0] for p in set(at.iterdir()) - before} == {"pipeline"}
+    batches = got.groupBy("bucket", "batch_id").agg(F.count("*").alias("n"), F.max("batch_rows").alias("most"), F.countDistinct("batch_row").alias("places")).collect()
+    assert all(r["n"] == r["places"] <= r["most"] for r in batches)
+    assert got.select("doc_id", "copy").distinct().count() == got.count() and got.where("text is null").count() == 0
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Each stage takes what may come: nulls, no rows, clashing columns."""
     labels(spark, [(3, 1, 0), (4, 0, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
