@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import op4_packing, op5_simhash, op6_langid, op8_mixing, op9_ordinal
 from tallyforge.llm.common import shared_dir
+from tallyforge.sources.scratch import cleared
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What each stage returns is written under the shared folder and read again."""
+    """All stages over ``documents``. What each stage returns is written under the shared folder and read again; its operator's own tables go."""
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
     return docs
