@@ -90,3 +90,8 @@ def remote_map(rows: DataFrame, prompt: str, call: Callable[[str], str], workers
             yield part.assign(**{n: pd.Series([g[i] for g in got], index=part.index, dtype="object") for i, n in enumerate(("user_content", "response", "error"))})
 
     return (rows.repartition(workers) if workers else rows).mapInPandas(run, schema)
+
+
+def outcomes(rows: DataFrame, error: str = "error") -> DataFrame:
+    """One row: total, succeeded, failed."""
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col(error).isNull()).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"))

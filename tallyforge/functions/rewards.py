@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
-from pyspark.sql.window import Window
 
 from tallyforge.functions import boxed, equivalence
 from tallyforge.functions.arrays import ngrams
@@ -40,13 +39,11 @@ def reasoning_steps(completion: Column) -> Column:
     return F.when(completion.isNotNull(), F.least(F.lit(1.0), F.regexp_count(completion, F.lit(STEP)) / F.lit(3.0)))
 
 
-def length(size: Column, correct: Column, group: list[str]) -> Column:
-    """Within a group: 0.5 for the shortest to -0.5 for the longest, not above 0 if wrong; 0 for all if lengths are equal.
+def length(size: Column, correct: Column, low: Column, high: Column) -> Column:
+    """Between the sizes of a batch: 0.5 for the shortest to -0.5 for the longest, not above 0 if wrong; 0 for all if lengths are equal.
 
-    A null verdict (no gold answer to compare) counts as correct.
+    A null verdict (no gold answer to compare) counts as correct. ``scoring.with_bounds`` finds the bounds.
     """
-    w = Window.partitionBy(*group)
-    low, high = F.min(size).over(w), F.max(size).over(w)
     value = F.lit(0.5) - (size - low) / F.nullif((high - low).cast("double"), F.lit(0.0))
     return F.when(high == low, F.lit(0.0)).when(F.coalesce(correct, F.lit(True)), value).otherwise(F.least(F.lit(0.0), value))
 
@@ -107,7 +104,10 @@ def accuracy(completion: Column, solution: Column, last_box: Callable[[Column],
 
 
 def composite(completion: Column, answer: Column) -> Column:
-    """0 without a box in the answer, without exactly one ``---`` or without a box in the completion; else 2 if right, 0.2 if wrong."""
+    """0 without a box in the answer, without exactly one ``---`` or without a box in the completion; else 2 if right, 0.2 if wrong.
+
+    Where one answer counts for a whole batch, ``scoring.with_batch_answer`` finds it.
+    """
 
     def score(v: Column) -> Column:
         usable = v["gold"].isNotNull() & v["mine"].isNotNull() & v["ruled"]
@@ -117,11 +117,6 @@ def composite(completion: Column, answer: Column) -> Column:
     return let(parts, score)
 
 
-def batch_answer(answer: Column, group: list[str], order: str) -> Column:
-    """The first answer of a group, by which all its completions are scored."""
-    return F.first(answer).over(Window.partitionBy(*group).orderBy(order))
-
-
 #: Weights of a combined score.
 WEIGHTS = {"accuracy": 1.0, "reasoning_steps": 0.2, "repetition_penalty": 0.4}
 
@@ -143,7 +138,8 @@ class Fields:
     solution: str = "solution"
     tokens: str = "n_tokens"
     correct: str = "correct"
-    group: tuple[str, ...] = ("group_id",)
+    low: str = "low"
+    high: str = "high"
 
 
 #: Scores by name: (fields, parameters) -> column.
@@ -152,7 +148,7 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "format": lambda f, **p: tagged(F.col(f.completion)),
     "tag_count": lambda f, **p: tag_count(F.col(f.completion)),
     "reasoning_steps": lambda f, **p: reasoning_steps(F.col(f.completion)),
-    "length": lambda f, **p: length(F.length(f.completion), F.col(f.correct), list(f.group)),
+    "length": lambda f, **p: length(F.length(f.completion), F.col(f.correct), F.col(f.low), F.col(f.high)),
     "cosine": lambda f, **p: Cosine(**p)(F.length(f.completion), F.col(f.correct)),
     "repetition_penalty": lambda f, **p: repetition(F.col(f.completion), **p),
     "soft_overlong_punishment": lambda f, **p: overlong(F.col(f.tokens), **p),

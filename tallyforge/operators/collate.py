@@ -15,7 +15,8 @@ def batches(order: Column, size: int) -> Column:
 def collated(df: DataFrame, batch: str, ids: str, source_len: str, pad: int = 0, longest: int = 4096) -> DataFrame:
     """With input_ids, labels and attention_mask padded to the longest row of the batch.
 
-    Only the batch's longest length is gathered, then joined back: token arrays aren't shuffled to find it.
+    Only the batch's longest length is gathered, then joined back: token arrays aren't shuffled to find it, and not for the join either
+    while the lengths, a row a batch, are small enough for Spark to broadcast.
     """
     cut = df.withColumn(ids, truncated(F.col(ids), longest))
     widest = cut.groupBy(F.col(batch).alias("_b")).agg(F.max(F.size(ids)).alias("_to"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyforge.functions import boxed, equivalence
+from tallyforge.functions import equivalence
 from tallyforge.functions.external import verifier
 
 
@@ -48,7 +48,3 @@ def index_preview(rows: DataFrame, verdict: str, order: str, n: int = 20) -> Dat
     """One row: the count and the first n row numbers as an array, by a top-n of the sorted column."""
     few = indices(rows, verdict, order).orderBy(order).limit(n)
     return few.agg(F.array_sort(F.collect_list(order)).alias("first"))
-
-
-def boxes(text: Column) -> Column:
-    return boxed.all_balanced(text)

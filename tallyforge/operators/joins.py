@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.operators.ordinals import dense
 
@@ -12,14 +12,17 @@ def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def answered(responses: DataFrame, requests: DataFrame, answers: DataFrame, order: str = "row_id") -> DataFrame:
+def answered(responses: DataFrame, requests: DataFrame, answers: DataFrame, order: str = "row_id", present: Column | None = None) -> DataFrame:
     """Responses (custom_id, ...) with ``question`` of their request and ``gold`` of that question.
 
     Requests are (custom_id, question, order), answers (question, gold, order); duplicates on these sides: the last wins.
-    Responses with an empty or unknown id or a question without gold are left out; repeated responses stay.
+    Responses with an empty or unknown id or a question without gold are left out, and those for which ``present`` (say, a box in the
+    text) isn't true; repeated responses stay.
     """
+    if present is not None:
+        responses = responses.where(present)
     asked = last_wins(requests, "custom_id", "question", order)
-    known = last_wins(answers, "question", "gold", order)
+    known = last_wins(answers, "question", "gold", order).where("gold is not null")
     return responses.where(F.col("custom_id") != "").join(asked, "custom_id").join(known, "question")
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import floor
 
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.operators.ordinals import shuffled
+from tallyforge.sources import scratch
 
 
 def first_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
@@ -49,20 +51,24 @@ class Part:
 def mixture(parts: list[Part], seed: int = 0, test_size: float | None = None) -> DataFrame:
     """Columns, subsample, concatenation and shuffled ``position``; with ``split`` (train, test) if a test size is given.
 
-    Each part keeps its key as ``_key`` prefixed by its number, which makes the order of the whole. Parts without rows or a list without
-    parts, and parts of different columns, raise ValueError.
+    Each part keeps its key as ``_key`` prefixed by its number, which makes the order of the whole. Keys alone are drawn and ranked; the other
+    columns are moved once, to join them. A list without parts, parts of different columns and repeated keys raise ValueError.
     """
     if not parts:
         raise ValueError("a mixture needs a source")
     if len({frozenset(p.columns or p.rows.columns) for p in parts}) > 1:
         raise ValueError("all sources of a mixture need the same columns")
-    out = None
+    keys, texts = [], []
     for i, p in enumerate(parts):
-        rows = p.rows if p.weight is None else subsample(p.rows, p.key, p.weight, seed)
-        one = rows.select(F.concat(F.lit(f"{i}:"), F.col(p.key).cast("string")).alias("_key"), *(p.columns or p.rows.columns))
-        out = one if out is None else out.unionByName(one)
-    placed = shuffled(out, "_key", seed, "position")
-    if test_size is None:
-        return placed
-    n = out.count()
-    return placed.withColumn("split", F.when(F.col("position") < n - int(n * test_size), "train").otherwise("test"))
+        key = F.concat(F.lit(f"{i}:"), F.col(p.key).cast("string")).alias("_key")
+        own = p.rows.select(p.key)
+        keys.append((own if p.weight is None else subsample(own, p.key, p.weight, seed)).select(key))
+        texts.append(p.rows.select(key, *(p.columns or p.rows.columns)))
+    drawn = scratch.written(reduce(DataFrame.union, keys), "mixture-keys")
+    n, different = drawn.agg(F.count("*"), F.countDistinct("_key")).first()
+    if different < n:
+        raise ValueError("keys of a mixture's sources must differ")
+    placed = shuffled(drawn, "_key", seed, "position")
+    if test_size is not None:
+        placed = placed.withColumn("split", F.when(F.col("position") < n - int(n * test_size), "train").otherwise("test"))
+    return reduce(DataFrame.unionByName, texts).join(placed, "_key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.functions import arrays, boxed, equivalence, external, numbers, rewards, text
-from tallyforge.operators import collate, conversations, evaluation, joins, logs, passrate, prompts, requests, sets, splits
+from tallyforge.operators import collate, conversations, evaluation, joins, logs, passrate, prompts, requests, scoring, sets, splits
 from tallyforge.operators.ordinals import dense, shuffled
 from tallyforge.plans import fixtures as fx, rules
 from tallyforge.plans.fixtures import table
@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _with(*parts: str) -> str:
-    return "with " + ",\n".join(parts) + "\n"
+    return "with recursive " + ",\n".join(parts) + "\n"
 
 
 # Pass rates and difficulty
@@ -96,14 +96,14 @@ def key_union(spark: SparkSession, d: str) -> DataFrame:
     return sets.union(_solved(spark, d, "pred_m"), _solved(spark, d, "pred_b"), "problem_id")
 
 
-@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id in (select problem_id from m)")
+@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id in (select problem_id // 1000 from m)")
 def semi_join_index(spark: SparkSession, d: str) -> DataFrame:
-    return sets.members(fx.problems(spark, d), _solved(spark, d, "pred_m").withColumnRenamed("problem_id", "row_id"), "row_id").select("row_id", "question")
+    return sets.members(fx.problems(spark, d), _solved(spark, d, "pred_m").select(F.floor(F.col("problem_id") / 1000).alias("row_id")), "row_id").select("row_id", "question")
 
 
-@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id not in (select problem_id from m)")
+@query(_with(fx.PASSES, _M, fx.PROBLEMS) + "select row_id, question from fx_prob where row_id not in (select problem_id // 1000 from m)")
 def anti_join_index(spark: SparkSession, d: str) -> DataFrame:
-    return sets.strangers(fx.problems(spark, d), _solved(spark, d, "pred_m").withColumnRenamed("problem_id", "row_id"), "row_id").select("row_id", "question")
+    return sets.strangers(fx.problems(spark, d), _solved(spark, d, "pred_m").select(F.floor(F.col("problem_id") / 1000).alias("row_id")), "row_id").select("row_id", "question")
 
 
 @query(_with(fx.PASSES, _M, _B) + "select (select count(*) from m) as solved_m, (select count(*) from b) as solved_b, (select count(*) from m join b using (problem_id)) as both, (select count(distinct problem_id) from fx_pass) as problems")
@@ -129,9 +129,6 @@ _extract("boxed_first_numeric", boxed.first_numeric, r"nullif(regexp_extract(com
 _extract("boxed_last_simple", boxed.last_simple, r"list_extract(regexp_extract_all(completion, '\\boxed\{([^}]+)\}', 1), -1)")
 _extract("boxed_first_depth2", boxed.first_nested, f"nullif(trim(regexp_extract(completion, {rules.NESTED}, 1)), '')")
 _extract("boxed_all_depth2", lambda c: F.array_join(boxed.all_nested(c), ";"), f"array_to_string(regexp_extract_all(completion, {rules.NESTED}, 1), ';')")
-# no text here nests deeper than once, so the patterns find what the scans find
-_extract("boxed_balanced_last", boxed.last_balanced, rules.last_box("completion"))
-_extract("boxed_balanced_all", lambda c: F.array_join(boxed.all_balanced(c), ";"), f"array_to_string(regexp_extract_all(completion, {rules.NESTED}, 1), ';')")
 _extract("boxed_leftover_mark", lambda c: boxed.without_leftover_mark(F.concat(F.lit("\\boxed{"), boxed.last_simple(c))), r"rtrim(list_extract(regexp_extract_all(completion, '\\boxed\{([^}]+)\}', 1), -1), '}')")
 _extract("extract_numbers_all", lambda c: F.array_join(text.numbers_in(c), ";"), f"array_to_string({rules.numbers('completion')}, ';')")
 _extract("format_reward", rewards.tagged, r"case when regexp_matches(completion, '(?sm)\A<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>$') then 1.0::double else 0.0::double end")
@@ -140,6 +137,22 @@ _extract("tag_count", rewards.tag_count, " + ".join(f"(case when (length(complet
 _extract("reasoning_steps", rewards.reasoning_steps, r"least(1.0::double, len(regexp_extract_all(completion, '(Step \d+:|^\d+\.|\n-|\n\*|First,|Second,|Next,|Finally,)')) / 3.0::double)")
 
 
+_BOXES = fx.scanned("fx_box", "select completion as text from fx_deep")
+#: What follows the last mark, as a text that begins with it.
+_LAST_MARK = r"case when contains(completion, '\boxed{') then '\boxed{' || list_extract(string_split(completion, '\boxed{'), -1) end"
+_LAST = fx.scanned("fx_last", f"select text from (select {_LAST_MARK} as text from fx_deep) where text is not null")
+
+
+@query(_with(fx.DEEP, _BOXES) + "select l_orderkey, l_linenumber, array_to_string(boxes, ';') as found from fx_deep join fx_box on completion = text")
+def boxed_balanced_all(spark: SparkSession, d: str) -> DataFrame:
+    return fx.deep(spark, d).select(*KEY, F.array_join(boxed.all_balanced(F.col("completion")), ";").alias("found"))
+
+
+@query(_with(fx.DEEP, _LAST) + f"select l_orderkey, l_linenumber, list_extract(boxes, 1) as found from fx_deep left join fx_last on {_LAST_MARK} = text")
+def boxed_balanced_last(spark: SparkSession, d: str) -> DataFrame:
+    return fx.deep(spark, d).select(*KEY, boxed.last_balanced(F.col("completion")).alias("found"))
+
+
 @query(r"select doc_id, array_to_string(regexp_extract_all(text, '([-+]?\d*\.\d+|\d+)', 1), ';') as found from documents")
 def document_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(text.numbers_in(F.col("text")), ";").alias("found"))
@@ -218,12 +231,12 @@ def response_join_lastwins(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _with(fx.PROBLEMS)
     + r""", a as (select row_id, row_number() over (order by row_id) - 1 as position from fx_prob where regexp_matches(answer, '####\s*(\d+(?:\.\d+)?)')),
-b as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as position from orders where o_orderkey % 7 <> 0)
+b as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as position from orders)
 select position, row_id, o_orderkey from a join b using (position)"""
 )
 def positional_join(spark: SparkSession, d: str) -> DataFrame:
     a = fx.problems(spark, d).where(text.marked_answer(F.col("answer")).isNotNull()).select("row_id")
-    b = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey")
+    b = table(spark, d, "orders").select("o_orderkey")
     return joins.by_position(a, b, "row_id", "o_orderkey")
 
 
@@ -311,7 +324,8 @@ _LENGTH = "round(case when hi = lo then 0.0::double when correct then 0.5::doubl
 
 @query(_with(fx.LENGTHS) + f"select doc_id, {_LENGTH} as reward from (select *, min(n_chars) over (partition by source) as lo, max(n_chars) over (partition by source) as hi from fx_len)")
 def length_reward(spark: SparkSession, d: str) -> DataFrame:
-    return fx.lengths(spark, d).select("doc_id", F.round(rewards.length(F.col("n_chars"), F.col("correct"), ["source"]), 9).alias("reward"))
+    rows = scoring.with_bounds(fx.lengths(spark, d), F.col("n_chars"), ["source"])
+    return rows.select("doc_id", F.round(rewards.length(F.col("n_chars"), F.col("correct"), F.col("low"), F.col("high")), 9).alias("reward"))
 
 
 @query(_with(fx.LENGTHS) + "select doc_id, round(case when correct then 0.5::double + 0.25::double * (1 + cos(n_chars / 1000.0::double * pi())) else -0.5::double + 0.25::double * (1 + cos(n_chars / 1000.0::double * pi())) end, 9) as reward from fx_len")
@@ -338,38 +352,47 @@ def repetition_penalty_native(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.round(rewards.repetition(F.col("text")), 9) + F.lit(0.0)).alias("reward"))
 
 
-_COMPOSITE_PAIRS = f"(select distinct {rules.last_box('completion')} as a, cast(gold as varchar) as b from fx_comp)"
+# one answer counts for all completions of an order: its first line's
+_BATCH = """fx_batch as (select *, first_value(case when l_orderkey % 13 = 0 then 'no box' else chr(92) || 'boxed{' || solution || '}' end) over (partition by l_orderkey order by l_linenumber, solution) as answer from fx_deep)"""
+_FIRST_GOLD = fx.scanned("fx_gold", "select answer as text from fx_batch")
 
 
 @query(
-    _with(fx.COMPLETIONS, f"v as (select a, b, same from {rules.loose(_COMPOSITE_PAIRS)} z)")
-    + f"select l_orderkey, l_linenumber, case when {rules.last_box('completion')} is null or (length(completion) - length(replace(completion, '---', ''))) / 3 <> 1 then 0.0::double when same then 2.0::double else 0.2::double end as reward from fx_comp left join v on {rules.last_box('completion')} = a and cast(gold as varchar) = b"
+    _with(fx.DEEP, _LAST, _BATCH, _FIRST_GOLD)
+    + f""", j as (select l_orderkey, l_linenumber, completion, list_extract(fx_last.boxes, 1) as a, list_extract(fx_gold.boxes, -1) as b from fx_batch left join fx_last on {_LAST_MARK} = fx_last.text join fx_gold on answer = fx_gold.text),
+v as (select a, b, same from {rules.loose("(select distinct a, b from j)")} z)
+select l_orderkey, l_linenumber, case when j.b is null or j.a is null or (length(completion) - length(replace(completion, '---', ''))) / 3 <> 1 then 0.0::double when same then 2.0::double else 0.2::double end as reward
+from j left join v on j.a = v.a and j.b = v.b"""
 )
 def grpo_reward(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat(F.lit("\\boxed{"), F.col("gold").cast("string"), F.lit("}"))
-    return fx.completions(spark, d).select(*KEY, rewards.composite(F.col("completion"), answer).alias("reward"))
+    answer = F.when(F.col("l_orderkey") % 13 == 0, "no box").otherwise(F.concat(F.lit("\\boxed{"), F.col("solution"), F.lit("}")))
+    rows = scoring.with_batch_answer(fx.deep(spark, d), answer, ["l_orderkey"], F.struct("l_linenumber", "solution"))
+    return rows.select(*KEY, rewards.composite(F.col("completion"), F.col("batch_answer")).alias("reward"))
 
 
-_LENIENT = _with(fx.COMPLETIONS, f"v as (select a, b, same from {rules.lenient(_COMPOSITE_PAIRS)} z)")
+#: Each completion's last box by the balanced scan (a), and whether it equals the gold answer.
+_LENIENT = _with(fx.DEEP, _BOXES, "fx_a as (select fx_deep.*, list_extract(boxes, -1) as a from fx_deep join fx_box on completion = text)", f"v as (select a, b, same from {rules.lenient('(select distinct a, solution as b from fx_a)')} z)")
+_JUDGED = "fx_a left join v on fx_a.a = v.a and solution = v.b"
 _STEPS = r"least(1.0::double, len(regexp_extract_all(completion, '(Step \d+:|^\d+\.|\n-|\n\*|First,|Second,|Next,|Finally,)')) / 3.0::double)"
+_REPEATS = """rep as (select text, case when len(g) > 0 then -(1 - len(list_distinct(g)) / len(g)::double) else 0.0::double end as repeats from (
+  select text, case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) else [] end as g from (
+    select text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from fx_box)))"""
 
 
-@query(_LENIENT + f"select l_orderkey, l_linenumber, round(coalesce(case when same then 1.0::double when not same then 0.0::double end, 0.0::double) + 0.2::double * {_STEPS}, 9) as reward from fx_comp left join v on {rules.last_box('completion')} = a and cast(gold as varchar) = b")
+@query(_LENIENT + f", {_REPEATS} select l_orderkey, l_linenumber, round(coalesce(case when same then 1.0::double when not same then 0.0::double end, 0.0::double) + 0.2::double * {_STEPS} + 0.4::double * repeats, 9) + 0.0::double as reward from {_JUDGED} join rep on completion = text")
 def weighted_reward(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string"))
-    scores = rewards.selected(["accuracy", "reasoning_steps"], parameters={"accuracy": {"last_box": boxed.last_nested}})
-    return c.select(*KEY, F.round(rewards.weighted(scores, {"accuracy": 1.0, "reasoning_steps": 0.2}), 9).alias("reward"))
+    scores = rewards.selected(["accuracy", "reasoning_steps", "repetition_penalty"])
+    return fx.deep(spark, d).select(*KEY, (F.round(rewards.weighted(scores), 9) + F.lit(0.0)).alias("reward"))
 
 
 # Evaluation
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string")).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return evaluation.judged(c, "completion", "solution", boxed.last_nested)
+    return evaluation.judged(fx.deep(spark, d), "completion", "solution")
 
 
-_VERDICT = "j as (select *, l_orderkey * 10 + l_linenumber as row_id, case when a is null then 'skipped' when same then 'right' else 'wrong' end as verdict from fx_comp left join v on " + f"{rules.last_box('completion')} = a and cast(gold as varchar) = b)"
+_VERDICT = f"j as (select *, case when solution = '' or fx_a.a is null then 'skipped' when same then 'right' else 'wrong' end as verdict from {_JUDGED})"
 
 
 @query(_LENIENT + f", {_VERDICT} select count(*) filter (verdict <> 'skipped') as total, count(*) filter (verdict = 'right') as correct, round(100.0::double * count(*) filter (verdict = 'right') / count(*) filter (verdict <> 'skipped'), 9) as accuracy, count(*) filter (verdict = 'skipped') as skipped, 0::bigint as symbolic, count(*) filter (verdict <> 'skipped') as text from j")
@@ -563,10 +586,10 @@ def sampled_generation(spark: SparkSession, d: str) -> DataFrame:
     return external.generate(asked, "text", lambda ps: [[f"{p}#{k}" for k in range(2)] for p in ps], 2).drop("text")
 
 
-@query(_LENIENT + ", j as (select case when a is null then 'skipped' when contains(completion, 'think') then 'right' when same then 'right' else 'wrong' end as verdict, case when a is null then null when contains(completion, 'think') then 'symbolic' else 'text' end as method from fx_comp left join v on " + f"{rules.last_box('completion')} = a and cast(gold as varchar) = b) select verdict, method, count(*) as n from j group by 1, 2")
+@query(_LENIENT + f", j as (select case when solution = '' then 'skipped' when contains(completion, 'think') then 'right' when fx_a.a is null then 'skipped' when same then 'right' else 'wrong' end as verdict, case when solution = '' then null when contains(completion, 'think') then 'symbolic' when fx_a.a is not null then 'text' end as method from {_JUDGED}) select verdict, method, count(*) as n from j group by 1, 2")
 def symbolic_cascade(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.completions(spark, d).withColumn("solution", F.col("gold").cast("string"))
-    return evaluation.judged(c, "completion", "solution", boxed.last_nested, lambda a, b: True if "think" in a else None).groupBy("verdict", "method").agg(F.count("*").alias("n"))
+    found = evaluation.judged(fx.deep(spark, d), "completion", "solution", check=lambda a, b: True if "think" in a else None)
+    return found.groupBy("verdict", "method").agg(F.count("*").alias("n"))
 
 
 _TURNS = "select conv_id, turn, role, text from conversations"
@@ -607,3 +630,71 @@ def filtered_by_source(spark: SparkSession, d: str) -> DataFrame:
     at = scratch.folder(spark, "by-source")
     writers.by_source(kept.withColumn("source_file", F.concat(F.lit("in/"), F.col("source"), F.lit(".jsonl"))).drop("source"), at)
     return spark.read.schema("doc_id long, n_chars long, output string").json(at).groupBy("output").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("select conv_id, turn, role, text from conversations where (conv_id + turn) % 7 <> 0")
+def jsonl_skip_bad(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), scratch.folder(spark, "bad-lines")
+    line = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, '{"conv_id": 1, "te').otherwise(F.to_json(F.struct(*rows.columns)))
+    writers.log_lines(rows, line, at, append=False)
+    return readers.json_lines(spark, at, rows.schema, bad="skip")
+
+
+@query("select n_nationkey, n_name from nation")
+def json_array_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "nation").select("n_nationkey", "n_name"), scratch.folder(spark, "array")
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.text(at)
+    return readers.json_array(spark, at, rows.schema)
+
+
+@query("select n_nationkey, n_name, case when n_regionkey < 2 then 'a' else 'b' end as part from nation")
+def multi_path_union(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "nation"), scratch.folder(spark, "paths")
+    for part, some in (("a", rows.where("n_regionkey < 2")), ("b", rows.where("n_regionkey >= 2"))):
+        writers.json_lines(some.select("n_nationkey", "n_name"), f"{at}/{part}")
+    found = readers.union_scan(spark, f"{at}/a, {at}/missing, , {at}/b/*.json", rows.select("n_nationkey", "n_name").schema)
+    return found.select("n_nationkey", "n_name", F.regexp_extract("source_file", "/(a|b)/[^/]*$", 1).alias("part"))
+
+
+@query("select r_regionkey::bigint as r_regionkey, r_name || chr(10) || chr(10) || 'end' as value from region")
+def whole_text_files(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "whole")
+    told = F.concat(F.lit(" \n"), "r_name", F.lit("\n\nend  "))
+    table(spark, d, "region").select(F.col("r_regionkey").alias("key"), told.alias("value")).write.partitionBy("key").text(at)
+    return readers.whole_text(spark, f"{at}/*/").select(F.regexp_extract("file", r"key=(\d+)", 1).cast("long").alias("r_regionkey"), "value")
+
+
+@query("select 'request-' || p_partkey as custom_id, p_size::bigint as total_tokens, 'solver' as model, 'assistant' as role, p_name as content from part where p_partkey % 5 <> 0")
+def flatten_response(spark: SparkSession, d: str) -> DataFrame:
+    message = F.struct(F.lit("assistant").alias("role"), F.col("p_name").alias("content"))
+    choices = F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<struct<message:struct<role:string,content:string>>>")).otherwise(F.array(F.struct(message.alias("message"))))
+    body = F.struct(F.struct(F.col("p_size").cast("long").alias("total_tokens")).alias("usage"), F.lit("solver").alias("model"), choices.alias("choices"))
+    rows = table(spark, d, "part").select(F.concat(F.lit("request-"), F.col("p_partkey").cast("string")).alias("custom_id"), F.struct(body.alias("body")).alias("response"))
+    return requests.flatten(rows).select("custom_id", "usage.total_tokens", "model", "message.role", "message.content")
+
+
+@query(_with(_PAIRS) + f"select case when tok > 128 then 'long' when not ({_PAIR}) or blank then 'malformed' when tok is null and est > 128 then 'long' else 'kept' end as reason, count(*) as n from (select *, case when conv_id % 3 = 0 then conv_id * 10 % 300 end as tok from s) t group by 1")
+def skip_reason_tokens(spark: SparkSession, d: str) -> DataFrame:
+    samples = conversations.gathered(table(spark, d, "conversations")).withColumn("num_tokens", F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") * 10 % 300))
+    return conversations.reason_counts(samples, conversations.skip_reason(F.col("messages"), tokens=F.col("num_tokens"), longest=128))
+
+
+@query("select count(*) as total, count(*) filter (role = 'user' and length(text) % 5 <> 0) as succeeded, count(*) filter (role <> 'user' or length(text) % 5 = 0) as failed from conversations")
+def remote_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return external.outcomes(remote_map(spark, d))
+
+
+@query("select cast(row_number() over (order by p_partkey) - 1 as bigint) as position, p_partkey from part")
+def index_ordered(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "ordered")
+    writers.json_lines(table(spark, d, "part").select("p_partkey").repartition(4), at, order="p_partkey")
+    return readers.text_lines(spark, at).select(F.col("row_id").alias("position"), F.get_json_object("value", "$.p_partkey").cast("long").alias("p_partkey"))
+
+
+@query(_with(fx.COMPLETIONS, fx.PROBLEMS) + r"select l_orderkey, l_linenumber, question, nullif(regexp_extract(answer, '####\s*(\d+(?:\.\d+)?)', 1), '') as gold from fx_comp join fx_prob on problem_id = row_id where regexp_matches(completion, '\\boxed\{(-?\d+(?:\.\d+)?)\}') and regexp_matches(answer, '####\s*(\d+(?:\.\d+)?)')")
+def answered_with_box(spark: SparkSession, d: str) -> DataFrame:
+    ids = lambda c: F.concat(F.lit("request-"), F.col(c).cast("string")).alias("custom_id")
+    p = fx.problems(spark, d)
+    gold = p.select("question", text.marked_answer(F.col("answer")).alias("gold"), "row_id")
+    found = joins.answered(fx.completions(spark, d).select(*KEY, ids("problem_id"), "completion"), p.select(ids("row_id"), "question", "row_id"), gold, present=boxed.first_numeric(F.col("completion")).isNotNull())
+    return found.select(*KEY, "question", "gold")

@@ -19,21 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """problem_id, k, gold, pred_m, pred_b: ten samples a problem of two models."""
+    """problem_id, k, gold, pred_m, pred_b: ten samples a problem of two models. Each ten successive rows of a part are a problem, part x 1000 + n."""
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    t = table(spark, sf_dir, "lineitem").select("*", (F.col("l_partkey") % 50 + 1).alias("g"), F.row_number().over(w).alias("k")).where("k <= 10")
+    t = table(spark, sf_dir, "lineitem").select("*", (F.col("l_partkey") % 50 + 1).alias("g"), (F.row_number().over(w) - 1).alias("r")).withColumn("k", F.col("r") % 10 + 1)
     gold = F.col("g").cast("string")
     m = F.when((F.col("l_partkey") % 3 != 0) | (F.col("l_orderkey") % 2 == 0), gold).when(F.col("k") % 4 != 0, (F.col("g") + 1).cast("string"))
     b = F.when((F.col("l_partkey") % 2 == 0) | (F.col("l_linenumber") % 2 == 0), gold).otherwise((F.col("g") + 2).cast("string"))
-    return t.select(F.col("l_partkey").alias("problem_id"), "k", gold.alias("gold"), m.alias("pred_m"), b.alias("pred_b"))
+    return t.select((F.col("l_partkey") * 1000 + F.floor(F.col("r") / 10)).alias("problem_id"), "k", gold.alias("gold"), m.alias("pred_m"), b.alias("pred_b"))
 
 
 PASSES = """fx_pass as (
-  select l_partkey as problem_id, k, cast(g as varchar) as gold,
+  select l_partkey * 1000 + r // 10 as problem_id, k, cast(g as varchar) as gold,
     case when l_partkey % 3 <> 0 or l_orderkey % 2 = 0 then cast(g as varchar) when k % 4 = 0 then null else cast(g + 1 as varchar) end as pred_m,
     case when l_partkey % 2 = 0 or l_linenumber % 2 = 0 then cast(g as varchar) else cast(g + 2 as varchar) end as pred_b
-  from (select *, l_partkey % 50 + 1 as g, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as k from lineitem) t
-  where k <= 10)"""
+  from (select *, r % 10 + 1 as k from (select *, l_partkey % 50 + 1 as g, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 as r from lineitem) s) t)"""
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +82,27 @@ COMPLETIONS = """fx_comp as (
         from lineitem join part on l_partkey = p_partkey) t)"""
 
 
+#: Completions that nest three deep, hold a box in a box, or never close one, and gold answers by line number; @ stands for a number.
+DEEP_TEXTS = [
+    "So \\boxed{\\frac{\\sqrt{@}}{2}}", "Say --- \\boxed{a \\boxed{@}", "First, ---\n- \\boxed{\\boxed{@}}", "\\boxed{1}, then --- \\boxed{{@}} and {", "\\boxed{@} --- and \\boxed{2",
+    "{{\\boxed{\\text{{@}}}}} --- or \\boxed{@.0}", "<think>\nStep 1: Step 2: try.\n- look\n</think> 1 2 1 2 1 2 --- \\boxed{@}", "none of it --- none of it",
+]
+DEEP_GOLD = ["@", "\\boxed{@}", "\\frac{\\sqrt{@}}{2}", "", "\\text{{@}}", "@.0", "@"]
+
+
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, row_id, completion, solution: completions of eight shapes against gold answers of several."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    t = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    pred = F.col("p_size") + F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0, 1).otherwise(0)
+    shaped = lambda texts, at, n: F.replace(F.element_at(F.array(*map(F.lit, texts)), at.cast("int")), F.lit("@"), n.cast("string"))
+    # l_orderkey and l_linenumber meet in all combinations
+    return t.select(
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        shaped(DEEP_TEXTS, (F.col("l_orderkey") + F.col("l_partkey")) % 8 + 1, pred).alias("completion"), shaped(DEEP_GOLD, F.col("l_linenumber"), F.col("p_size")).alias("solution"),
+    )
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b: pairs with known verdicts, and last boxes against gold answers."""
     from tallyforge.functions.boxed import last_nested
@@ -95,6 +115,26 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+DEEP = f"""fx_deep as (
+  select l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber as row_id,
+    replace(list_extract([{", ".join(map(_quoted, DEEP_TEXTS))}], (l_orderkey + l_partkey) % 8 + 1), '@', cast(p_size + case when (l_orderkey + l_linenumber) % 3 = 0 then 1 else 0 end as varchar)) as completion,
+    replace(list_extract([{", ".join(map(_quoted, DEEP_GOLD))}], l_linenumber), '@', cast(p_size as varchar)) as solution
+  from lineitem join part on l_partkey = p_partkey)"""
+
+
+def scanned(name: str, texts: str) -> str:
+    """(text, boxes) of a query's distinct column ``text``: all contents of boxes with balanced braces, one character at a time."""
+    return f"""{name}_walk(text, i, depth, start, boxes) as (
+  select distinct text, 1::bigint, 0, 0::bigint, []::varchar[] from ({texts}) t
+  union all
+  select text, i + case when depth = 0 and substr(text, i, 7) = '\\boxed{{' then 7 else 1 end,
+    case when depth = 0 then case when substr(text, i, 7) = '\\boxed{{' then 1 else 0 end when substr(text, i, 1) = '{{' then depth + 1 when substr(text, i, 1) = '}}' then depth - 1 else depth end,
+    case when depth = 0 and substr(text, i, 7) = '\\boxed{{' then i + 7 else start end,
+    case when depth = 1 and substr(text, i, 1) = '}}' then list_append(boxes, substr(text, start, i - start)) else boxes end
+  from {name}_walk where i <= length(text)),
+{name} as (select text, boxes from {name}_walk where i > length(text))"""
+
+
 PAIRS_SQL = f"""fx_eq as (
   select * from (values {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in PAIRS)}) v(a, b)
   union all select list_extract(regexp_extract_all(completion, '\\\\boxed\\{{([^{{}}]+(?:\\{{[^{{}}]*\\}}[^{{}}]*)*)\\}}', 1), -1), cast(gold as varchar) from fx_comp)"""

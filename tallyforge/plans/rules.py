@@ -97,8 +97,3 @@ def by_numbers(source: str) -> str:
     inner = plain(source)
     steps = [("p", numbers("a")), ("q", numbers("b")), ("far", "len(list_filter(list_zip(p, q), lambda z: abs(z[1]::double - z[2]::double) > 1e-6))")]
     return prepared(f"(select a, b, same as same1 from {inner} w)", [*steps, ("same", f"same1 or coalesce(len(p) = len(q) and far = 0, false) or coalesce({bare('a')} = {bare('b')}, false)")])
-
-
-def any_of(source: str) -> str:
-    """As ``by_numbers`` with ``a`` out of several answers of one ``id``: whether any is equal."""
-    return by_numbers(source)

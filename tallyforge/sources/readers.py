@@ -73,28 +73,60 @@ def parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths(path))
 
 
-def arrow_file(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file or stream on the driver's disk."""
+#: How files of Arrow's file format and of Parquet begin. Arrow streams have no mark of their own.
+ARROW_MAGIC, PARQUET_MAGIC = b"ARROW1", b"PAR1"
+
+
+def _opened(content: bytes):
     import pyarrow as pa
 
-    try:
-        with pa.ipc.open_file(path) as f:
-            table = f.read_all()
-    except pa.ArrowInvalid:
-        with pa.ipc.open_stream(path) as f:
-            table = f.read_all()
-    return spark.createDataFrame(table)
+    return pa.ipc.open_file(content) if content.startswith(ARROW_MAGIC) else pa.ipc.open_stream(content)
 
 
-def columnar(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or an Arrow file if it isn't Parquet."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
+def _arrow_schema(start: bytes) -> T.StructType:
+    """The schema, which stands at the beginning: of a stream at once, of a file after eight bytes."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(start[8:] if start.startswith(ARROW_MAGIC) else start)))
+
+
+def arrow_files(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC files or streams: one, those of a glob, or all ``*.arrow`` of a folder. Each is read whole by one task (2 GB at most)."""
+    reader = spark.read.format("binaryFile")
+    files = (reader if path.endswith(".arrow") or not existing(spark, [f"{path}/*.arrow"]) else reader.option("pathGlobFilter", "*.arrow")).load(path)
+    start = files.select(F.substring("content", 1, 1 << 20).alias("start")).first()
+    if start is None:
+        raise FileNotFoundError(f"no Arrow file at {path}")
 
-    try:
-        return spark.read.parquet(path)
-    except (PySparkException, Py4JJavaError):
-        return arrow_file(spark, path)
+    def batches(parts):
+        for part in parts:
+            for content in part.column(0):
+                reader = _opened(content.as_py())
+                yield from (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else reader
+
+    return files.select("content").mapInArrow(batches, _arrow_schema(bytes(start["start"])))
+
+
+def first_bytes(spark: SparkSession, path: str, n: int = 6) -> bytes:
+    """The first bytes of the file, or of the first one with data in the folder or glob."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(at) or []:
+        inside = system.listStatus(found.getPath()) if found.isDirectory() else [found]
+        for f in sorted(inside, key=lambda f: f.getPath().getName()):
+            if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._":
+                stream = system.open(f.getPath())
+                try:
+                    return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
+                finally:
+                    stream.close()
+    raise FileNotFoundError(f"no file with data at {path}")
+
+
+def columnar(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet or Arrow, told by how the first file begins; what isn't Parquet is read as Arrow, and fails if it isn't."""
+    return spark.read.parquet(path) if existing(spark, [f"{path}/*=*"]) or first_bytes(spark, path).startswith(PARQUET_MAGIC) else arrow_files(spark, path)
 
 
 def load(spark: SparkSession, path: str | list[str], schema: Schema | None = None, kind: str | None = None, bad: str = "fail") -> DataFrame:
@@ -110,7 +142,7 @@ def load(spark: SparkSession, path: str | list[str], schema: Schema | None = Non
     if kind == "txt":
         return text_lines(spark, path)
     if kind == "arrow":
-        return arrow_file(spark, first)
+        return arrow_files(spark, first)
     if kind == "parquet":
         return columnar(spark, first)
     raise ValueError(f"no reader for {kind!r}")
@@ -130,16 +162,15 @@ def union_scan(spark: SparkSession, listed: str | Iterable[str], schema: Schema,
 def with_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """A file scan with ``file`` and row numbers from 0, in order of path and place in the file.
 
-    Rows are counted by file split, the counts (a row a split) are summed up and written, and each row adds its place in its
-    split. The counts are read back with a known size, so Spark broadcasts them only where that is small.
+    Rows are written once with their file, split and a number that ascends within a task. Counts by split (a row a split), of these same
+    rows, are summed up and written, and each row adds its place in its split. The counts are read back with a known size, so
+    Spark broadcasts them only where that is small.
     """
     place = ["file", "_start"]
-    rows = scan.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    rows = scratch.written(scan.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")), "rows")
     split = rows.groupBy(*place).agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
     before = F.sum("_n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    at = scratch.folder(scan.sparkSession, "row-ids")
-    split.withColumn("_before", before).write.parquet(at)
-    return rows.join(scan.sparkSession.read.parquet(at), place).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low")).drop("_start", "_id", "_n", "_low", "_before")
+    return rows.join(scratch.written(split.withColumn("_before", before), "row-ids"), place).withColumn(name, F.col("_before") + F.col("_id") - F.col("_low")).drop("_start", "_id", "_n", "_low", "_before")
 
 
 #: Data sets by name: path, schema and kind, for queries that name their input.

@@ -14,8 +14,9 @@ def csv(df: DataFrame, path: str, append: bool = False) -> None:
     flat.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
-    """One object a line, raw Unicode, nulls written."""
+def json_lines(df: DataFrame, path: str, append: bool = False, order: str | None = None) -> None:
+    """One object a line, raw Unicode, nulls written. With ``order``, lines ascend by that column over all files in order of name."""
+    df = df if order is None else df.orderBy(order)
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 

@@ -56,32 +56,30 @@ def with_fractions(a, b):
         return False
 
 
+def partners(s):
+    """Where each opening brace closes, from a stack over all marks and braces; a mark's brace is told by its place before the brace."""
+    open_, closes = [], {}
+    for m in re.finditer(r"[{}]", s):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            closes[open_.pop()] = m.start()
+    return closes
+
+
 def balanced(s):
-    """Contents of boxes by counting braces character by character."""
-    found, i = [], 0
-    while (i := s.find("\\boxed{", i)) >= 0:
-        start = i + 7
-        depth, j = 1, start
-        while j < len(s) and depth:
-            depth += {"{": 1, "}": -1}.get(s[j], 0)
-            j += 1
-        if depth:
-            return found
-        found.append(s[start : j - 1])
-        i = j
-    return found
+    """Contents of boxes that lie in no other; none from a box on that isn't closed. Braces before a mark don't count."""
+    head, mark, tail = s.partition("\\boxed")
+    while mark and not tail.startswith("{"):
+        more, mark, tail = tail.partition("\\boxed")
+    end = partners(tail).get(0) if mark else None
+    return [] if end is None else [tail[1:end], *balanced(tail[end + 1 :])]
 
 
 def last_balanced(s):
-    i = s.rfind("\\boxed{")
-    if i < 0:
-        return None
-    depth = 1
-    for j in range(i + 7, len(s)):
-        depth += {"{": 1, "}": -1}.get(s[j], 0)
-        if not depth:
-            return s[i + 7 : j]
-    return None
+    *before, tail = s.split("\\boxed{")
+    end = partners("{" + tail).get(0)
+    return tail[: end - 1] if before and end is not None else None
 
 
 def lenient(a, b):

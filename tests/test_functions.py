@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import arrays, boxed, equivalence, external, numbers, rewards, text
+from tallyforge.operators import scoring
 
 RULES = {
     "plain": equivalence.plain,
@@ -111,9 +112,10 @@ def test_shape_scores(spark):
 
 
 def test_length_score(spark):
-    rows = spark.createDataFrame([(1, 10, True), (1, 20, False), (1, 30, None), (2, 5, True), (2, 5, False)], "g int, n int, ok boolean")
-    got = [r["x"] for r in rows.select("g", "n", "ok", rewards.length(F.col("n"), F.col("ok"), ["g"]).alias("x")).orderBy("g", "n", F.desc("ok")).collect()]
-    assert got == [0.5, 0.0, -0.5, 0.0, 0.0]
+    rows = spark.createDataFrame([(1, 10, True), (1, 20, False), (1, 30, None), (2, 5, True), (2, 5, False), (None, 1, True), (None, 3, True)], "g int, n int, ok boolean")
+    rows = scoring.with_bounds(rows, F.col("n"), ["g"])
+    got = [r["x"] for r in rows.select("g", "n", "ok", rewards.length(F.col("n"), F.col("ok"), F.col("low"), F.col("high")).alias("x")).orderBy("g", "n", F.desc("ok")).collect()]
+    assert got == [0.5, -0.5, 0.5, 0.0, -0.5, 0.0, 0.0]
 
 
 def test_cosine_score(spark):
@@ -150,9 +152,9 @@ def test_registry(spark):
 
 
 def test_batch_answer(spark):
-    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "g int, k int, a string")
-    got = rows.select("g", "k", rewards.batch_answer(F.col("a"), ["g"], "k").alias("x")).orderBy("g", "k").collect()
-    assert [r["x"] for r in got] == ["a", "a", "c"]
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d"), (None, 2, "e")], "g int, k int, a string")
+    got = scoring.with_batch_answer(rows, F.col("a"), ["g"], "k", "x").orderBy("g", "k").collect()
+    assert [r["x"] for r in got] == ["d", "d", "a", "a", "c"]
 
 
 def test_arrays(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import boxed
 from tallyforge.operators import conversations, evaluation, jobs, joins, logs, ordinals, passrate, prompts, requests, sets, splits
+from tallyforge.operators.ordinals import dense
 
 
 def test_null_answers_hit_each_other(spark):
@@ -120,6 +121,21 @@ def test_mixture(spark):
         splits.mixture([])
     with pytest.raises(ValueError):
         splits.mixture([splits.Part(a, "id", ("v",)), splits.Part(b, "id", ("id",))])
+    with pytest.raises(ValueError, match="differ"):
+        splits.mixture([splits.Part(a.union(a), "id", ("v",), None)])
+
+
+@pytest.mark.parametrize("kind", ["sparse", "equal", "text", "nulls"])
+def test_dense_numbers(spark, kind):
+    """Gaps, ties, texts and nulls; a value or a range that holds all rows isn't one task's."""
+    values = {"sparse": [i * 10**12 for i in range(500)], "equal": [7] * 500, "text": [f"{i:05}" for i in range(500)], "nulls": [None] * 400 + list(range(100))}[kind]
+    rows = spark.createDataFrame([(v,) for v in values], f"k {'string' if kind == 'text' else 'long'}").orderBy(F.rand(3)).repartition(5)
+    numbered = dense(rows, "k", "n")
+    got = numbered.orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(500))
+    assert [r["k"] for r in got] == sorted(values, key=lambda v: (v is not None, v or 0)) if kind != "text" else sorted(values)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(k" not in plan  # rows were written once; what is left is sums of a row a partition
 
 
 def test_evaluation_cascade(spark):

@@ -27,7 +27,8 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(role,user)" in plan(catalogue.QUERIES["chatml_prompt"](spark, AT))
 
 
-PYTHON = {"boxed_balanced_all", "repetition_penalty", "tokenizer_counts", "remote_map", "sampled_generation", "symbolic_cascade"}
+PYTHON = {"boxed_balanced_all", "repetition_penalty", "tokenizer_counts", "remote_map", "remote_outcomes", "sampled_generation", "symbolic_cascade"}
+PYTHON |= {"accuracy_eval", "error_indices", "skipped_indices_preview", "weighted_reward"}  # boxes by the balanced scan
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - PYTHON))

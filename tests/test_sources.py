@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.sources import readers, writers
+from tallyforge.sources import readers, scratch, writers
 from tallyforge.streaming.ingest import follow
 
 SCHEMA = "a int, b string"
@@ -63,10 +63,45 @@ def test_arrow_and_parquet(spark, tmp_path):
     with pa.OSFile(str(tmp_path / "x.arrow"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
         w.write_table(table)
     assert readers.load(spark, str(tmp_path / "x.arrow")).count() == readers.columnar(spark, str(tmp_path / "x.arrow")).count() == 2
+    (tmp_path / "d").mkdir()
+    for name, opened in (("b.arrow", pa.ipc.new_stream), ("a.arrow", pa.ipc.new_file)):
+        with pa.OSFile(str(tmp_path / "d" / name), "wb") as f, opened(f, table.schema) as w:
+            w.write_table(table)
+            w.write_table(table)
+    (tmp_path / "d" / "state.json").write_text("{}")
+    for read in (readers.columnar, readers.arrow_files):
+        assert sorted(r["a"] for r in read(spark, str(tmp_path / "d")).collect()) == [1, 1, 1, 1, 2, 2, 2, 2]
+    with pytest.raises(FileNotFoundError):
+        readers.columnar(spark, str(tmp_path / "nothing"))
+    (tmp_path / "bad.parquet").write_bytes(b"neither of them")
+    with pytest.raises(Exception, match="(?i)arrow|invalid|metadata"):
+        readers.columnar(spark, str(tmp_path / "bad.parquet")).collect()
     spark.range(3).write.parquet(str(tmp_path / "p"))
     assert readers.columnar(spark, str(tmp_path / "p")).count() == 3
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.folder(Session, "x")
+
+
+def test_cleared(spark):
+    from pathlib import Path
+
+    with scratch.cleared(spark):
+        assert scratch.written(spark.range(3), "x").count() == 3
+        path = Path(scratch._written[-1].removeprefix("file://"))
+        assert path.exists()
+    assert not path.exists()
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, "é", None), (2, "b", "c")], "n long, s string, t string")
     writers.json_lines(rows, str(tmp_path / "j"))
