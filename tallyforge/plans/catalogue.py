@@ -354,12 +354,13 @@ def repetition_penalty_native(spark: SparkSession, d: str) -> DataFrame:
 
 # one answer counts for all completions of an order: its first line's
 _BATCH = """fx_batch as (select *, first_value(case when l_orderkey % 13 = 0 then 'no box' else chr(92) || 'boxed{' || solution || '}' end) over (partition by l_orderkey order by l_linenumber, solution) as answer from fx_deep)"""
-_FIRST_GOLD = fx.scanned("fx_gold", "select answer as text from fx_batch")
+_ANSWER_MARK = _LAST_MARK.replace("completion", "answer")
+_FIRST_GOLD = fx.scanned("fx_gold", f"select text from (select {_ANSWER_MARK} as text from fx_batch) where text is not null")
 
 
 @query(
     _with(fx.DEEP, _LAST, _BATCH, _FIRST_GOLD)
-    + f""", j as (select l_orderkey, l_linenumber, completion, list_extract(fx_last.boxes, 1) as a, list_extract(fx_gold.boxes, -1) as b from fx_batch left join fx_last on {_LAST_MARK} = fx_last.text join fx_gold on answer = fx_gold.text),
+    + f""", j as (select l_orderkey, l_linenumber, completion, list_extract(fx_last.boxes, 1) as a, list_extract(fx_gold.boxes, 1) as b from fx_batch left join fx_last on {_LAST_MARK} = fx_last.text left join fx_gold on {_ANSWER_MARK} = fx_gold.text),
 v as (select a, b, same from {rules.loose("(select distinct a, b from j)")} z)
 select l_orderkey, l_linenumber, case when j.b is null or j.a is null or (length(completion) - length(replace(completion, '---', ''))) / 3 <> 1 then 0.0::double when same then 2.0::double else 0.2::double end as reward
 from j left join v on j.a = v.a and j.b = v.b"""
