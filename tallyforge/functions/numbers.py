@@ -10,7 +10,7 @@ from tallyforge.functions.text import extracted, strip
 
 #: What counts as a number. Casts accept more (1d, 0x1p3) or less, so the form is tested first.
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-INFINITE, NOT_A_NUMBER = r"(?i)^\s*[+-]?inf(inity)?\s*$", r"(?i)^\s*[+-]?nan\s*$"
+NAMED, NOT_A_NUMBER = r"(?i)^\s*[+-]?(inf(inity)?|nan)\s*$", r"(?i)^\s*[+-]?nan\s*$"
 #: Numbers this near count as equal.
 TOLERANCE = 1e-6
 
@@ -23,8 +23,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def to_number(c: Column) -> Column:
     """A double, or null for text that isn't a number. Underscores and non-ASCII digits aren't."""
-    infinite = F.when(c.contains("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double")).when(c.rlike(INFINITE), infinite).when(c.rlike(NOT_A_NUMBER), F.lit(float("nan")))
+    named = F.when(c.rlike(NOT_A_NUMBER), F.lit(float("nan"))).when(c.contains("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double")).when(c.rlike(NAMED), named)
 
 
 def rounded_number(c: Column) -> Column:
@@ -34,8 +34,16 @@ def rounded_number(c: Column) -> Column:
 
 def loose_number(c: Column) -> Column:
     """A double after white space and thousands commas have gone; a percentage counts as its hundredth part."""
-    percent = lambda s: F.when(s.endswith("%"), to_number(F.regexp_replace(s, "%$", "")) / 100.0).otherwise(to_number(s))
-    return let(F.replace(strip(c), F.lit(","), F.lit("")), percent)
+    return let(without_commas(c), percent_number)
+
+
+def without_commas(c: Column) -> Column:
+    return F.replace(strip(c), F.lit(","), F.lit(""))
+
+
+def percent_number(c: Column) -> Column:
+    """``to_number``, or the hundredth part of what is before a percent sign."""
+    return F.when(c.endswith("%"), to_number(F.regexp_replace(c, "%$", "")) / 100.0).otherwise(to_number(c))
 
 
 def near(a: Column, b: Column) -> Column:
@@ -45,7 +53,7 @@ def near(a: Column, b: Column) -> Column:
 
 def plain_fraction(c: Column) -> Column:
     r"""``\dfrac`` written as ``\frac``."""
-    return F.regexp_replace(c, r"(?d)\\dfrac\{(.*?)\}\{(.*?)\}", r"\\frac{$1}{$2}")
+    return F.when(c.contains("\\dfrac"), F.regexp_replace(c, r"(?d)\\dfrac\{(.*?)\}\{(.*?)\}", r"\\frac{$1}{$2}")).otherwise(c)
 
 
 #: A fraction of integers at the start; what follows is ignored.
@@ -53,16 +61,25 @@ INTEGER_FRACTION = r"^\\frac\{(\d+)\}\{(\d+)\}"
 ANY_FRACTION = r"(?d)^\\frac\{(.*)\}\{(.*)\}"
 
 
+def _part(c: Column, pattern: str, group: int) -> Column:
+    """A group of a leading fraction. Few answers are fractions, so a look at the beginning saves the pattern."""
+    return F.when(c.startswith("\\frac{"), extracted(c, pattern, group))
+
+
 def integer_fraction(c: Column) -> tuple[Column, Column]:
     """(value, whether the denominator is zero) of a leading fraction of integers; the value is null if there is none."""
-    top, under = (extracted(c, INTEGER_FRACTION, g).try_cast("double") for g in (1, 2))
+    top, under = (_part(c, INTEGER_FRACTION, g).try_cast("double") for g in (1, 2))
     return F.try_divide(top, under), F.coalesce(under == 0, F.lit(False))
 
 
 def any_fraction(c: Column) -> Column:
     """The value of a leading fraction whose parts are loose numbers, null otherwise and for a zero denominator."""
-    top, under = (loose_number(extracted(c, ANY_FRACTION, g)) for g in (1, 2))
-    return F.try_divide(top, under)
+    return F.try_divide(*(loose_number(part) for part in fraction_parts(c)))
+
+
+def fraction_parts(c: Column) -> tuple[Column, Column]:
+    """What stands over and under the line of a leading fraction, as text."""
+    return _part(c, ANY_FRACTION, 1), _part(c, ANY_FRACTION, 2)
 
 
 def token_estimate(*texts: Column) -> Column:

@@ -25,10 +25,11 @@ def judged(rows: DataFrame, output: str, gold: str, last_box: Callable[[Column],
         rows = rows.withColumn("_whole", run(F.when(has_gold, F.col(output)), F.col(gold)))
         rows = rows.withColumn("_boxed", run(F.when(has_gold & F.col("_whole").isNull(), F.col("_box")), F.col(gold)))
         symbolic = F.coalesce("_whole", "_boxed")
-    text = F.when(F.col("_box").isNotNull(), equivalence.lenient(F.col("_box"), F.col(gold), last_box))
+    rows = equivalence.with_lenient(rows, F.col("_box"), F.col(gold), "_same", last_box)
+    text = F.when(F.col("_box").isNotNull(), F.col("_same"))
     right = F.when(has_gold, F.coalesce(symbolic, text))
     out = rows.withColumn("verdict", F.when(right.isNull(), "skipped").when(right, "right").otherwise("wrong")).withColumn("method", F.when(right.isNull(), F.lit(None)).when(symbolic.isNotNull(), "symbolic").otherwise("text"))
-    return out.drop("_box", "_whole", "_boxed")
+    return out.drop("_box", "_same", "_whole", "_boxed")
 
 
 def summary(rows: DataFrame) -> DataFrame:

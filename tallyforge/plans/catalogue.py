@@ -173,7 +173,7 @@ def gt_digits(spark: SparkSession, d: str) -> DataFrame:
 
 def _equal(name: str, build: Callable, sql: Callable[[str], str]) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fx.pairs(spark, d).withColumn("equal", build(F.col("a"), F.col("b"))).groupBy("a", "b", "equal").agg(F.count("*").alias("n"))
+        return fx.pairs(spark, d).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", build(F.col("a"), F.col("b")).alias("equal"), "n")
 
     run.__name__ = name
     query(_with(fx.COMPLETIONS, fx.PAIRS_SQL) + f"select a, b, same as equal, count(*) as n from {sql('fx_eq')} group by all")(run)
@@ -368,7 +368,7 @@ from j left join v on j.a = v.a and j.b = v.b"""
 def grpo_reward(spark: SparkSession, d: str) -> DataFrame:
     answer = F.when(F.col("l_orderkey") % 13 == 0, "no box").otherwise(F.concat(F.lit("\\boxed{"), F.col("solution"), F.lit("}")))
     rows = scoring.with_batch_answer(fx.deep(spark, d), answer, ["l_orderkey"], F.struct("l_linenumber", "solution"))
-    return rows.select(*KEY, rewards.composite(F.col("completion"), F.col("batch_answer")).alias("reward"))
+    return scoring.with_composite(rows, F.col("completion"), F.col("batch_answer")).select(*KEY, "reward")
 
 
 #: Each completion's last box by the balanced scan (a), and whether it equals the gold answer.
@@ -382,8 +382,9 @@ _REPEATS = """rep as (select text, case when len(g) > 0 then -(1 - len(list_dist
 
 @query(_LENIENT + f", {_REPEATS} select l_orderkey, l_linenumber, round(coalesce(case when same then 1.0::double when not same then 0.0::double end, 0.0::double) + 0.2::double * {_STEPS} + 0.4::double * repeats, 9) + 0.0::double as reward from {_JUDGED} join rep on completion = text")
 def weighted_reward(spark: SparkSession, d: str) -> DataFrame:
-    scores = rewards.selected(["accuracy", "reasoning_steps", "repetition_penalty"])
-    return fx.deep(spark, d).select(*KEY, (F.round(rewards.weighted(scores), 9) + F.lit(0.0)).alias("reward"))
+    names = list(rewards.WEIGHTS)
+    rows = scoring.with_scores(fx.deep(spark, d), names)
+    return rows.select(*KEY, (F.round(rewards.weighted({n: F.col(n) for n in names}), 9) + F.lit(0.0)).alias("reward"))
 
 
 # Evaluation

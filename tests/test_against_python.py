@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import boxed, equivalence, rewards, text
+from tallyforge.operators import scoring
 
 FRAGMENTS = ["\\frac{", "\\dfrac{", "\\boxed{", "}{", "}", "{", "1", "2.5", "0", "-", "%", ",", " ", "x", '"', "e3", ".", "\n", "7", "é", "　"]
 NUMBER = re.compile(r"[ \t\n\r\f\v]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t\n\r\f\v]*")
@@ -136,6 +137,10 @@ def test_pairs(spark, name):
     got = [r["x"] for r in rows.select("i", ours(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
     want = [bool(theirs(a, b)) for a, b in pairs]
     assert [(p, g) for p, g, w in zip(pairs, got, want) if g != w] == []
+    staged = {"lenient": lambda d: equivalence.with_lenient(d, F.col("a"), F.col("b"), "x", equivalence.balanced_box), "loose": lambda d: equivalence.with_loose(d, F.col("a"), F.col("b"), "x")}
+    if name in staged:
+        out = staged[name](rows)
+        assert out.columns == ["i", "a", "b", "x"] and [r["x"] for r in out.orderBy("i").collect()] == got
     assert 50 < sum(want) < len(want) - 50
 
 
@@ -152,6 +157,17 @@ def test_scans(spark):
     assert one_column(spark, texts, boxed.all_nested) == [re.findall(r"\\boxed\{([^{}]+(?:\{[^{}]*\}[^{}]*)*)\}", t) for t in texts]
 
 
+def test_staged_scores(spark):
+    """Scores a step at a time are those of one expression."""
+    texts = [*glued(6, 400, 9), None, "--- \\boxed{1}", "--- \\boxed{50%}", "a --- \\boxed{\\frac{1}{2}}"]
+    rows = spark.createDataFrame([(t, g) for t in texts for g in ("\\boxed{1}", "1", "\\boxed{0.5}", None)], "completion string, solution string")
+    c, g = F.col("completion"), F.col("solution")
+    both = scoring.with_composite(scoring.with_scores(rows, ["accuracy", "tag_count"]), c, g).withColumns({"one": rewards.accuracy(c, g), "two": rewards.composite(c, g), "three": rewards.tag_count(c)})
+    got = both.collect()
+    assert all(r["accuracy"] == r["one"] and r["reward"] == r["two"] and r["tag_count"] == r["three"] for r in got)
+    assert len({r["one"] for r in got}) == 3 and len({r["two"] for r in got}) == 3
+
+
 def test_repetition(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(300)]
