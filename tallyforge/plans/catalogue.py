@@ -700,3 +700,89 @@ def answered_with_box(spark: SparkSession, d: str) -> DataFrame:
     gold = p.select("question", text.marked_answer(F.col("answer")).alias("gold"), "row_id")
     found = joins.answered(fx.completions(spark, d).select(*KEY, ids("problem_id"), "completion"), p.select(ids("row_id"), "question", "row_id"), gold, present=boxed.first_numeric(F.col("completion")).isNotNull())
     return found.select(*KEY, "question", "gold")
+
+
+@query("select cast(s_suppkey as varchar) as s_suppkey, s_name, cast(s_nationkey as varchar) as s_nationkey from supplier")
+def csv_strings_scan(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "strings")
+    writers.csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), at)
+    return readers.csv_strings(spark, at)
+
+
+@query("select p_partkey, p_name from part where p_partkey % 2 = 0")
+def glob_load(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "globbed")
+    rows = table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 2).alias("odd"))
+    rows.write.partitionBy("odd").json(at)
+    return readers.load(spark, f"{at}/odd=0/*.json", "p_partkey long, p_name string", kind="jsonl")
+
+
+@query("select n_nationkey, n_name from nation union all select n_nationkey, n_name from nation where n_nationkey < 5")
+def arrow_folder_scan(spark: SparkSession, d: str) -> DataFrame:
+    import pyarrow as pa
+    from pyarrow import fs
+
+    rows, at = table(spark, d, "nation").select("n_nationkey", "n_name").toArrow(), scratch.folder(spark, "arrow")
+    system, path = fs.FileSystem.from_uri(at)
+    system.create_dir(path)
+    for name, opened, part in (("a.arrow", pa.ipc.new_file, rows), ("b.arrow", pa.ipc.new_stream, rows.filter(pa.compute.less(rows["n_nationkey"], 5)))):
+        with system.open_output_stream(f"{path}/{name}") as out, opened(out, rows.schema) as w:
+            w.write_table(part)
+    return readers.columnar(spark, at)
+
+
+@query("select p_partkey from part where p_partkey % 3 = 1")
+def dataset_split(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "data-set")
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    writers.dump(table(spark, d, "part").select("p_partkey", split.alias("split")), at, "parquet")
+    readers.DATASETS["catalogue/parts"] = (at, None, "parquet")
+    return readers.dataset(spark, "catalogue/parts", "val").select("p_partkey")
+
+
+@query("select '[' || string_agg(cast(s_suppkey as varchar), ',' order by s_suppkey) || ']' as value from supplier where s_suppkey % 7 = 0")
+def int_array_file(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "int-array")
+    writers.int_array(table(spark, d, "supplier").where("s_suppkey % 7 = 0"), "s_suppkey", at)
+    return readers.whole_text(spark, at).select("value")
+
+
+@query("select 'Part ' || p_partkey as problem, case when p_partkey % 11 = 0 then 'nan' else cast(p_size as varchar) end as reference from part where p_partkey % 7 <> 0")
+def problem_reference(spark: SparkSession, d: str) -> DataFrame:
+    size = prompts.as_text(F.when(F.col("p_partkey") % 11 != 0, F.col("p_size")))
+    named = F.when(F.col("p_partkey") % 7 == 0, "  ").otherwise(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")))
+    return prompts.problem_reference(table(spark, d, "part").select(named.alias("question"), size.alias("ground_truth")))
+
+
+@query("select conv_id, turn, coalesce(case when turn % 3 = 0 then role end, case when turn % 2 = 0 then 'even' end, '') as first, list_extract(string_split(text, 'e'), -1) as tail, regexp_replace(substr(text, length(role) + 1), '^\\s+|\\s+$', '', 'g') as rest from conversations")
+def defaults_and_tails(spark: SparkSession, d: str) -> DataFrame:
+    first = prompts.present(F.when(F.col("turn") % 3 == 0, F.col("role")), F.when(F.col("turn") % 2 == 0, "even"))
+    return table(spark, d, "conversations").select("conv_id", "turn", first.alias("first"), text.after_last(F.col("text"), "e").alias("tail"), text.after_prompt(F.col("text"), F.col("role")).alias("rest"))
+
+
+@query(_with(fx.LOG, _SEGMENTS) + "select gsm8k_index, md5(body) as body_md5 from p where mark > 0 and gsm8k_index % 3 = 0")
+def selected_segments(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("gsm8k_index")).distinct()
+    return logs.selected(logs.segments(fx.log(spark, d)), wanted).select("gsm8k_index", F.md5("body").alias("body_md5"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then 'x = ' || p_size || chr(10) when 1 then 'last' || chr(10) else '' end as code, p_partkey % 4 <> 1 and (p_size % 10) <> 9 as close from part")
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    one = F.concat(F.lit("Try:\n```python\nx = "), size, F.lit("\n```\nor ```sql\nselect 1\n```"))
+    code = F.when(k % 3 == 0, one).when(k % 3 == 1, F.concat(one, F.lit(" then ```python\nlast\n``` done"))).otherwise("```python\nnever closed")
+    numbers_ = F.array(F.col("p_size").cast("double"), F.lit(1.0))
+    near = F.when(k % 4 == 1, F.array(F.lit(1.0))).otherwise(F.array(F.col("p_size") + F.when(F.col("p_size") % 10 == 9, 0.5).otherwise(0.25), F.lit(1.0)))
+    return table(spark, d, "part").select("p_partkey", text.last_code_block(code).alias("code"), arrays.within(numbers_, near, 0.25).alias("close"))
+
+
+@query("select conv_id, turn, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)), ',') as ids from conversations")
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = external.tokenizer(external.word_lengths)(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+@query("select conv_id, turn, role from conversations")
+def guarded_union(spark: SparkSession, d: str) -> DataFrame:
+    rows = conversations.require_rows(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conversations")
+    return sets.concat([rows.where("turn % 2 = 0"), rows.where("turn % 2 <> 0")])
