@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.functions import arrays, boxed, equivalence, external, numbers, rewards, text
-from tallyforge.operators import collate, conversations, evaluation, joins, logs, passrate, prompts, requests, scoring, sets, splits
+from tallyforge.operators import collate, conversations, evaluation, jobs, joins, logs, passrate, prompts, requests, scoring, sets, splits
 from tallyforge.operators.ordinals import dense, shuffled
 from tallyforge.plans import fixtures as fx, rules
 from tallyforge.plans.fixtures import table
@@ -786,3 +786,52 @@ def token_ids(spark: SparkSession, d: str) -> DataFrame:
 def guarded_union(spark: SparkSession, d: str) -> DataFrame:
     rows = conversations.require_rows(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conversations")
     return sets.concat([rows.where("turn % 2 = 0"), rows.where("turn % 2 <> 0")])
+
+
+_OPEN = "case when xa is not null and xb is not null then xa else a end", "case when xa is not null and xb is not null then xb else b end"
+
+
+@query(
+    _with(fx.DEEP, _BOXES, "pr as (select completion as a, solution as b, count(*) as n from fx_deep group by 1, 2)")
+    + f""", op as (select pr.*, list_extract(boxes, -1) as xa, {rules.last_box("b")} as xb from pr join fx_box on a = text),
+v as (select a, b, same from {rules.lenient_opened(f"(select distinct {_OPEN[0]} as a, {_OPEN[1]} as b from op)")} z)
+select op.a, op.b, same as equal, n from op join v on v.a = {_OPEN[0].replace("else a", "else op.a")} and v.b = {_OPEN[1].replace("else b", "else op.b")}"""
+)
+def values_equal_v3_balanced(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.deep(spark, d).groupBy(F.col("completion").alias("a"), F.col("solution").alias("b")).agg(F.count("*").alias("n"))
+    return equivalence.with_lenient(rows, F.col("a"), F.col("b"), "equal", equivalence.balanced_box)
+
+
+class _Echo:
+    """A stand-in for a batch service: answers each request's user message with itself and an exclamation mark."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.polls = spark, 0
+
+    def upload(self, path: str) -> str:
+        return path
+
+    def create(self, file_id: str) -> str:
+        return file_id
+
+    def status(self, job_id: str) -> str:
+        self.polls += 1
+        return "completed" if self.polls > 2 else "in_progress"
+
+    def files(self, job_id: str) -> tuple[str | None, str | None]:
+        return job_id, None
+
+    def download(self, file_id: str, path: str) -> None:
+        asked = self.spark.read.json(file_id)
+        message = F.struct(F.lit("assistant").alias("role"), F.concat(requests.first_user(F.col("body.messages")), F.lit("!")).alias("content"))
+        body = F.struct(F.lit("echo").alias("model"), F.struct(F.lit(1).alias("total_tokens")).alias("usage"), F.array(F.struct(message.alias("message"))).alias("choices"))
+        writers.json_lines(asked.select("custom_id", F.struct(body.alias("body")).alias("response")), path)
+
+
+@query(_with(fx.PROBLEMS) + "select 'request-' || (row_id + 1) as custom_id, question || '!' as content, 'completed' as status from fx_prob")
+def batch_job(spark: SparkSession, d: str) -> DataFrame:
+    at, out = scratch.folder(spark, "requests"), scratch.folder(spark, "responses")
+    writers.json_lines(requests.build(fx.problems(spark, d), F.col("question"), "echo", SYSTEM), at)
+    (client,) = jobs.Registry(echo=_Echo).build(["echo"], spark=spark)
+    done = jobs.run(client, at, out, f"{out}-errors", sleep=lambda s: None)
+    return requests.flatten(spark.read.json(done.output)).select("custom_id", "message.content", F.lit(done.status).alias("status"))

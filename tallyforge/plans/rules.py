@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 NUM = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
 NESTED = r"'\\boxed\{([^{}]+(?:\{[^{}]*\}[^{}]*)*)\}'"
 
@@ -58,13 +60,13 @@ def plain(source: str) -> str:
     return prepared(source, [("na", number("a")), ("nb", number("b")), ("same", f"coalesce({near('na', 'nb')}, {strip('a')} = {strip('b')}, false)")])
 
 
-def _fractions(source: str, clean: str, opened: bool) -> str:
+def _fractions(source: str, clean: str, opened: bool, text: Callable[[str], str] | None = None) -> str:
     a, b = ("a1", "b1")
     steps = [("a1", plain_fraction(clean.format("a"))), ("b1", plain_fraction(clean.format("b")))]
     if opened:
         steps += [("xa", last_box("a1")), ("xb", last_box("b1")), ("a2", "case when xa is not null and xb is not null then xa else a1 end"), ("b2", "case when xa is not null and xb is not null then xb else b1 end")]
         a, b = ("a2", "b2")
-    text = bare if opened else strip
+    text = text or (bare if opened else strip)
     for side, c in (("a", a), ("b", b)):
         steps += [(f"t{side}", f"cast({group(c, FRACTION, 1)} as double)"), (f"u{side}", f"cast({group(c, FRACTION, 2)} as double)"), (f"n{side}", f"coalesce(case when u{side} <> 0 then t{side} / u{side} end, {number(c)})")]
     return prepared(source, [*steps, ("same", f"coalesce(ua, 1) <> 0 and coalesce(ub, 1) <> 0 and coalesce({near('na', 'nb')}, {text(a)} = {text(b)}, false)")])
@@ -74,9 +76,16 @@ def with_fractions(source: str) -> str:
     return _fractions(source, "{}", False)
 
 
+UNQUOTED = f"trim({strip('{}')}, chr(34) || chr(39))"
+
+
 def lenient(source: str) -> str:
-    quotes = "chr(34) || chr(39)"
-    return _fractions(source, f"trim({strip('{}')}, {quotes})", True)
+    return _fractions(source, UNQUOTED, True)
+
+
+def lenient_opened(source: str) -> str:
+    """``lenient`` of texts whose boxes have been opened."""
+    return _fractions(source, UNQUOTED, False, bare)
 
 
 def loose(source: str) -> str:

@@ -28,7 +28,7 @@ def test_filters_reach_the_scan(spark):
 
 
 PYTHON = {"boxed_balanced_all", "repetition_penalty", "tokenizer_counts", "remote_map", "remote_outcomes", "sampled_generation", "symbolic_cascade"}
-PYTHON |= {"arrow_folder_scan", "token_ids"}
+PYTHON |= {"arrow_folder_scan", "token_ids", "values_equal_v3_balanced"}
 PYTHON |= {"accuracy_eval", "error_indices", "skipped_indices_preview", "weighted_reward"}  # boxes by the balanced scan
 
 
