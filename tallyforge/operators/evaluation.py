@@ -41,7 +41,7 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def indices(rows: DataFrame, verdict: str, order: str) -> DataFrame:
-    """Ascending row numbers of a verdict, a row each."""
+    """Row numbers of a verdict, a row each. Give a written table of verdicts where several are asked for."""
     return rows.where(F.col("verdict") == verdict).select(order)
 
 

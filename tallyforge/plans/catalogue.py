@@ -391,7 +391,8 @@ def weighted_reward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.judged(fx.deep(spark, d), "completion", "solution")
+    """Verdicts by row, written once: a filter on a verdict would else be moved below all the steps that lead to it."""
+    return scratch.written(evaluation.judged(fx.deep(spark, d), "completion", "solution").select("row_id", "verdict", "method"), "verdicts")
 
 
 _VERDICT = f"j as (select *, case when solution = '' or fx_a.a is null then 'skipped' when same then 'right' else 'wrong' end as verdict from {_JUDGED})"
