@@ -1018,6 +1018,34 @@ def test_stages_take_effect(spark):
     lengths = {r["doc_id"]: r["n_tokens"] for r in seen[5].collect()}
     assert all(lengths[i] == len(before[i]["text"].encode().split()) for i in ids[5])
 
+    # language and quality: each text judged alone by the learned model, with plain sums
+    model = op6_langid.learn(rows)
+    told = {i: model.scores(r["text"]) for i, r in before.items() if r["text"] and any(c.isalpha() for c in r["text"])}
+    margin = {i: sorted(x)[1] / sorted(x)[0] - 1 for i, x in told.items()}
+    assert ids[1] == sorted(i for i, m in margin.items() if m >= op6_langid.MARGIN)
+    fitted = op9_ordinal.learn(seen[1], op9_ordinal.ratings(spark.read.parquet(f"{SMALL}/labels.parquet")))
+    chance = {i: 1 / (1 + np.exp(fitted.cuts[-1] - sum(fitted.weights[op9_ordinal.features(before[i]["text"].encode())]))) for i in ids[1]}
+    assert ids[2] == sorted(i for i, c in chance.items() if c >= op9_ordinal.KEEP)
+
+    # mixing: words by source come as near to their targets as whole documents allow; none is taken more than twice
+    words = {i: len(before[i]["text"].split()) for i in ids[3]}
+    sizes, taken = {}, {}
+    for i in ids[3]:
+        sizes[before[i]["source"]] = sizes.get(before[i]["source"], 0) + words[i]
+    for i in ids[4]:
+        taken[before[i]["source"]] = taken.get(before[i]["source"], 0) + words[i]
+    want = brute_targets(sizes)
+    assert all(abs(taken.get(x, 0) - want[x]) <= max(words.values()) for x in sizes) and max(ids[4].count(i) for i in set(ids[4])) <= 2
+
+    # packing: the least padding that eight buckets can have, whole batches within the budget, and copies told apart
+    packed = seen[5].collect()
+    assert sum(r["padding"] for r in packed) == brute_padding(tuple(words[i] for i in ids[4]), 8)
+    batches = {}
+    for r in packed:
+        batches.setdefault((r["bucket"], r["batch_id"]), []).append(r)
+    assert all(sorted(r["batch_row"] for r in b) == list(range(len(b))) and (len(b) == 1 or len(b) * b[0]["padded_len"] <= 65_536) for b in batches.values())
+    assert len({(r["doc_id"], r["copy"]) for r in packed}) == len(packed) and all(r["text"] == before[r["doc_id"]]["text"] for r in packed)
+
 
 def test_run_clears_what_stages_wrote(spark):
     """Only what the stages return stays, under names of their own."""
