@@ -33,7 +33,7 @@ def all_nested(c: Column) -> Column:
 
 def first_nested(c: Column) -> Column:
     """The first, stripped; null if there is none or nothing in it."""
-    return F.nullif(strip(extracted(c, NESTED)), F.lit(""))
+    return F.nullif(strip(F.try_element_at(all_nested(c), F.lit(1))), F.lit(""))
 
 
 def last_nested(c: Column) -> Column:

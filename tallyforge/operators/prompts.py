@@ -46,7 +46,7 @@ def problem_reference(rows: DataFrame, question: str = "question", truth: str =
 def problem_solution(rows: DataFrame, question: str = "question", content: str = "content") -> DataFrame:
     """problem, solution: the first box of the content; rows without a problem or a solution are left out."""
     out = rows.select(F.col(question).alias("problem"), boxed.first_nested(F.col(content)).alias("solution"))
-    return out.where((F.length("problem") > 0) & (F.length("solution") > 0))
+    return out.where((F.length("problem") > 0) & F.col("solution").isNotNull())  # a box is never empty
 
 
 def as_text(value: Column) -> Column:
