@@ -29,8 +29,8 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     for run in word_runs(text or b""):
         words = last + [w.lower() for w in run] if last else b" ".join(run).lower().split(b" ") if run else []
         if len(words) >= width:
-            joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
-            raw = b"".join([digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[width - 1 :], strict=False)])
+            joined, next_ = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+            raw = b"".join([digest(joined[s:e], SEED) for s, e in zip([0, *next_.tolist()], (next_[width - 1 :] - 1).tolist(), strict=False)])
             ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             n += len(words) - width + 1
         last = words[-(width - 1) :] if width > 1 else []
