@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyforge.llm.common import Carried, materialize, pick, small_batches, word_runs
 
-#: Hash buckets of the shared weights.
+#: Hash buckets of the shared weights, a power of two.
 BUCKETS = 1 << 18
 #: Rated documents that the fit reads at most (about): those with the smallest hashes of their key.
 SAMPLE_ROWS = 16_000
@@ -30,18 +30,23 @@ def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct buckets: each word in lower case without outer punctuation, its first four and five bytes, each word's
     punctuation alone, and the text's share of distinct words and of capitals in tenths. The whole text counts; a bucket counts once,
     so length doesn't dilute a word. A text is read in runs of words; what is kept of a run are buckets and hashes of its distinct words."""
-    found, kinds, n, size, capitals, crc = set(), [], 0, 0, 0, zlib.crc32
+    found, first, kinds, n, size, capitals, crc, low = set(), None, [], 0, 0, 0, zlib.crc32, BUCKETS - 1
+    shape, start = crc(b"\x01"), crc(b"\x04")
     for words in word_runs(text or b""):
         distinct, joined = set(words), b"".join(words)
         cores = {w.lower().strip(_PUNCTUATION) for w in distinct}
-        shapes = {w.translate(None, _LETTERS) for w in distinct}
+        marked = [w for w in distinct if not w.isalnum()]  # the others have letters and digits alone, so no shape
+        shapes = {w.translate(None, _LETTERS) for w in marked} | ({b""} if len(marked) < len(distinct) else set())
         starts = {w[:4] for w in cores} | {w[:5] for w in cores}
-        found |= {crc(w) % BUCKETS for w in cores} | {crc(b"\x01" + s) % BUCKETS for s in shapes} | {crc(b"\x04" + s) % BUCKETS for s in starts}
-        kinds.append(np.fromiter(map(hash, distinct), np.int64, len(distinct)))
+        found.update({crc(w) & low for w in cores}, {crc(s, shape) & low for s in shapes}, {crc(s, start) & low for s in starts})
+        if first is None:
+            first = distinct
+        else:  # a long text: hashes of what each run has
+            kinds += [np.fromiter(map(hash, d), np.int64, len(d)) for d in ([distinct] if kinds else [first, distinct])]
         n, size, capitals = n + len(words), size + len(joined), capitals + len(joined) - len(joined.translate(None, _CAPITALS))
     if not n:
         return np.zeros(0, np.int32)
-    different = len(kinds[0]) if len(kinds) == 1 else len(np.unique(np.concatenate(kinds)))
+    different = len(np.unique(np.concatenate(kinds))) if kinds else len(first)
     found |= {crc(b"\x02%d" % (10 * different // n if n >= 20 else 10)) % BUCKETS, crc(b"\x03%d" % (10 * capitals // size)) % BUCKETS}
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
