@@ -36,5 +36,6 @@ def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataF
 
 def length_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: n_left, n_right, matched, mismatch."""
-    left, right = a.agg(F.count("*").alias("n_left")), b.agg(F.count("*").alias("n_right"))
-    return left.crossJoin(right).select("n_left", "n_right", F.least("n_left", "n_right").alias("matched"), (F.col("n_left") != F.col("n_right")).alias("mismatch"))
+    of = lambda df, left: df.select(F.lit(left).alias("left"))
+    sides = of(a, True).union(of(b, False)).agg(F.count_if("left").alias("n_left"), F.count_if(~F.col("left")).alias("n_right"))
+    return sides.select("n_left", "n_right", F.least("n_left", "n_right").alias("matched"), (F.col("n_left") != F.col("n_right")).alias("mismatch"))

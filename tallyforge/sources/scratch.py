@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,20 +38,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-_written: list[str] = []
+#: Paths of the tables written in the innermost open block of ``cleared``. Threads don't see each other's.
+_open: ContextVar[list[str] | None] = ContextVar("written tables", default=None)
 
 
 def note(path: str) -> None:
-    """Remember a written table for ``cleared``."""
-    _written.append(path)
+    """Remember a written table for the block of ``cleared`` that it is written in, if there is one."""
+    if (tables := _open.get()) is not None:
+        tables.append(path)
 
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Removes, at the end of this block, the tables that were written in it: for work whose own result is written inside it."""
-    first = len(_written)
-    yield
-    for path in _written[first:]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _written[first:]
+    """Removes, at the end of this block, the tables that were written in it: for work whose own result is written inside it.
+
+    That holds for a block that fails too. Tables of other threads, which may be at work in blocks of their own, stay.
+    """
+    tables: list[str] = []
+    before = _open.set(tables)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -93,13 +93,25 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_cleared(spark):
+    """A block's own tables go, also when it fails; those of outer blocks, of other threads and of no block stay."""
+    from concurrent.futures import ThreadPoolExecutor
     from pathlib import Path
 
+    def made(label):
+        rows = scratch.written(spark.range(3), label)
+        assert rows.count() == 3
+        return next(Path(scratch.shared(spark).removeprefix("file://")).glob(f"*/{label}-*"))
+
+    free = made("free")
     with scratch.cleared(spark):
-        assert scratch.written(spark.range(3), "x").count() == 3
-        path = Path(scratch._written[-1].removeprefix("file://"))
-        assert path.exists()
-    assert not path.exists()
+        outer = made("outer")
+        with pytest.raises(KeyError), scratch.cleared(spark):
+            inner = made("inner")
+            with ThreadPoolExecutor(1) as other:
+                elsewhere = other.submit(made, "elsewhere").result()
+            raise KeyError
+        assert not inner.exists() and outer.exists()
+    assert not outer.exists() and free.exists() and elsewhere.exists()
 
 
 def test_writers(spark, tmp_path):
