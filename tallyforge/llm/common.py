@@ -77,12 +77,6 @@ def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``DataFrame.checkpoint()`` with the shared folder set. Spark clears the files once the table is unreachable."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within this block, tables that are written hand texts to Python in Arrow batches of ``rows`` rows at most (the default is 10,000).
@@ -133,17 +127,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each makes star forests with the smallest node in the middle, in a
     number of rounds that grows with the logarithm of the longest chain. Nodes without an edge to another one, and
-    null nodes, aren't returned. Returns (node long, component long), one row a node; no rows for no edges.
+    null nodes, aren't returned. Returns (node long, component long), one row a node; no rows for no edges. Each step's links are
+    written, so lost executors cost no lineage, and go with the operator's other tables (``scratch.cleared``), as checkpoint files don't.
     """
     a, b = edges.columns[:2]
-    e = checkpoint(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = materialize(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(e)
     while before[0]:
         both = e.union(e.select("v", "u"))
-        large = checkpoint(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct())
+        large = materialize(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct(), "links-large")
         small = _with_least(large)
-        e = checkpoint(small.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct())
+        e = materialize(small.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct(), "links-small")
         now = state(e)
         if now == before:
             break

@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyforge.llm.common import Carried, checkpoint, connected_components, contents, materialize, pick, small_batches, word_runs
+from tallyforge.llm.common import Carried, connected_components, contents, materialize, pick, small_batches, word_runs
 
 SEED = 42
 #: Nodes of one tree at most. A larger shard is divided over further bits, see ``links``.
@@ -188,7 +188,7 @@ def shards(prints: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> list[D
         here = large.select("ls")
         done.append(state.join(here, state["shard"] == here["ls"], "left_anti").select("fp", "shard"))
         members = state.join(here, state["shard"] == here["ls"], "left_semi")
-        state = checkpoint(_dealt(members, {k: _blocks([b for b in range(64) if not k >> b & 1], radius) for k in kinds}))
+        state = materialize(_dealt(members, {k: _blocks([b for b in range(64) if not k >> b & 1], radius) for k in kinds}), "simhash-divided")
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
