@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import op1_license, op2_quality_rules, op3_sharding, op4_packing, op5_simhash, op6_langid, op7_chat, op8_mixing, op9_ordinal, op10_embeddings
+from tallyforge.llm import op1_license, op2_quality_rules, op3_sharding, op4_packing, op5_simhash, op6_langid, op7_chat, op8_mixing, op9_ordinal, op10_embeddings, op11_merkle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_mixing.query,
     "op9_ordinal_classifier": op9_ordinal.query,
     "op10_embedding_dedup": op10_embeddings.query,
+    "op11_merkle_manifest": op11_merkle.query,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": op1_license.sql(),
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op7_chat_rotation": op7_chat.sql(),
     "op8_source_mixing": op8_mixing.sql(),
     "op10_embedding_dedup": op10_embeddings.sql(),
+    "op11_merkle_manifest": op11_merkle.sql(),
 }
