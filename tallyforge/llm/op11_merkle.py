@@ -16,8 +16,8 @@ from tallyforge.operators.ordinals import dense
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node.
 ARITY = 3
-#: Levels that one round resolves: a group has at most ARITY**HEIGHT nodes (59,049).
-HEIGHT = 10
+#: Levels that one round resolves: a group has at most ARITY**HEIGHT nodes (2,187).
+HEIGHT = 7
 
 
 def leaf(*values: Column) -> Column:
