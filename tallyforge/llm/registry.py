@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import op1_license, op2_quality_rules, op3_sharding, op4_packing, op5_simhash, op6_langid, op7_chat, op8_mixing, op9_ordinal, op10_embeddings, op11_merkle, op13_collocations
+from tallyforge.llm import op1_license, op2_quality_rules, op3_sharding, op4_packing, op5_simhash, op6_langid, op7_chat, op8_mixing, op9_ordinal, op10_embeddings, op11_merkle, op12_toxicity, op13_collocations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ordinal_classifier": op9_ordinal.query,
     "op10_embedding_dedup": op10_embeddings.query,
     "op11_merkle_manifest": op11_merkle.query,
+    "op12_toxicity": op12_toxicity.query,
     "op13_collocations": op13_collocations.query,
 }
 SQL: dict[str, str] = {

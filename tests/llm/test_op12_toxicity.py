@@ -1,0 +1,183 @@
+"""Toxicity against a plain Kneser-Ney model in Python, on planted rows, and on odd ones."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import op12_toxicity as op12
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LABELS = "doc_id long, quality int, toxic int"
+D = op12.DISCOUNT
+
+
+def fold(k):
+    return zlib.crc32(str(k).encode()) % 5
+
+
+def grams(text):
+    for w in re.findall(r"\w+", (text or "").lower()):
+        padded = "\x02" * 4 + w + "\x03"
+        yield from (padded[i : i + 5] for i in range(len(w) + 1))
+
+
+class Plain:
+    """Straight from the definition, with dictionaries."""
+
+    def __init__(self, texts, labelled, without=None):
+        self.known = {}
+        kinds = {g for t in texts for g in grams(t)}
+        self.after = {}
+        for m in (4, 3, 2, 1):
+            counts = Counter(g[1:] for g in kinds)
+            self.after[m] = defaultdict(dict)
+            for g, c in counts.items():
+                self.after[m][g[:-1]][g[-1]] = c
+            kinds = set(counts)
+        self.of = {0: defaultdict(Counter), 1: defaultdict(Counter)}
+        for k, text, toxic in labelled:
+            if fold(k) not in (0, without):
+                for g in grams(text):
+                    self.of[toxic][g[:-1]][g[-1]] += 1
+
+    def shared(self, g):
+        m = len(g)
+        if not m:
+            return 1 / len(self.after[1][""])
+        n = self.after[m][g[:-1]]
+        total = sum(n.values())
+        return max(n.get(g[-1], 0) - D, 0) / total + D * len(n) / total * self.shared(g[1:])
+
+    def chance(self, toxic, g):
+        n = self.of[toxic].get(g[:-1])
+        if not n:
+            return self.shared(g[1:])
+        total = sum(n.values())
+        return max(n.get(g[-1], 0) - D, 0) / total + D * len(n) / total * self.shared(g[1:])
+
+    def expected(self, h):
+        """Of ordinary text after a context, over all characters."""
+        if h not in self.known:
+            each = [(self.chance(0, h + x), math.log(self.chance(1, h + x) / self.chance(0, h + x))) for x in self.after[1][""]]
+            assert sum(p for p, _ in each) == pytest.approx(1)
+            self.known[h] = sum(p * r for p, r in each)
+        return self.known[h]
+
+    def ratio(self, text):
+        return sum(math.log(self.chance(1, g) / self.chance(0, g)) - self.expected(g[:-1]) for g in grams(text))
+
+
+def made(seed=1, n=240):
+    rng = random.Random(seed)
+    bits = ["er", "in", "th", "on", "ti", "ed", "an", "ré", "ou"]
+    bad = ["vile", "scum", "moron", "trash", "ßcheusal"]
+    rows, labels = [], []
+    for k in range(n):
+        toxic = int(rng.random() < 0.3)
+        words = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(20, 90))]
+        if toxic:
+            for _ in range(max(2, len(words) // 12)):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words).capitalize() + ".", "en", "s", 1))
+        if rng.random() < 0.7:
+            labels.append((k, 1, toxic))
+        rows[-1] = (*rows[-1], toxic)
+    return rows, labels
+
+
+def frames(spark, rows, labels):
+    return spark.createDataFrame([r[:5] for r in rows], DOCS).repartition(3), spark.createDataFrame(labels, LABELS)
+
+
+@pytest.mark.parametrize("shard_rows", [None, 150])
+def test_ratios_against_a_plain_model(spark, shard_rows):
+    rows, labels = made()
+    docs, rated = frames(spark, rows, labels)
+    got = {r["doc_id"]: r for r in op12.toxicity(docs, rated, shard_rows=shard_rows).collect()}
+    by = {r[0]: r[1] for r in rows}
+    plain = Plain(by.values(), [(k, by[k], t) for k, _, t in labels])
+    assert len(got) == len(rows)
+    for k, text in by.items():
+        assert got[k]["log_ratio"] == pytest.approx(plain.ratio(text), rel=1e-4, abs=1e-3)
+        assert got[k]["size"] == sum(1 for _ in grams(text)) and got[k]["held_out"] == (fold(k) == 0)
+        assert got[k]["predicted"] == int(got[k]["score"] >= 0.5)
+    held = [(r[5], got[r[0]]["predicted"]) for r in rows if fold(r[0]) == 0]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_models_without_a_fold(spark):
+    rows, labels = made(2, 120)
+    docs, rated = frames(spark, rows, labels)
+    x = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("x"))
+    y = rated.select(F.col("doc_id").alias("k"), "toxic")
+    types = x.select("x").mapInPandas(op12._types, "gram string").distinct()
+    counted = op12._labelled(x, y).select("x", "toxic", "fold").mapInPandas(op12._counted, "gram string, toxic int, fold int, n long").groupBy("gram", "toxic", "fold").agg(F.sum("n").alias("n"))
+    grams_ = op12.model(types, counted)
+    got = op12.added(op12._labelled(x, y), grams_, True).collect()
+    by = {r[0]: r[1] for r in rows}
+    assert {r["k"] for r in got} == {k for k, _, _ in labels if fold(k)}
+    for without in range(1, 5):
+        plain = Plain(by.values(), [(k, by[k], t) for k, _, t in labels], without)
+        for r in got:
+            if r["fold"] == without:
+                assert r["s"] == pytest.approx(plain.ratio(by[r["k"]]), rel=1e-4, abs=1e-3)
+
+
+def test_filter_keeps_all_labelled(spark):
+    docs = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("x"))
+    y = docs.where("k % 7 = 3").select("k", F.lit(1).alias("toxic"))
+    assert sorted(r["k"] for r in op12._labelled(docs, y).collect()) == [k for k in range(3, 3000, 7) if fold(k)]
+
+
+def test_labels_of_held_out_rows_are_not_read(spark):
+    rows, labels = made(3)
+    turned = [(k, q, 1 - t if fold(k) == 0 else t) for k, q, t in labels]
+    one, other = (op12.toxicity(*frames(spark, rows, ls)).orderBy("doc_id").select("doc_id", "score").collect() for ls in (labels, turned))
+    assert [r["doc_id"] for r in one] == [r["doc_id"] for r in other] and np.allclose([r["score"] for r in one], [r["score"] for r in other], atol=1e-9)
+
+
+def test_odd_rows(spark):
+    rows, labels = made(4)
+    more = [(9000, None, None, None, None), (9001, "", "en", "a", 0), (9002, " \n.,!", "en", "a", 3), (9003, "scum moron " * 40_000, "en", "a", 1), (9004, "x" * 3_000_000, "en", "a", 1), (None, "vile trash", "en", "b", 6), (None, "vile trash", "en", "b", 6), (9005, "☃ 𝒳 Ünï_1", "fr", None, 11), (5, "the other text of a key", "fr", None, 1)]
+    docs = spark.createDataFrame([r[:5] for r in rows] + more, DOCS).select("*", *[F.lit(v).alias(n) for n, v in {"TEXT": "x", "score": 1, "fold": 2, "k": "y", "toxic": 0, "s": 3}.items()])
+    rated = spark.createDataFrame([*labels, (None, 1, 1), (9001, 1, None), (77777, 0, 1), labels[0], (labels[1][0], 1, 1 - labels[1][2])], LABELS)
+    got = op12.toxicity(docs, rated).collect()
+    assert len(got) == len(rows) + len(more) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    by = {r["doc_id"]: r for r in got}
+    assert by[9000]["score"] == by[9001]["score"] == by[9002]["score"] and by[9000]["size"] == 0 and by[9003]["predicted"] == 1 and by[9004]["size"] == 3_000_001
+    assert [r["predicted"] for r in got if r["doc_id"] is None] == [1, 1]
+    assert op12.toxicity(docs.limit(0), rated).collect() == []
+    for some, score in ((rated.where("toxic = 0"), None), (rated.limit(0), 0.0)):
+        scores = {r["score"] for r in op12.toxicity(docs, some).collect()}
+        assert len(scores) == 1 and (score is None and 0 < scores.pop() < 0.05 or scores == {score})
+
+
+def test_long_words_are_read_in_parts():
+    words = ["abc", "", "a" * 999, "xyzé" * 77]
+    grams_ = op12.Grams.of(sorted({g for w in words for g in op12.grams_of(w)} | {g[:-1] for w in words for g in op12.grams_of(w)}), np.arange(1, 1 + len({g for w in words for g in op12.grams_of(w)} | {g[:-1] for w in words for g in op12.grams_of(w)})))
+    want = grams_.words(words)
+    for step in (1, 5, 64, 1000):
+        assert grams_.words(words, step) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_words_of_a_text_in_runs(size):
+    text = "One two,three_4 fünf\n" * 9 + "end" * 30 + " Ünï☃x"
+    assert [w for run in op12.words_of(text, size) for w in run] == re.findall(r"\w+", text.lower())
+    assert list(op12.words_of(None)) == [] and list(op12.words_of("")) == []
+
+
+def test_calibration():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=4000) * 0.01
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(-1 + 300 * x)))).astype(int)
+    a, b = op12.calibrated(x, y)
+    assert a == pytest.approx(-1, abs=0.15) and b == pytest.approx(300, rel=0.1)
+    a, b = op12.calibrated(np.array([-1.0, -2.0, 1.0, 2.0]), np.array([0, 0, 1, 1]))
+    assert np.isfinite([a, b]).all() and b > 0
