@@ -21,8 +21,8 @@ WIDTH, DEPTH = 1 << 26, 2
 BLOCK = 1 << 16
 #: Bytes of text whose words are looked at together (below 2**22, so that two word numbers fit into 63 bits).
 RUN = 4_000_000
-#: Phrases that a task holds before it hands them on.
-HELD = 600_000
+#: Phrases that a task holds before it hands them on; splits of the scan that it reads at most, once there are two tasks a core.
+HELD, SCANS = 1_000_000, 8
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Folds A to Z, makes separators line breaks and tabs spaces.
 _FOLD = bytes.maketrans(_SEPARATORS + b"\t" + bytes(range(65, 91)), b"\n" * len(_SEPARATORS) + b" " + bytes(range(97, 123)))
@@ -243,7 +243,8 @@ def counts(docs: DataFrame, longest: int = 4, min_count: int = 30, text: str = "
     """
     spark = docs.sparkSession
     rows = pick(docs, text, lang).toDF("x", "l").where("x is not null").select(F.coalesce("l", F.lit("und")).alias("lang"), F.col("x").cast("binary").alias("x"))
-    rows = rows.coalesce(4 * max(1, spark.sparkContext.defaultParallelism))
+    # a task's sketch is as large for many texts as for few, and phrases that meet in a task are moved once
+    rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // SCANS))
     with small_batches(spark):
         bits = spark.sparkContext.broadcast(sketch(rows, longest, min_count, width, depth))
         some = rows.mapInPandas(_survivors(bits, longest, width), "lang string, phrase string, n long")
