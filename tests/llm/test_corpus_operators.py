@@ -500,18 +500,19 @@ def test_bk_tree():
             assert sorted(tree.within(q, radius)) == sorted({v for v in values if (v ^ q).bit_count() <= radius})
 
 
-@pytest.mark.parametrize("radius,n,bits,count", [(2, 1000, 21, 3), (2, 10**10, 32, 6), (3, 10**8, 24, 10), (2, 10**12, 36, 10), (0, 10**9, 64, 1)])
+@pytest.mark.parametrize("radius,n,bits,count", [(2, 1000, 0, 1), (2, 10_000, 2, 3), (2, 10**9, 18, 3), (2, 10**10, 22, 6), (3, 10**8, 15, 4), (2, 10**12, 28, 6), (0, 10**9, 18, 1)])
 def test_masks(radius, n, bits, count):
+    """Shards have about SHARD_ROWS members, and near numbers agree in one set."""
     rng = random.Random(radius)
     found = op5_simhash.masks(radius, n)
-    assert len(found) == count and min(m.bit_count() for m in found) >= bits
+    assert len(found) == count and {m.bit_count() for m in found} == {bits} and (n >> bits) < 2 * op5_simhash.SHARD_ROWS
     for _ in range(300):
         a = rng.getrandbits(64)
         b = a ^ sum(1 << k for k in rng.sample(range(64), radius))
         assert any(a & m == b & m for m in found)
 
 
-@pytest.mark.parametrize("shard_rows", [0, 64])
+@pytest.mark.parametrize("shard_rows", [1, 16, 2048])
 @pytest.mark.parametrize("tree_rows", [5, 32_768])
 def test_simhash_links(spark, tree_rows, shard_rows, monkeypatch):
     rng = random.Random(4)
@@ -524,7 +525,7 @@ def test_simhash_links(spark, tree_rows, shard_rows, monkeypatch):
     assert all((a ^ b).bit_count() <= 2 for a, b in got)
     all_ = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2]
     assert components(got) == components(all_)
-    assert tree_rows == 5 or not shard_rows or len(got) < len(all_)
+    assert tree_rows == 5 or shard_rows < 2048 or len(got) < len(all_)
 
 
 @pytest.mark.parametrize("radius", [1, 2, 3])
@@ -554,6 +555,16 @@ def test_searches_leave_out_edges():
     assert tree.visited < 0.12 * 200 * len(tree.values)
 
 
+def test_trees_do_the_search(spark):
+    """On the given documents most fingerprints lie in large trees, and searches compare a small part of the pairs."""
+    rng = random.Random(17)
+    prints = [rng.getrandbits(64) for _ in range(9000)]
+    rows = common.materialize(spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long"), "prints")
+    got = op5_simhash.tree_work(rows).collect()
+    assert sum(r["nodes"] for r in got if r["nodes"] >= 500) > 0.9 * sum(r["nodes"] for r in got)
+    assert sum(r["compared"] for r in got) < 0.3 * sum(r["nodes"] * (r["nodes"] - 1) // 2 for r in got)
+
+
 def test_simhash(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [base + " zz", "other words here", base, base + " zz", None, "", base.replace("w7 ", "w8 ", 1), "   "]
@@ -789,6 +800,30 @@ def test_targets_of_many_sources(spark, seed):
     assert {r["src"]: r["target"] for r in op8_mixing.targets(table).collect()} == pytest.approx({"1" if s is None else f"0{s}": t for s, t in want.items()})
 
 
+@pytest.mark.parametrize("kind", ["large", "few", "ones"])
+def test_mixing_comes_near_its_targets(spark, kind):
+    """What a source misses is less than the least document that isn't taken (or the half of it), not the largest."""
+    rng = random.Random(kind)
+    texts, source = [], []
+    for s in "abcd":
+        sizes = {"large": [5000, 3000] + [rng.randrange(1, 60) for _ in range(80)], "few": [rng.randrange(1, 400) for _ in range(4)], "ones": [1] * 50 + [700]}[kind]
+        texts += ["w " * n for n in sizes]
+        source += [s] * len(sizes)
+    table = docs(spark, texts, source=source)
+    got = op8_mixing.mix(table)
+    same_as_sql(spark, got, op8_mixing.sql(), documents=table)
+    for s in "abcd":
+        rows = [r for r in got.collect() if source[r["doc_id"]] == s]
+        miss = abs(sum(r["taken"] for r in rows) - rows[0]["target"])
+        least = min([r["size"] for r in rows if r["size"] and r["copies"] == min(x["copies"] for x in rows)])
+        assert miss <= max(least, op8_mixing.NEAR * rows[0]["target"])
+
+
+def test_mixing_of_the_given_documents(spark):
+    got = op8_mixing.query(spark, "/root/testdata/sf0.01").groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got)
+
+
 def test_mixing_odd_rows(spark):
     got = op8_mixing.mix(odd(spark)).collect()
     assert len(got) == 9 and all(r["taken"] <= 2 * r["size"] for r in got)
