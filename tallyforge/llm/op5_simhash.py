@@ -16,8 +16,8 @@ from tallyforge.llm.common import Carried, connected_components, contents, mater
 SEED = 42
 #: Nodes of one tree at most. A larger shard is divided over further bits, see ``links``.
 TREE_ROWS = 32_768
-#: Members that a shard may have by chance alone.
-SHARD_ROWS = 64
+#: Nodes that a tree should have about: shards are dealt by as many bits as that takes.
+SHARD_ROWS = 2048
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -114,7 +114,7 @@ def _search(radius: int):
             keys, prints = rows["shard"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             ends = np.append(starts[1:], len(rows))
-            # most shards have one member and nothing to find, unless the batch before or after has more of the shard
+            # a shard of one member has nothing to find, unless the batch before or after has more of it
             some = ends - starts > 1
             some[[0, -1]] = True
             for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
@@ -136,19 +136,21 @@ def _pairs(out: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def masks(radius: int, n: int) -> list[int]:
-    """Sets of bits of which two numbers within the radius agree in one at least: ``equal`` of ``radius + equal`` blocks.
+    """Sets of bits of which two numbers within the radius agree in one at least: the leading bits of each of ``radius`` + 1 blocks.
 
-    More equal blocks mean more sets of more bits each, so smaller shards: as many as keep chance members below ``SHARD_ROWS`` a shard
-    for n numbers, up to 3.
+    As many leading bits as deal n numbers to shards of about ``SHARD_ROWS``, so nearly all of the search is left to the trees. Where a block
+    alone has too few, sets of 2 or 3 of more blocks have more.
     """
+    want = max(0, (max(1, n) // SHARD_ROWS).bit_length() - 1)
+    if not want:
+        return [0]  # one shard
     for equal in (1, 2, 3):
         blocks = radius + equal
         cuts = [64 * i // blocks for i in range(blocks + 1)]
-        part = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
-        found = [sum(c) for c in combinations(part, equal)]
-        if n >> min(m.bit_count() for m in found) < SHARD_ROWS:
+        sets = [[b for lo, hi in part for b in range(hi - 1, lo - 1, -1)] for part in combinations(list(zip(cuts, cuts[1:], strict=False)), equal)]
+        if min(map(len, sets)) >= want:
             break
-    return found
+    return [sum(1 << b for b in bits[:want]) for bits in sets]
 
 
 def _signed(mask: int) -> int:
@@ -172,7 +174,7 @@ def _blocks(bits: list[int], radius: int) -> list[int]:
 def shards(prints: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> list[DataFrame]:
     """Tables of (fp, shard) without a shard of more than ``tree_rows`` members: any two fingerprints within the radius meet in one shard at least.
 
-    Fingerprints within the radius agree in one of a few sets of bits (``masks``), so each goes to a shard a set. A larger shard is
+    Fingerprints within the radius agree in one of a few sets of leading bits (``masks``), so each goes to a shard a set. A larger shard is
     divided over bits in which its members may still differ: two of them within the radius also agree in one of radius + 1
     blocks of these. Each division leaves a third fewer free bits (at radius 2), and b free bits tell 2^b fingerprints apart at most, so after a
     few divisions no shard can be larger, whatever the data; no shard is compared whole with its parts. The driver sees the sets
@@ -202,6 +204,26 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def tree_work(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """(shard, nodes, compared): how large the trees of ``links`` are, and how many nodes all their searches compare; all pairs would be nodes x (nodes - 1) / 2."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, last = None, None
+        for rows in batches:
+            for key, fp in zip(rows["shard"].tolist(), rows["fp"].to_numpy(np.int64).view(np.uint64).tolist(), strict=True):
+                if key != last:
+                    if tree is not None:
+                        yield pd.DataFrame({"shard": [last], "nodes": [len(tree.values)], "compared": [tree.visited]})
+                    tree, last = BKTree(), key
+                tree.within(fp, radius)
+                tree.add(fp)
+        if tree is not None:
+            yield pd.DataFrame({"shard": [last], "nodes": [len(tree.values)], "compared": [tree.visited]})
+
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reduce(DataFrame.union, [s.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInPandas(run, "shard long, nodes long, compared long") for s in shards(prints, radius, TREE_ROWS)])
+
+
 def simhash(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits), component_id (smallest key reachable by links, itself included).
 
