@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from dataclasses import dataclass, field
-
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,32 +17,39 @@ STEP = 6
 EXACT = 10_000
 
 
-@dataclass
+class _Clockwise:
+    """``[a]``: all shards, as they come clockwise from arc a. Made for one arc when it is asked for."""
+
+    def __init__(self, owner: np.ndarray):
+        self.owner = owner
+
+    def __getitem__(self, arc: int) -> list[int]:
+        return list(dict.fromkeys(np.roll(self.owner, -arc).tolist()))
+
+
 class Ring:
-    """Virtual nodes on a circle of ``cells`` places. ``owners[a][k]``: the k-th distinct shard clockwise from arc a."""
-
-    shards: int
-    vnodes: int = 128
-    seed: int = 42
-    bits: int = 0
-    cells: int = 0
-    arc_of_cell: list[int] = field(default_factory=list)
-    owners: list[list[int]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.bits = max(8, (8 * self.shards * self.vnodes - 1).bit_length())  # the upper ones of a hash: a finer circle keeps the order of places
+    """Virtual nodes on a circle of ``cells`` places. ``owner[a]``: the shard of the node that ends arc a; ``owners[a]``: the shards clockwise from there."""
+
+    def __init__(self, shards: int, vnodes: int = 128, seed: int = 42):
+        self.shards, self.vnodes, self.seed = shards, vnodes, seed
+        self.bits = max(8, (8 * shards * vnodes - 1).bit_length())  # the upper ones of a hash: a finer circle keeps the order of places
         self.cells = 1 << self.bits
         places: dict[int, int] = {}
-        for s in range(self.shards):
-            for v in range(self.vnodes):
-                at = xxhash.xxh64_intdigest(f"{s}#{v}", seed=self.seed) >> (64 - self.bits)
+        for s in range(shards):
+            for v in range(vnodes):
+                at = xxhash.xxh64_intdigest(f"{s}#{v}", seed=seed) >> (64 - self.bits)
                 while at in places:
                     at = (at + 1) % self.cells
                 places[at] = s
-        nodes = sorted(places)
-        self.arc_of_cell = [bisect_left(nodes, c) % len(nodes) for c in range(self.cells)]
-        clockwise = [places[n] for n in nodes]
-        self.owners = [list(dict.fromkeys(clockwise[a:] + clockwise[:a])) for a in range(len(nodes))]
+        nodes = np.array(sorted(places), np.int64)
+        self.owner = np.array([places[n] for n in nodes.tolist()], np.int32)
+        self.arc_of_cell = (np.searchsorted(nodes, np.arange(self.cells)) % len(nodes)).astype(np.int32)
+        self.owners = _Clockwise(self.owner)
+
+    def route(self, open_: np.ndarray) -> np.ndarray:
+        """The first open shard clockwise from each arc: that of the next node whose shard is open."""
+        nodes = np.flatnonzero(open_[self.owner])
+        return self.owner[nodes[np.searchsorted(nodes, np.arange(len(self.owner))) % len(nodes)]]
 
 
 def _arrival(size: Column, h: Column, small: int) -> Column:
@@ -61,25 +66,22 @@ class _Loads:
 
     def __init__(self, keys: DataFrame, ring: Ring, total: int, slack: float, small: int):
         self.keys, self.ring, self.large = keys, ring, 63 - small
-        self.owners = np.array(ring.owners)
         self.mean = total / ring.shards
         self.even, self.tolerance = (1 + slack) * self.mean, slack / 2 * self.mean
         self.cap, self.last = self.even, -1
         self.load = np.zeros(ring.shards)
         self.open = np.ones(ring.shards, bool)
-        self.breaks: list[tuple[int, tuple[int, ...]]] = []
-        self.now = self._route()
-        self._note(0)
-
-    def _route(self) -> np.ndarray:
-        return self.owners[np.arange(len(self.owners)), self.open[self.owners].argmax(axis=1)]
+        self.now = ring.route(self.open)
+        self.noted = self.now
+        self.routes: list[list[tuple[int, int]]] = [[(0, s)] for s in self.now.tolist()]
 
     def _note(self, start: int) -> None:
-        to = tuple(int(x) for x in self.now)
-        if self.breaks and self.breaks[-1][0] == start:
-            self.breaks.pop()
-        if not self.breaks or self.breaks[-1][1] != to:
-            self.breaks.append((start, to))
+        """Note, of the arcs that lead to another shard than before, that they do from this arrival on."""
+        for arc in np.flatnonzero(self.now != self.noted).tolist():
+            if self.routes[arc][-1][0] == start:
+                self.routes[arc].pop()
+            self.routes[arc].append((start, int(self.now[arc])))
+        self.noted = self.now
 
     def _count(self, low: int, shift: int, within: int) -> list[tuple[int, np.ndarray, int]]:
         """(part, bytes by arc, keys) of the parts of 2**shift arrivals among the 2**within from low on."""
@@ -87,21 +89,21 @@ class _Loads:
         rows = at.groupBy(F.shiftrightunsigned("t", shift).alias("part"), "arc").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toArrow().to_pydict()
         parts: dict[int, tuple[np.ndarray, int]] = {}
         for part, arc, size, n in zip(rows["part"], rows["arc"], rows["size"], rows["n"], strict=True):
-            sums, k = parts.get(part) or (np.zeros(len(self.owners)), 0)
+            sums, k = parts.get(part) or (np.zeros(len(self.ring.owner)), 0)
             sums[arc] += size
             parts[part] = sums, k + n
         return [(p, *parts[p]) for p in sorted(parts)]
 
-    def play(self, low: int = 0, shift: int = CLASS_SHIFT, within: int = 63) -> list[tuple[int, tuple[int, ...]]]:
+    def play(self, low: int = 0, shift: int = CLASS_SHIFT, within: int = 63) -> list[list[tuple[int, int]]]:
         for part, sums, n in self._count(low, shift, within):
             if within == 63:
                 if self.last < self.large:  # smaller rows may fit where larger ones didn't, and room made for those ends here
                     self.open[:], self.cap = True, self.even
                 self.last = part
-                self.now = self._route()
+                self.now = self.ring.route(self.open)
                 self._note(part << shift)
             self._take(part << shift, shift, sums, n)
-        return self.breaks
+        return self.routes
 
     def _take(self, start: int, shift: int, sums: np.ndarray, n: int) -> None:
         while True:
@@ -117,21 +119,13 @@ class _Loads:
             if not self.open.any():  # no shard has room for keys of this size: as little more room as they need
                 self.open[:] = True
                 self.cap += more.max()
-            self.now = self._route()
+            self.now = self.ring.route(self.open)
             self._note(start)
 
 
-def _looked_up(values: list[int] | tuple[int, ...], index: Column) -> Column:
-    """values[index]. The list is one text to the analyser, which folds it to one array; an array of literals costs a node each."""
-    return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), index + 1).cast("int")
-
-
-def _choose(at: Column, breaks: list[tuple[int, tuple[int, ...]]], arc: Column) -> Column:
-    """The shard: a binary search over the breaks as nested conditions, then a lookup by arc."""
-    if len(breaks) == 1:
-        return _looked_up(breaks[0][1], arc)
-    mid = len(breaks) // 2
-    return F.when(at < F.lit(breaks[mid][0]), _choose(at, breaks[:mid], arc)).otherwise(_choose(at, breaks[mid:], arc))
+def _table(spark: SparkSession, **columns: list | np.ndarray) -> DataFrame:
+    """A table by arc or cell, written, so that its size is known where it is joined."""
+    return materialize(spark.createDataFrame(pa.table(columns)), "shard-ring", small=True)
 
 
 def shard(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float = 0.002, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,14 +155,13 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float = 0.
     small = max(0, int(slack / 2 * total / shards).bit_length() - 1)
     own = F.xxhash64("alike", "copy")
     cell = F.shiftrightunsigned(F.xxhash64(F.when(F.col(key).isNull(), own).otherwise(F.xxhash64(F.col(key))), F.lit(seed)), 64 - ring.bits).cast("int")
-    keys = materialize(
-        with_copy(facts).select(F.col(key), "size", "text_crc32", own.alias("h"), cell.alias("cell"))
-        .select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h"), small).alias("t"), _looked_up(ring.arc_of_cell, F.col("cell")).alias("arc")),
-        "shard-keys",
-    )
-    breaks = _Loads(keys, ring, total, slack, small).play()
-    home = _looked_up([o[0] for o in ring.owners], F.col("arc"))
-    placed = keys.withColumn("shard", _choose(F.col("t"), breaks, F.col("arc"))).withColumn("home_shard", home).withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
+    cells = _table(docs.sparkSession, _c=np.arange(ring.cells, dtype=np.int32), arc=ring.arc_of_cell)
+    keyed = with_copy(facts).select(F.col(key), "size", "text_crc32", own.alias("h"), cell.alias("cell"))
+    keys = materialize(keyed.join(cells, keyed["cell"] == cells["_c"]).select(key, "size", "text_crc32", _arrival(F.col("size"), F.col("h"), small).alias("t"), "arc"), "shard-keys")
+    routes = _Loads(keys, ring, total, slack, small).play()
+    arcs = _table(docs.sparkSession, _a=np.arange(len(routes), dtype=np.int32), home_shard=ring.owner, _starts=[[t for t, _ in r] for r in routes], _to=[[s for _, s in r] for r in routes])
+    passed = F.size(F.filter("_starts", lambda t: t <= F.col("t")))  # starts ascend
+    placed = keys.join(arcs, keys["arc"] == arcs["_a"]).withColumn("shard", F.element_at("_to", passed).cast("int")).drop("_a", "_starts", "_to").withColumn("r", F.col("t").bitwiseAND(F.lit((1 << CLASS_SHIFT) - 1)))
     ranked = gapless_rank(placed, "shard", "r", CLASS_SHIFT, "slot", (key, "text_crc32", "size"))
     return ranked.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
