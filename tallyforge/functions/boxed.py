@@ -2,8 +2,7 @@ r"""What stands in ``\boxed{...}``: six extractors that disagree on nesting and
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from tallyforge.functions.numbers import let
 from tallyforge.functions.text import extracted, strip
@@ -45,42 +44,50 @@ def without_leftover_mark(c: Column) -> Column:
     return F.when(c.contains("\\boxed"), F.rtrim(F.replace(c, F.lit(MARK), F.lit("")), F.lit("}"))).otherwise(c)
 
 
-def scan(text: str | None) -> list[str] | None:
-    """All contents with balanced braces, from left to right; one that never closes ends the search behind its mark."""
-    if text is None:
-        return None
-    found, at = [], 0
-    while (start := text.find(MARK, at)) >= 0:
-        at = start = start + len(MARK)
-        depth = 1
-        while depth:
-            opening, closing = text.find("{", at), text.find("}", at)
-            if closing < 0:
-                return found
-            nested = 0 <= opening < closing
-            depth, at = depth + (1 if nested else -1), (opening if nested else closing) + 1
-        found.append(text[start : at - 1])
-    return found
+#: Fixed value: where a text is parted for folds over braces, behind each of them. A mark is the end of a part.
+BEHIND_BRACES = r"(?<=[{}])"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def all_balanced(texts: pd.Series) -> pd.Series:
-    """``scan`` of each text. Braces nest without bound, which no regular expression follows, so this runs in Arrow batches."""
-    return texts.map(scan)
+def _parts(c: Column) -> Column:
+    return F.split(c, BEHIND_BRACES)
+
+
+def all_balanced(c: Column) -> Column:
+    """All contents with balanced braces, from left to right; one that never closes ends the search behind its mark.
+
+    Braces nest without bound, which no regular expression follows. This folds over the parts between braces, so a step a brace, not a character,
+    keeps depth and places, and cuts the contents out at the end. It stays in the JVM. Texts without a mark aren't folded.
+    """
+    spot = "array<struct<begin: int, size: int>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast(spot).alias("found"))
+
+    def step(s: Column, part: Column) -> Column:
+        inside, at = s["depth"] > 0, s["at"] + F.length(part)
+        mark = ~inside & part.endswith(MARK)
+        depth = F.when(mark, 1).when(~inside, 0).when(part.endswith("{"), s["depth"] + 1).when(part.endswith("}"), s["depth"] - 1).otherwise(s["depth"])
+        box = F.struct((s["begin"] + 1).alias("begin"), (at - s["begin"] - 1).alias("size"))
+        found = F.when((s["depth"] == 1) & part.endswith("}"), F.concat(s["found"], F.array(box))).otherwise(s["found"])
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(mark, at).otherwise(s["begin"]).alias("begin"), found.alias("found"))
+
+    def boxes(text: Column) -> Column:
+        return F.transform(F.aggregate(_parts(text), start, step, lambda s: s["found"]), lambda b: F.substring(text, b["begin"], b["size"]))
+
+    return F.when(c.contains(MARK), let(c, boxes)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def last_balanced(c: Column) -> Column:
     """What follows the last mark up to its own closing brace; null without a mark or if it isn't closed.
 
-    A fold over the characters behind the last mark; it stays in the JVM.
+    A fold over the parts between braces behind the last mark; it stays in the JVM.
     """
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
-    def step(s: Column, ch: Column) -> Column:
-        depth = s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), F.when((s["end"] < 0) & (depth == 0), s["at"]).otherwise(s["end"]).alias("end"))
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + F.length(part)
+        depth = s["depth"] + F.when(part.endswith("{"), 1).when(part.endswith("}"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] < 0) & (depth == 0), at - 1).otherwise(s["end"]).alias("end"))
 
     def closed(tail: Column) -> Column:
-        return let(F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"]), lambda end: F.when(tail.contains("}") & (end >= 0), F.left(tail, end)))
+        return let(F.aggregate(_parts(tail), start, step, lambda s: s["end"]), lambda end: F.when(end >= 0, F.left(tail, end)))
 
     return let(F.when(c.contains(MARK), F.substring_index(c, MARK, -1)), closed)

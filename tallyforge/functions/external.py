@@ -5,7 +5,9 @@ Each runs in Arrow batches on the executors; an error of one row becomes that ro
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -72,22 +74,34 @@ def generate(rows: DataFrame, prompt: str, model: Callable[[list[str]], Iterable
     return rows.mapInPandas(run, schema)
 
 
-def remote_map(rows: DataFrame, prompt: str, call: Callable[[str], str], workers: int | None = None) -> DataFrame:
-    """Rows with ``user_content``, ``response`` and ``error``: a null or empty prompt and a failed call give an error, not a lost row."""
+def remote_map(rows: DataFrame, prompt: str, call: Callable[[str], str], workers: int | None = None, in_flight: int = 8, retries: int = 0) -> DataFrame:
+    """Rows with ``user_content``, ``response`` and ``error``: a null or empty prompt and a failed call give an error, not a lost row.
+
+    A task has at most ``in_flight`` calls under way, and gives rows back in their order as calls end: one that is slow holds up what is given out, not the
+    calls behind it, up to that bound. A call that fails is tried ``retries`` times more.
+    """
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.StringType()) for n in ("user_content", "response", "error"))])
 
     def one(text: str | None) -> tuple[str | None, str | None, str | None]:
         if not text:
             return None, None, "No user message found"
-        try:
-            return text, call(text), None
-        except Exception as e:
-            return text, None, str(e)
+        for left in range(retries, -1, -1):
+            try:
+                return text, call(text), None
+            except Exception as e:
+                if not left:
+                    return text, None, str(e)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            got = [one(t) for t in part[prompt]]
-            yield part.assign(**{n: pd.Series([g[i] for g in got], index=part.index, dtype="object") for i, n in enumerate(("user_content", "response", "error"))})
+        with ThreadPoolExecutor(in_flight) as pool:
+            for part in parts:
+                got, waiting = [], deque()
+                for text in part[prompt]:
+                    if len(waiting) == in_flight:
+                        got.append(waiting.popleft().result())
+                    waiting.append(pool.submit(one, text))
+                got += [w.result() for w in waiting]
+                yield part.assign(**{n: pd.Series([g[i] for g in got], index=part.index, dtype="object") for i, n in enumerate(("user_content", "response", "error"))})
 
     return (rows.repartition(workers) if workers else rows).mapInPandas(run, schema)
 

@@ -15,14 +15,15 @@ def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def answered(responses: DataFrame, requests: DataFrame, answers: DataFrame, order: str = "row_id", present: Column | None = None) -> DataFrame:
     """Responses (custom_id, ...) with ``question`` of their request and ``gold`` of that question.
 
-    Requests are (custom_id, question, order), answers (question, gold, order); duplicates on these sides: the last wins.
+    Requests are (custom_id, question, order), answers (question, gold, order); of duplicates on these sides the last one that has a question or
+    gold wins: one without doesn't undo an earlier one.
     Responses with an empty or unknown id or a question without gold are left out, and those for which ``present`` (say, a box in the
     text) isn't true; repeated responses stay.
     """
     if present is not None:
         responses = responses.where(present)
-    asked = last_wins(requests, "custom_id", "question", order)
-    known = last_wins(answers, "question", "gold", order).where("gold is not null")
+    asked = last_wins(requests.where("question is not null"), "custom_id", "question", order)
+    known = last_wins(answers.where("gold is not null"), "question", "gold", order)
     return responses.where(F.col("custom_id") != "").join(asked, "custom_id").join(known, "question")
 
 

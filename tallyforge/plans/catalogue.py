@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from tallyforge.functions import arrays, boxed, equivalence, external, numbers, rewards, text
-from tallyforge.operators import collate, conversations, evaluation, jobs, joins, logs, passrate, prompts, requests, scoring, sets, splits
+from tallyforge.functions import arrays, boxed, equivalence, external, numbers, records, rewards, text
+from tallyforge.operators import collate, conversations, evaluation, jobs, joins, logs, passrate, prompts, remote, requests, scoring, sets, splits
 from tallyforge.operators.ordinals import dense, shuffled
 from tallyforge.plans import fixtures as fx, rules
 from tallyforge.plans.fixtures import table
 from tallyforge.sources import readers, scratch, writers
+from tallyforge.streaming import chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -631,7 +633,7 @@ def cached_splits(spark: SparkSession, d: str) -> DataFrame:
 def filtered_by_source(spark: SparkSession, d: str) -> DataFrame:
     kept = requests.within_usage(table(spark, d, "documents").select("doc_id", "source", "n_chars"), F.col("n_chars"))
     at = scratch.folder(spark, "by-source")
-    writers.by_source(kept.withColumn("source_file", F.concat(F.lit("in/"), F.col("source"), F.lit(".jsonl"))).drop("source"), at)
+    writers.by_source(kept.withColumn("source_file", F.concat(F.lit("in/"), F.col("source"), F.lit(".jsonl"))).drop("source"), at, root="in")
     return spark.read.schema("doc_id long, n_chars long, output string").json(at).groupBy("output").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -836,3 +838,127 @@ def batch_job(spark: SparkSession, d: str) -> DataFrame:
     (client,) = jobs.Registry(echo=_Echo).build(["echo"], spark=spark)
     done = jobs.run(client, at, out, f"{out}-errors", sleep=lambda s: None)
     return requests.flatten(spark.read.json(done.output)).select("custom_id", "message.content", F.lit(done.status).alias("status"))
+
+
+# Files of documents, and records of mixed shape
+
+
+@query("select doc_id, source, md5('\"' || text || chr(10) || '\",' || lang) as text_md5 from documents")
+def csv_documents(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "csv-documents")
+    told = F.concat(F.lit('"'), "text", F.lit('\n",'), "lang")
+    writers.csv(table(spark, d, "documents").select("doc_id", "source", told.alias("told")), at)
+    return readers.csv(spark, at, "doc_id long, source string, told string").select("doc_id", "source", F.md5("told").alias("text_md5"))
+
+
+@query("select doc_id, md5('}{\"' || text) as text_md5, source as inner_source, n_chars from documents")
+def json_array_documents(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "json-documents")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit('}{"'), "text").alias("told"), F.struct("source", F.array(F.struct("n_chars")).alias("sizes")).alias("about"))
+    writers.json_array(rows, at)
+    return readers.json_array(spark, at, rows.schema).select("doc_id", F.md5("told").alias("text_md5"), F.col("about.source").alias("inner_source"), F.col("about.sizes")[0]["n_chars"].alias("n_chars"))
+
+
+@query("select doc_id, n_chars from documents")
+def arrow_documents(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "arrow-documents")
+    writers.arrow_files(table(spark, d, "documents").select("doc_id", "text", "n_chars"), at)
+    return readers.arrow_files(spark, at, ["doc_id", "n_chars"])
+
+
+@query("select p_partkey, p_name from part")
+def load_of_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "part").select("p_partkey", "p_name"), scratch.folder(spark, "lists")
+    for k in range(3):
+        writers.dump(rows.where(F.col("p_partkey") % 4 == k), f"{at}/{k}", "parquet")
+    writers.arrow_files(rows.where("p_partkey % 4 = 3"), f"{at}/3")
+    return readers.load(spark, [f"{at}/{k}" for k in range(4)], kind="parquet")
+
+
+@query("select 'request-' || p_partkey as custom_id, 'part ' || (p_partkey % 1000) as question, g.gold from part join (select p_partkey % 1000 as q, max_by(p_size, p_partkey)::varchar as gold from part where p_partkey % 7 <> 0 group by 1) g on q = p_partkey % 1000")
+def last_matching_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Of a question's answers, of which some have no number, the last that has one counts."""
+    p = table(spark, d, "part")
+    asked = F.concat(F.lit("part "), (F.col("p_partkey") % 1000).cast("string")).alias("question")
+    ids, answer = F.concat(F.lit("request-"), F.col("p_partkey").cast("string")).alias("custom_id"), F.when(F.col("p_partkey") % 7 == 0, "none").otherwise(F.concat(F.lit("#### "), F.col("p_size").cast("string")))
+    answers = p.select(asked, text.marked_answer(answer).alias("gold"), F.col("p_partkey").alias("row_id"))
+    return joins.answered(p.select(ids), p.select(ids, asked, F.col("p_partkey").alias("row_id")), answers).select("custom_id", "question", "gold")
+
+
+@query("select 'in/' || lang || '/data_filtered.jsonl' as output, count(*) as n, sum(doc_id)::bigint as ids from documents where lang is not null group by 1")
+def filtered_by_folder(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("lang is not null").select("doc_id", F.concat(F.lit("in/"), "lang", F.lit("/data.jsonl")).alias("source_file"))
+    at = scratch.folder(spark, "by-folder")
+    writers.by_source(rows, at)
+    return spark.read.schema("doc_id long, output string").json(at).groupBy("output").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("select 'train' as split, count(*) as n from part union all select 'val', 0")
+def cached_empty_split(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch.folder(spark, "empty-split")
+    writers.splits(table(spark, d, "part").withColumn("split", F.lit("train")), at, names=("train", "val"))
+    there = readers.cached(spark, at, ("train", "val"))
+    return sets.concat([rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("split"), "n") for name, rows in there.items()])
+
+
+@query("""select conv_id, turn, case turn % 5 when 0 then text when 1 then 'None' when 2 then 'True' when 3 then '' else conv_id::varchar end as gold,
+  turn % 5 = 4 as has_instruction from conversations where conv_id % 11 <> 0""")
+def key_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Records of five shapes: a text, an explicit null before another field, another field only, neither, a number; and lines that aren't JSON."""
+    c, at = table(spark, d, "conversations"), scratch.folder(spark, "shapes")
+    ids = F.concat(F.lit('{"conv_id": '), F.col("conv_id").cast("string"), F.lit(', "turn": '), F.col("turn").cast("string"))
+    quoted = F.get(F.regexp_extract_all(F.to_json(F.struct("text")), F.lit(r'(?s)^\{"text":(.*)\}$'), F.lit(1)), F.lit(0))
+    more = (
+        F.when(F.col("turn") % 5 == 0, F.concat(F.lit(', "reference": '), quoted)).when(F.col("turn") % 5 == 1, ', "reference": null, "answer": "x"')
+        .when(F.col("turn") % 5 == 2, ', "answer": true').when(F.col("turn") % 5 == 3, ', "other": {"reference": 1}').otherwise(F.concat(F.lit(', "reference": '), F.col("conv_id").cast("string"), F.lit(', "instruction": null')))
+    )
+    writers.log_lines(c, F.concat(ids, more, F.when(F.col("conv_id") % 11 == 0, "").otherwise("}")), at, append=False)
+    rows = readers.json_records(spark, at).where("record is not null")
+    number = lambda n: F.try_variant_get("record", f"$.{n}", "long").alias(n)
+    return rows.select(number("conv_id"), number("turn"), records.first_text(F.col("record"), "reference", "answer").alias("gold"), records.has(F.col("record"), "instruction").alias("has_instruction"))
+
+
+@query("select count(*) as total, count(*) filter ((conv_id + turn) % 7 <> 0 and length(text) <= 80) as kept, count(*) filter ((conv_id + turn) % 7 <> 0 and length(text) > 80) as discarded, count(*) filter ((conv_id + turn) % 7 = 0) as bad, count(*) filter ((conv_id + turn) % 7 <> 0 and length(text) <= 80) as written from conversations")
+def observed_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), scratch.folder(spark, "observed")
+    line = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, '{"conv_id": 1, "te').otherwise(F.to_json(F.struct(*rows.columns)))
+    writers.log_lines(rows, line, f"{at}/in", append=False)
+    scan = readers.json_lines(spark, f"{at}/in", rows.schema, bad="keep")
+    seen = writers.filtered(scan, F.length("text") <= 80, f"{at}/out", bad=F.col("_corrupt_record").isNotNull())
+    written = spark.read.schema(rows.schema).json(f"{at}/out").agg(F.count("*").alias("written"))
+    return written.select(*[F.lit(seen[n]).cast("long").alias(n) for n in ("total", "kept", "discarded", "bad")], "written")
+
+
+@query("select p_partkey, p_name, 'b/' || (p_partkey % 3) as batch from part")
+def append_batches_twice(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = table(spark, d, "part").select("p_partkey", "p_name"), scratch.folder(spark, "appended")
+    for k in (0, 1, 0, 2, 1):
+        writers.append_once(rows.where(F.col("p_partkey") % 3 == k), at, f"b/{k}")
+    return readers.appended(spark, at, rows.schema)
+
+
+@query(SQL["remote_map"])
+def remote_map_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A first run that is cut off asks a part of the rows; the second one the rest."""
+    asked = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("prompt"))
+    at = scratch.folder(spark, "ledger")
+    remote.mapped_once(asked.where("conv_id % 3 = 0"), "id", "prompt", _answer, at, steps=2)
+    return remote.mapped_once(asked, "id", "prompt", _answer, at, steps=2).drop("id", "prompt")
+
+
+@query("""select conv_id::varchar as response_id, coalesce(string_agg(case when role = 'user' and turn % 4 <> 3 then text end, '' order by turn), '') as reasoning,
+  coalesce(string_agg(case when role <> 'user' and turn % 4 <> 3 then text end, '' order by turn), '') as content, count(*) as chunks, true as complete from (select distinct on (conv_id, turn) * from conversations) group by 1""")
+def chunk_fold_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a conversation as chunks of a response, in two waves of files that a stream reads one after the other."""
+    c = table(spark, d, "conversations")
+    reasoning, end = F.when(F.col("role") == "user", F.col("text")), F.max("turn").over(Window.partitionBy("conv_id"))
+    seq = F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    choice = F.struct(reasoning.alias("reasoning"), F.when(F.col("role") != "user", F.col("text")).alias("content"))
+    rows = c.select(F.col("conv_id").cast("string").alias("response_id"), seq.cast("long").alias("seq"), F.when(F.col("turn") % 4 == 3, F.array().cast("array<struct<reasoning:string,content:string>>")).otherwise(F.array(choice)).alias("choices"), (F.col("turn") == end).alias("last"))
+    at = scratch.folder(spark, "chunks")
+    rows.where("seq % 2 = 1").write.json(f"{at}/in/wave=1")
+    for _ in range(2):
+        chunks.run(spark, f"{at}/in/*", f"{at}/out", f"{at}/checkpoint")
+        rows.where("seq % 2 = 0").write.mode("ignore").json(f"{at}/in/wave=2")
+    chunks.run(spark, f"{at}/in/*", f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(chunks.RESPONSE).parquet(f"{at}/out")

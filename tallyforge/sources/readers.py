@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from tallyforge.sources import scratch
+from tallyforge.functions import records
+from tallyforge.sources import arrow, scratch, splitting
 
 Schema = T.StructType | str
 CORRUPT = "_corrupt_record"
+#: Folder of what a finished write of splits states about itself.
+MANIFEST = "manifest"
 
 
 def paths(text: str | Iterable[str]) -> list[str]:
@@ -31,14 +35,13 @@ def existing(spark: SparkSession, candidates: Iterable[str]) -> list[str]:
 
 
 def csv(spark: SparkSession, path: str | list[str], schema: Schema | None = None) -> DataFrame:
-    """CSV with a header, quoted fields over several lines, doubled quotes. Without a schema, types are inferred (another pass)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    """CSV with a header, quoted fields over several lines, doubled quotes, read in splits. Without a schema, types are inferred (another pass)."""
+    return splitting.csv(spark, path, schema)
 
 
 def csv_strings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV with every field as text."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """CSV with every field as text, read in splits."""
+    return splitting.csv(spark, path, infer=False)
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: Schema, bad: str = "fail") -> DataFrame:
@@ -54,9 +57,15 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: Schema, bad:
     return spark.read.schema(schema).option("mode", modes[bad]).json(path)
 
 
-def json_array(spark: SparkSession, path: str | list[str], schema: Schema) -> DataFrame:
-    """A file that is one array of objects, or one object. Of a file of JSON lines it would give the first only."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON lines of any shapes: value (the line) and record (``VARIANT``, null for a line that isn't JSON), blank lines left out. See ``functions.records``."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", records.parsed(F.col("value")).alias("record"))
+
+
+def json_array(spark: SparkSession, path: str | list[str], schema: Schema | None = None) -> DataFrame:
+    """Files that are one array of objects each, or objects one after the other, read in splits; anything else fails. Without a schema, it is inferred (another pass)."""
+    return splitting.json_array(spark, path, schema)
 
 
 def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -73,78 +82,75 @@ def parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths(path))
 
 
-#: How files of Arrow's file format and of Parquet begin. Arrow streams have no mark of their own.
-ARROW_MAGIC, PARQUET_MAGIC = b"ARROW1", b"PAR1"
-
-
-def _opened(content: bytes):
-    import pyarrow as pa
-
-    return pa.ipc.open_file(content) if content.startswith(ARROW_MAGIC) else pa.ipc.open_stream(content)
+#: Fixed value: how Parquet files begin.
+PARQUET_MAGIC = b"PAR1"
 
 
-def _arrow_schema(start: bytes) -> T.StructType:
-    """The schema, which stands at the beginning: of a stream at once, of a file after eight bytes."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import from_arrow_schema
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files with data of a path or glob, by name: itself, or those in a folder that aren't hidden."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for found in system.globStatus(at) or []:
+        inside = system.listStatus(found.getPath()) if found.isDirectory() else [found]
+        out += [f.getPath().toString() for f in inside if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
+    return sorted(out)
 
-    return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(start[8:] if start.startswith(ARROW_MAGIC) else start)))
 
+def arrow_files(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Arrow IPC files or streams: single ones, those of globs, or all ``*.arrow`` of folders (all files of a folder that has none).
 
-def arrow_files(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files or streams: one, those of a glob, or all ``*.arrow`` of a folder. Each is read whole by one task (2 GB at most)."""
-    reader = spark.read.format("binaryFile")
-    files = (reader if path.endswith(".arrow") or not existing(spark, [f"{path}/*.arrow"]) else reader.option("pathGlobFilter", "*.arrow")).load(path)
-    start = files.select(F.substring("content", 1, 1 << 20).alias("start")).first()
-    if start is None:
+    A few record batches are a partition, planned from the files' footers, so a file of any size is read by many tasks; a stream, which has no
+    footer, by one, batch by batch. Only ``columns`` are decoded. All files must have one schema.
+    """
+    spark.dataSource.register(arrow.ArrowSource)
+    uris = []
+    for one in paths(path):
+        found = _files(spark, one)
+        uris += [f for f in found if f.endswith(".arrow")] or found
+    if not uris:
         raise FileNotFoundError(f"no Arrow file at {path}")
-
-    def batches(parts):
-        for part in parts:
-            for content in part.column(0):
-                reader = _opened(content.as_py())
-                yield from (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else reader
-
-    return files.select("content").mapInArrow(batches, _arrow_schema(bytes(start["start"])))
+    reader = spark.read.format(arrow.ArrowSource.name()).option("uris", json.dumps([arrow.uri_of(u) for u in uris]))
+    return (reader if columns is None else reader.option("columns", json.dumps(columns))).load()
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 6) -> bytes:
     """The first bytes of the file, or of the first one with data in the folder or glob."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in system.globStatus(at) or []:
-        inside = system.listStatus(found.getPath()) if found.isDirectory() else [found]
-        for f in sorted(inside, key=lambda f: f.getPath().getName()):
-            if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._":
-                stream = system.open(f.getPath())
-                try:
-                    return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
-                finally:
-                    stream.close()
-    raise FileNotFoundError(f"no file with data at {path}")
+    found = _files(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no file with data at {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(found[0])
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
+    finally:
+        stream.close()
 
 
-def columnar(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or Arrow, told by how the first file begins; what isn't Parquet is read as Arrow, and fails if it isn't."""
-    return spark.read.parquet(path) if existing(spark, [f"{path}/*=*"]) or first_bytes(spark, path).startswith(PARQUET_MAGIC) else arrow_files(spark, path)
+def columnar(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Parquet or Arrow, told path by path by how the first file begins; what isn't Parquet is read as Arrow, and fails if it isn't."""
+    wanted = paths(path)
+    of_parquet = [p for p in wanted if existing(spark, [f"{p}/*=*"]) or first_bytes(spark, p).startswith(PARQUET_MAGIC)]
+    parts = [read(spark, some) for read, some in ((parquet, of_parquet), (arrow_files, [p for p in wanted if p not in of_parquet])) if some]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def load(spark: SparkSession, path: str | list[str], schema: Schema | None = None, kind: str | None = None, bad: str = "fail") -> DataFrame:
-    """One entry for all formats, by ``kind`` or the path's extension: csv, jsonl, json (an array), txt, parquet, arrow."""
+    """One entry for all formats, by ``kind`` or the (first) path's extension: csv, jsonl, json (an array), txt, parquet, arrow. All of a list of paths count."""
     first = path if isinstance(path, str) else path[0]
     kind = kind or {"ndjson": "jsonl", "text": "txt"}.get(ext := first.rstrip("/*").rpartition(".")[2].lower(), ext)
     if kind == "csv":
         return csv(spark, path, schema)
-    if kind in ("jsonl", "json"):
-        if schema is None:
-            schema = spark.read.option("multiLine", kind == "json").json(path).schema
-        return json_lines(spark, path, schema, bad) if kind == "jsonl" else json_array(spark, path, schema)
+    if kind == "jsonl":
+        return json_lines(spark, path, schema or spark.read.json(path).schema, bad)
+    if kind == "json":
+        return json_array(spark, path, schema)
     if kind == "txt":
         return text_lines(spark, path)
     if kind == "arrow":
-        return arrow_files(spark, first)
+        return arrow_files(spark, path)
     if kind == "parquet":
-        return columnar(spark, first)
+        return columnar(spark, path)
     raise ValueError(f"no reader for {kind!r}")
 
 
@@ -184,6 +190,32 @@ def dataset(spark: SparkSession, name: str, split: str | None = None) -> DataFra
 
 
 def cached(spark: SparkSession, path: str, names: tuple[str, ...] = ("train", "val", "test")) -> dict[str, DataFrame] | None:
-    """Split tables written before, if all are there."""
-    at = [f"{path}/split={n}" for n in names]
-    return {n: spark.read.parquet(p) for n, p in zip(names, at, strict=True)} if len(existing(spark, at)) == len(names) else None
+    """Split tables that ``writers.splits`` wrote, if it finished and all are there; a split without rows is an empty table.
+
+    The manifest, written last, names the splits and their rows; what a write that failed has left has none and doesn't count.
+    """
+    if not existing(spark, [f"{path}/{MANIFEST}/_SUCCESS"]):
+        return None
+    listed = {r["split"]: r["n"] for r in spark.read.schema("split string, n long, column string, kind string").json(f"{path}/{MANIFEST}").collect()}
+    if not set(names) <= set(listed):
+        return None
+    about = spark.read.schema("split string, n long, column string, kind string").json(f"{path}/{MANIFEST}").first()
+    empty = spark.createDataFrame([], T.StructType.fromJson(json.loads(about["kind"])))
+    return {n: spark.read.schema(empty.schema).parquet(f"{path}/data/{about['column']}={n}") if listed[n] else empty for n in names}
+
+
+#: Folders of what an appended table holds: rows by batch, and a mark for each batch that was written to its end.
+ROWS, COMMITS = "rows", "commits"
+
+
+def appended(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
+    """Rows that ``writers.append_once`` wrote, with ``batch``, each batch once: only files count whose batch was committed, by the attempt that was."""
+    if not existing(spark, [f"{path}/{COMMITS}/*"]):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("string"))
+    done = spark.read.schema("batch string, attempt string, n long").json(f"{path}/{COMMITS}")
+    # as many paths as there are batches with rows, which the driver lists anyway
+    at = [f"{path}/{ROWS}/attempt={r['attempt']}" for r in done.where("n > 0").collect()]
+    if not at:
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("string"))
+    rows = spark.read.schema(schema).option("basePath", f"{path}/{ROWS}").json(at).withColumn("_attempt", F.regexp_extract(F.col("_metadata.file_path"), "attempt=([0-9a-f]+)", 1))
+    return rows.drop("attempt").join(done.select(F.col("attempt").alias("_attempt"), "batch"), "_attempt").drop("_attempt")

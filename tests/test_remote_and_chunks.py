@@ -1,0 +1,205 @@
+"""Calls in flight with a ledger, appends, counts of a pass, records of mixed shape, chunk streams."""
+
+import json
+import time
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.functions import equivalence, external, records
+from tallyforge.operators import remote
+from tallyforge.sources import readers, writers
+from tallyforge.streaming import chunks
+
+
+def test_calls_in_flight_keep_their_order(spark):
+    rows = spark.createDataFrame([(i, f"p{i}" if i != 5 else "") for i in range(24)], "id long, prompt string").coalesce(1)
+
+    def slow(p):
+        began = time.time()
+        time.sleep(0.3 if p == "p0" else 0.1)
+        return f"{p} {began} {time.time()}"
+
+    got = external.remote_map(rows, "prompt", slow, in_flight=8).collect()
+    assert [r["id"] for r in got] == list(range(24)) and [r["response"] and r["response"].split()[0] for r in got] == [f"p{i}" if i != 5 else None for i in range(24)]
+    spans = [tuple(map(float, r["response"].split()[1:])) for r in got if r["response"]]
+    assert 4 <= max(sum(a <= x < b for a, b in spans) for x, _ in spans) <= 8
+
+
+def test_retries(spark, tmp_path):
+    def flaky(p):
+        at = tmp_path / p
+        at.write_text(at.read_text() + "x" if at.exists() else "x")
+        if len(at.read_text()) < 3:
+            raise RuntimeError("busy")
+        return p
+
+    rows = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    assert {r["error"] for r in external.remote_map(rows, "prompt", flaky, retries=1).collect()} == {"busy"}
+    assert {r["response"] for r in external.remote_map(rows, "prompt", flaky, retries=1).collect()} == {"a", "b"}
+
+
+def test_a_killed_run_is_resumed(spark, tmp_path):
+    """The second run asks only what the first one didn't finish; a third one, only what is new."""
+    log, stop = tmp_path / "calls", tmp_path / "stop"
+    log.mkdir()
+    stop.write_text("")
+
+    def call(p):
+        if stop.exists() and len(list(log.iterdir())) >= 12:
+            raise KeyboardInterrupt  # no row's error: the task dies
+        (log / f"{p}-{time.time_ns()}").write_text("")
+        return p + "!"
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "id long, prompt string").repartition(2)
+    run = lambda df: remote.mapped_once(df, "id", "prompt", call, str(tmp_path / "ledger"), steps=8, in_flight=1)
+    with pytest.raises(Exception):  # noqa: B017
+        run(rows)
+    finished = readers.appended(spark, str(tmp_path / "ledger"), "id long").count()
+    asked = len(list(log.iterdir()))
+    assert 0 < finished <= asked < 40
+    stop.unlink()
+    assert sorted((r["id"], r["response"]) for r in run(rows).collect()) == [(i, f"p{i}!") for i in range(40)]
+    assert len(list(log.iterdir())) == asked + 40 - finished
+    more = spark.createDataFrame([(i, f"p{i}") for i in range(38, 43)], "id long, prompt string")
+    assert run(more).count() == 5 and len(list(log.iterdir())) == asked + 40 - finished + 3
+
+
+def test_errors_are_asked_again_on_demand(spark, tmp_path):
+    good = tmp_path / "good"
+
+    def call(p):
+        if not good.exists():
+            raise RuntimeError("down")
+        return p
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
+    run = lambda **how: {r["error"] for r in remote.mapped_once(rows, "id", "prompt", call, str(tmp_path / "l"), steps=2, **how).collect()}
+    assert run() == {"down"}
+    good.write_text("")
+    assert run() == {"down"} and run(again=True) == {None}
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    at, rows = str(tmp_path / "t"), spark.range(5)
+    assert readers.appended(spark, at, "id long").count() == 0
+    assert writers.append_once(rows, at, "b 1/x") and not writers.append_once(rows, at, "b 1/x")
+    (tmp_path / "t" / "rows" / "attempt=dead").mkdir()
+    (tmp_path / "t" / "rows" / "attempt=dead" / "part.json").write_text('{"id": 99}\n')
+    assert writers.append_once(rows.limit(0), at, "empty") and writers.append_once(rows.where("id > 2"), at, "b2")
+    got = readers.appended(spark, at, "id long").collect()
+    assert sorted((r["batch"], r["id"]) for r in got) == [("b 1/x", i) for i in range(5)] + [("b2", 3), ("b2", 4)]
+
+
+def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"n": n}) + "\n" for n in range(10)) + "no\n" + '{"n": null}\n')
+    rows = readers.json_lines(spark, str(tmp_path / "x.jsonl"), "n long", bad="keep")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(n):
+        read.add(1)
+        return n
+
+    got = writers.filtered(rows.withColumn("n", seen("n")), F.col("n") > 3, str(tmp_path / "out"), bad=F.col("_corrupt_record").isNotNull())
+    assert got == {"total": 12, "kept": 6, "discarded": 5, "bad": 1} and read.value == 12
+    assert spark.read.json(str(tmp_path / "out")).count() == 6
+
+
+def test_splits_without_rows_and_unfinished_ones(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "train"), (2, "train"), (3, "train")], "id int, split string")
+    writers.splits(rows, str(tmp_path / "s"), names=("train", "val", "test"))
+    there = readers.cached(spark, str(tmp_path / "s"))
+    assert {n: t.count() for n, t in there.items()} == {"train": 3, "val": 0, "test": 0} and there["val"].columns == ["id"]
+    for name in ("train", "val", "test"):
+        spark.range(1).write.parquet(str(tmp_path / "u" / "data" / f"split={name}"))
+    assert readers.cached(spark, str(tmp_path / "u")) is None and readers.cached(spark, str(tmp_path / "none")) is None
+
+
+def test_sources_of_one_name_stay_apart(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x/one/data.jsonl"), (2, "x/two/data.jsonl")], "n int, source_file string")
+    writers.by_source(rows, str(tmp_path / "all"))
+    writers.by_source(rows, str(tmp_path / "below"), root="x")
+    names = lambda at: {r["output"] for r in spark.read.schema("n int, output string").json(str(tmp_path / at)).collect()}
+    assert names("all") == {"x/one/data_filtered.jsonl", "x/two/data_filtered.jsonl"} and names("below") == {"one/data_filtered.jsonl", "two/data_filtered.jsonl"}
+
+
+def test_lists_of_paths(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+        writers.arrow_files(spark.range(n), str(tmp_path / f"{name}.arrow"))
+        writers.json_lines(spark.range(n), str(tmp_path / f"{name}.jsonl"))
+        writers.csv(spark.range(n), str(tmp_path / f"{name}.csv"))
+        writers.json_array(spark.range(n), str(tmp_path / f"{name}.json"))
+    for kind, ext in (("parquet", ""), ("parquet", ".arrow"), ("arrow", ".arrow"), ("jsonl", ".jsonl"), ("csv", ".csv"), ("json", ".json")):
+        assert readers.load(spark, [str(tmp_path / f"a{ext}"), str(tmp_path / f"b{ext}")], kind=kind).count() == 7, kind
+    assert readers.load(spark, [str(tmp_path / "a"), str(tmp_path / "b.arrow")], kind="parquet").count() == 7
+
+
+def test_arrow_by_record_batch(spark, tmp_path):
+    import pyarrow as pa
+
+    table = pa.table({"a": pa.array(range(100)), "t": [f"t{i % 3}" for i in range(100)], "d": pa.array([f"d{i % 4}" for i in range(100)]).dictionary_encode()})
+    (tmp_path / "f").mkdir()
+    for name, opened in (("x", pa.ipc.new_file), ("y", pa.ipc.new_stream)):
+        with pa.OSFile(str(tmp_path / "f" / f"{name}.arrow"), "wb") as f, opened(f, table.schema) as w:
+            w.write_table(table, max_chunksize=10)
+    got = readers.arrow_files(spark, str(tmp_path / "f"))
+    assert got.rdd.getNumPartitions() == 11 and got.count() == 200 and dict(got.dtypes) == {"a": "bigint", "t": "string", "d": "string"}
+    assert {tuple(r) for r in got.select("a", "t", "d").collect()} == {(i, f"t{i % 3}", f"d{i % 4}") for i in range(100)}
+    some = readers.arrow_files(spark, str(tmp_path / "f" / "x.arrow"), ["d", "a"])
+    assert some.columns == ["d", "a"] and some.agg(F.sum("a")).first()[0] == 4950
+    with pa.OSFile(str(tmp_path / "f" / "z.arrow"), "wb") as f, pa.ipc.new_file(f, pa.schema([("b", pa.int8())])) as w:
+        w.write_table(pa.table({"b": pa.array([1], pa.int8())}))
+    with pytest.raises(Exception, match="another schema"):
+        readers.arrow_files(spark, str(tmp_path / "f")).collect()
+
+
+def test_records_of_mixed_shape(spark):
+    lines = ['{"reference": null, "answer": "a"}', '{"answer": "a"}', '{"reference": 1.50}', '{"reference": true}', '{"x": {"reference": 1}}', '{"reference": [1, null]}', '{"reference": ""}', "[1]", "no", '{"a.b\'c": 7}', None]
+    df = spark.createDataFrame([(t,) for t in lines], "value string").select("value", records.parsed(F.col("value")).alias("r"))
+    got = df.select(records.first_text(F.col("r"), "reference", "answer").alias("g"), records.has(F.col("r"), "reference").alias("h"), records.text(records.field(F.col("r"), "a.b'c")).alias("k")).collect()
+    assert [r["g"] for r in got] == ["None", "a", "1.5", "True", "", "[1,null]", "", "", "", "", ""]
+    assert [r["h"] for r in got] == [True, False, True, True, False, True, True, False, False, False, False]
+    assert [r["k"] for r in got] == [None] * 9 + ["7", None]
+
+
+def test_whole_numbers_beyond_a_double(spark):
+    """The rule compares what ``float`` makes of both: numbers that become one double are equal, others aren't."""
+    pairs = [("9007199254740993", "9007199254740992"), ("9007199254740993", "9007199254740994.0"), ("9007199254740991", "9007199254740992"), ("1e22", "10000000000000000000000"), ("123456789012345678901", "123456789012345678900"), ("123456789012345678901", "123456789012345698901"), ("-9007199254740993", "9007199254740992")]
+    want = [float(a) == float(b) or abs(float(a) - float(b)) < 1e-6 for a, b in pairs]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for rule in (equivalence.plain, equivalence.with_fractions):
+        assert [r[0] for r in df.select(rule(F.col("a"), F.col("b"))).collect()] == want
+
+
+CHUNKS = [
+    ("a", 2, [("", "lo")], False), ("a", 0, [("think", "no")], False), ("a", 1, [(None, "hel")], False), ("a", 4, [], True), ("a", 3, None, False),
+    ("b", 1, [("x", None)], False), ("b", 2, [(None, "y")], True), ("c", 0, [(None, "only")], True), ("c", 0, [(None, "only")], True),
+]
+
+
+def test_chunks_of_a_stream(spark, tmp_path):
+    """Out of order, over several runs, with a restart between them, and with chunks that come twice: as one table gives."""
+    write = lambda rows, name: writers.json_lines(spark.createDataFrame(rows, chunks.CHUNK), str(tmp_path / "in" / name))
+    go = lambda patience=600_000: chunks.run(spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), str(tmp_path / "cp"), patience)
+    read = lambda: sorted(map(tuple, spark.read.schema(chunks.RESPONSE).parquet(str(tmp_path / "out")).collect()))
+    write(CHUNKS[:1] + CHUNKS[5:6], "1")
+    go()
+    assert read() == []
+    write(CHUNKS[1:5] + CHUNKS[6:9], "2")
+    go()
+    a, c = ("a", "think", "hello", 5, True), ("c", "", "only", 1, True)
+    assert read() == [a, c]
+    write([CHUNKS[7], ("b", 0, [(None, "z")], False)], "3")
+    go()
+    assert read() == [a, ("b", "x", "zy", 3, True), c]
+    whole = chunks.responses_of_table(spark.createDataFrame([*CHUNKS, ("b", 0, [(None, "z")], False), ("d", 1, [("t", None)], False), ("d", None, [], True), (None, 0, [], True)], chunks.CHUNK))
+    assert sorted(map(tuple, whole.collect())) == [a, ("b", "x", "zy", 3, True), c, ("d", "t", "", 1, False)]
+
+
+def test_folders_of_written_arrow(spark, tmp_path):
+    writers.arrow_files(spark.range(50).repartition(3), str(tmp_path / "o"))
+    assert len(list(Path(tmp_path / "o").glob("*.arrow"))) == 3 and not list(Path(tmp_path / "o").glob(".*arrow-*"))
+    assert readers.arrow_files(spark, str(tmp_path / "o")).count() == 50

@@ -1,0 +1,121 @@
+"""Quoted CSV and JSON arrays that are cut at many splits, against readers that see a file whole."""
+
+import csv
+import io
+import json
+import random
+
+import pytest
+
+from tallyforge.sources import readers, splitting
+
+KEY = "spark.sql.files.maxPartitionBytes"
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of so few bytes that nearly all records cross one."""
+
+    def of(size):
+        spark.conf.set(KEY, str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+
+    yield of
+    for k in (KEY, "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+        spark.conf.unset(k)
+
+
+def rows_of(seed, n):
+    rng = random.Random(seed)
+    parts = ["a", ",", '"', "\n", "\r\n", "é☃", "x y", "\n\n", '""', "\\", "'", "}", "{", "[", "]", '\\"', ":"]
+    return [(str(i), "".join(rng.choice(parts) for _ in range(rng.randrange(9))), rng.choice(["", "z", " z "])) for i in range(n)]
+
+
+def csv_text(rows, end="\n"):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end).writerows([("n", "te,xt", "more"), *rows])
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [90, 100_000_000])
+def test_csv_equals_a_whole_read(spark, tmp_path, small_splits, size, end):
+    want = []
+    for name in ("a", "b"):
+        rows = rows_of(name, 30)
+        want += rows
+        (tmp_path / f"{name}.csv").write_text(csv_text(rows, end), encoding="utf-8", newline="")
+    small_splits(size)
+    got = readers.csv_strings(spark, str(tmp_path / "*.csv"))
+    assert got.columns == ["n", "te,xt", "more"]
+    assert sorted((r[0], r[1] or "", r[2] or "") for r in got.collect()) == sorted(want)
+    typed = readers.csv(spark, str(tmp_path / "*.csv"))
+    assert dict(typed.dtypes)["n"] == "int" and typed.count() == 60
+    if size == 90:
+        assert got.rdd.getNumPartitions() > 5
+
+
+def test_csv_of_one_long_field(spark, tmp_path, small_splits):
+    long = "line\n" * 80 + 'with "quotes", too'
+    (tmp_path / "x.csv").write_text(csv_text([("1", "short", "z"), ("2", long, "z"), ("3", "", "y")]), encoding="utf-8")
+    small_splits(100)
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "x.csv"), "n int, t string, m string").orderBy("n").collect()] == [(1, "short", "z"), (2, long, "z"), (3, None, "y")]
+
+
+def test_csv_of_odd_files(spark, tmp_path, small_splits):
+    (tmp_path / "head.csv").write_text("a,b\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "no_end.csv").write_text('a,b\n1,"x\ny"')
+    (tmp_path / "blank.csv").write_text("a,a\n\n1,2\n\n\n3,4\n")
+    (tmp_path / "open.csv").write_text('a,b\n1,2\n3,"never closed\n')
+    read = lambda name: readers.csv_strings(spark, str(tmp_path / name))
+    assert read("head.csv").columns == ["a", "b"] and read("head.csv").count() == 0
+    assert read("empty.csv").count() == 0 and readers.csv(spark, str(tmp_path / "empty.csv"), "a int").columns == ["a"]
+    assert [tuple(r) for r in read("no_end.csv").collect()] == [("1", "x\ny")]
+    assert read("blank.csv").columns == ["a0", "a1"] and sorted(map(tuple, read("blank.csv").collect())) == [("1", "2"), ("3", "4")]
+    assert read("open.csv").count() == 2
+    small_splits(6)
+    assert sorted(map(tuple, read("blank.csv").collect())) == [("1", "2"), ("3", "4")]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("size", [150, 100_000_000])
+def test_json_equals_a_whole_read(spark, tmp_path, small_splits, size, indent):
+    want = []
+    for name in ("a", "b"):
+        objects = [{"n": int(n), "t": t, "in": {"x}": [{"y": t, "deep": {"e": n}}, {}]}, "list": [[1], [], [2]]} for n, t, _ in rows_of(name, 9)]
+        want += objects
+        (tmp_path / f"{name}.json").write_text(json.dumps(objects, ensure_ascii=name == "a", indent=indent) + ("\n" if name == "b" else ""), encoding="utf-8")
+    schema = "n long, t string, `in` struct<`x}`: array<struct<y: string, deep: struct<e: string>>>>, list array<array<long>>"
+    small_splits(size)
+    got = readers.json_array(spark, str(tmp_path / "*.json"), schema)
+    found = [(r["n"], r["t"], r["in"]["x}"][0]["y"], r["in"]["x}"][0]["deep"]["e"], r["list"]) for r in got.collect()]
+    assert sorted(found) == sorted((o["n"], o["t"], o["t"], str(o["n"]), o["list"]) for o in want)
+    if size == 150:
+        assert got.rdd.getNumPartitions() > 10
+
+
+def test_json_of_odd_files(spark, tmp_path, small_splits):
+    for name, text in {"one": ' {"a": {"b": 1}} ', "none": "[]", "gap": "\n [ \n ] \n", "two": '{"a": {"b": 1}}\n{"a": {"b": 2}}', "cut": '[{"a": {"b": 1}}, {"a": {"b": 2}', "open": '[{"a": {"b": 1}}, {"a": {"b": "2', "not": '[{"a": {"b": 1}} oops, {"a": {"b": 2}}]'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    read = lambda name: readers.json_array(spark, str(tmp_path / f"{name}.json"), "a struct<b: int>")
+    for size in (100_000, 9):
+        small_splits(size)
+        assert [r["a"]["b"] for r in read("one").collect()] == [1] and read("none").count() == read("gap").count() == 0
+        assert sorted(r["a"]["b"] for r in read("two").collect()) == [1, 2]
+        for bad in ("cut", "open", "not"):
+            with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
+                read(bad).collect()
+
+
+def test_states_add_up():
+    import numpy as np
+    import pyarrow as pa
+
+    form, text = splitting.JSON, '[{"a": "}{\\"["}, {"b": [{"c": "\\\\"}]}]'
+    segments = pa.array(text.split("}"))
+    quotes = form.quotes(segments)
+    after = np.cumsum(quotes) % 2 == 1
+    level = np.cumsum(form.levels(segments, np.concatenate([[False], after[:-1]]), after))
+    assert after.tolist() == [True, False, False, False, False] and level[1:].tolist() == [1, 3, 1, -1]
