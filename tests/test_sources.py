@@ -123,7 +123,7 @@ def test_writers(spark, tmp_path):
     assert json.loads("".join(p.read_text() for p in (tmp_path / "i").glob("part*"))) == [1, 2]
     writers.csv(rows.withColumn("x", F.array("n")), str(tmp_path / "c"))
     assert readers.csv_strings(spark, str(tmp_path / "c")).where("x = '[2]'").count() == 1
-    writers.by_source(rows.withColumn("source_file", F.lit("d/in.jsonl")), str(tmp_path / "s"))
+    writers.by_source(rows.withColumn("source_file", F.lit("d/in.jsonl")), str(tmp_path / "s"), root="d")
     assert (tmp_path / "s" / "output=in_filtered.jsonl").is_dir()
     writers.log_lines(rows, F.col("s"), str(tmp_path / "l"))
     writers.log_lines(rows, F.col("s"), str(tmp_path / "l"))
