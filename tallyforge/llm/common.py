@@ -6,12 +6,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tallyforge.sources import scratch
+from tallyforge.sources.scratch import small_batches  # noqa: F401
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,23 +77,6 @@ def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within this block, tables that are written hand texts to Python in Arrow batches of ``rows`` rows at most (the default is 10,000).
-
-    A batch exists several times over: as vectors and socket buffers in the JVM, outside of its heap, and as a copy and objects in
-    Python. With long texts, batches of the default size are what fills an executor. The session's own setting comes back after.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 

@@ -21,6 +21,8 @@ from tallyforge.sources import scratch
 #: What a row of cut records is: a whole record, the end of one, the inside of one (a split that ends none), the beginning of one; the
 #: first whole record of a file.
 WHOLE, END, INSIDE, BEGINNING, FIRST = range(5)
+#: Bytes of segments that a task reads at a time, or one segment if that is longer: several copies of them exist while they are read.
+RUN_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,14 +59,15 @@ def _segments(spark: SparkSession, path: str | list[str], form: Form) -> DataFra
 
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
-    """Runs of rows of one split."""
+    """Runs of rows of one split, of about ``RUN_BYTES``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         file, start = batch.column(1), batch.column(2)
         of = start.to_numpy()
         names = file.dictionary_encode().indices.to_numpy()
-        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (names[1:] != names[:-1])) + 1).tolist(), len(of)]
+        run = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(), dtype=np.int64) // RUN_BYTES
+        cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (names[1:] != names[:-1]) | (run[1:] != run[:-1])) + 1).tolist(), len(of)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield (file[a].as_py(), start[a].as_py()), batch.column(0).slice(a, b - a)
 
@@ -131,8 +134,8 @@ def _cut(form: Form, states):
             n = len(found)
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * n, pa.string()), pa.array([now[1]] * n, pa.int64()), pa.array([what] * n, pa.int32()), found.cast(pa.string())], names=["file", "start", "kind", "record"])
 
-        def one(what: int, parts: list[pa.Array]) -> pa.RecordBatch:
-            return rows(what, pa.array([sep.join(x for part in parts for x in part.to_pylist())]))
+        def one(what: int, parts: list[str]) -> pa.RecordBatch:
+            return rows(what, pa.array([sep.join(parts)]))
 
         def ended() -> Iterator[pa.RecordBatch]:
             if pending:
@@ -149,14 +152,13 @@ def _cut(form: Form, states):
             open_, depth = bool(after[-1]), int(level[-1])
             ends = np.flatnonzero(~after & (level == base))
             if not len(ends):
-                pending.append(some)
+                pending += some.to_pylist()
                 continue
-            yield one(kind, [*pending, some.slice(0, int(ends[0]) + 1)])
+            yield one(kind, pending + some.slice(0, int(ends[0]) + 1).to_pylist())
             kind = WHOLE
             if len(ends) > 1:
                 yield rows(WHOLE, pc.binary_join(pa.ListArray.from_arrays(pa.array(ends + 1, pa.int32()), some), sep))
-            rest = some.slice(int(ends[-1]) + 1)
-            pending = [rest] if len(rest) else []
+            pending = some.slice(int(ends[-1]) + 1).to_pylist()
         yield from ended()
 
     return run
@@ -169,7 +171,8 @@ def _records(spark: SparkSession, path: str | list[str], form: Form) -> tuple[Da
     moved, and a record's pieces meet in one task.
     """
     scan = _segments(spark, path, form)
-    facts = scratch.written(scan.mapInArrow(_facts(form), "file string, start long, quotes long, outside long, inside long, head string"), "splits")
+    with scratch.small_batches(spark):
+        facts = scratch.written(scan.mapInArrow(_facts(form), "file string, start long, quotes long, outside long, inside long, head string"), "splits")
     states, crossing = _states(facts)
     cut = scan.mapInArrow(_cut(form, spark.sparkContext.broadcast(states)), "file string, start long, kind int, record string")
     whole = cut.where(F.col("kind") == WHOLE if form is CSV else F.col("kind").isin(WHOLE, FIRST)).select("record")

@@ -7,11 +7,12 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tallyforge.functions.text import with_suffix
-from tallyforge.sources import arrow
+from tallyforge.sources import arrow, scratch
 from tallyforge.sources.readers import COMMITS, MANIFEST, ROWS
 
 
@@ -112,16 +113,19 @@ def arrow_files(df: DataFrame, path: str) -> None:
 def json_array(df: DataFrame, path: str) -> None:
     """Files that are one array of objects each, one a task."""
 
-    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = "["
         for part in parts:
-            if len(part):
-                yield pd.DataFrame({"value": [f"{b} {v}" for b, v in zip([before] + [","] * (len(part) - 1), part["value"], strict=True)]})
+            if part.num_rows:
+                marks = pa.array([before] + [","] * (part.num_rows - 1))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, part.column(0), " ")], ["value"])
                 before = ","
         if before == ",":
-            yield pd.DataFrame({"value": ["]"]})
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
-    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+    objects = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    with scratch.small_batches(df.sparkSession):
+        objects.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def dump(df: DataFrame, path: str, kind: str = "jsonl") -> None:

@@ -4,7 +4,7 @@ import json
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from tallyforge.sources import readers, scratch, writers
 from tallyforge.streaming.ingest import follow
@@ -36,6 +36,18 @@ def test_json_array_and_object(spark, tmp_path):
     assert readers.load(spark, str(tmp_path / "a.json")).count() == 2
 
 
+def test_json_array_is_written_in_small_batches(spark, tmp_path, monkeypatch):
+    key, seen, text = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **k: (seen.append(spark.conf.get(key)), text(self, *a, **k))[1])
+    before = spark.conf.get(key)
+    writers.json_array(spark.range(0, 2500, 1, 2).select("id", F.lit("é\n").alias("t")), str(tmp_path / "x"))
+    assert seen == ["1000"] and spark.conf.get(key) == before
+    files = [json.loads(p.read_text(encoding="utf-8")) for p in sorted((tmp_path / "x").glob("part-*"))]
+    assert files == [[{"id": i, "t": "é\n"} for i in range(*some)] for some in ((1250,), (1250, 2500))]
+    writers.json_array(spark.range(3).where("id > 5"), str(tmp_path / "none"))
+    assert not "".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text('q,n\n"a ""b""\nc",1\n', encoding="utf-8")
     assert readers.csv(spark, str(tmp_path / "x.csv")).first().asDict() == {"q": 'a "b"\nc', "n": 1}

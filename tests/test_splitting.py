@@ -119,3 +119,27 @@ def test_states_add_up():
     after = np.cumsum(quotes) % 2 == 1
     level = np.cumsum(form.levels(segments, np.concatenate([[False], after[:-1]]), after))
     assert after.tolist() == [True, False, False, False, False] and level[1:].tolist() == [1, 3, 1, -1]
+
+
+def test_copies_of_segments_are_small():
+    """What is allocated beside the batches themselves doesn't grow with them."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    def most(run, n):
+        batch = pa.RecordBatch.from_pydict({"value": ['{"a": "' + "x" * 4000 + '"'] * n, "file": ["f"] * n, "start": [0] * n})
+        usual = pa.default_memory_pool()
+        pool = pa.proxy_memory_pool(usual)
+        pa.set_memory_pool(pool)
+        try:
+            found = sum(b.num_rows for b in run(iter([batch])))
+        finally:
+            pa.set_memory_pool(usual)
+        return found, pool.max_memory()
+
+    cut, facts = splitting._cut(splitting.JSON, SimpleNamespace(value={})), splitting._facts(splitting.JSON)
+    for n in (1_000, 10_000):
+        (cut_rows, cut_bytes), (facts_rows, facts_bytes) = most(cut, n), most(facts, n)
+        assert (cut_rows, facts_rows) == (n, 1)
+        assert cut_bytes < 10 << 20 and facts_bytes < 10 << 20
